@@ -56,6 +56,29 @@ SKILL_ALIASES = {
     "LLM": r"LLMs?",
 }
 
+# Short lower-case texts, one of which every match of the alias contains.
+ALIAS_HINTS = {
+    "C++": ["c++", "cpp"],
+    "C#": ["c#", "csharp", "sharp"],
+    ".NET": [".net", "dotnet"],
+    "Node.js": ["node"],
+    "React": ["react"],
+    "Next.js": ["next"],
+    "PostgreSQL": ["postgres"],
+    "Kubernetes": ["kubernetes", "k8s"],
+    "AWS": ["aws", "amazon web services"],
+    "GCP": ["gcp", "google cloud"],
+    "scikit-learn": ["scikit", "sklearn"],
+    "Power BI": ["power"],
+    "Spring Boot": ["spring"],
+    "Golang": ["golang", "language"],
+    "CI/CD": ["ci/cd", "ci-cd", "cicd"],
+    "Excel": ["excel"],
+    "Microservices": ["microservice"],
+    "REST API": ["rest"],
+    "LLM": ["llm"],
+}
+
 # The one acronym that is an English word too: exact case, or its long form.
 ACRONYM_LONG_FORMS = {"RAG": r"retrieval[ -]augmented generation"}
 
@@ -150,25 +173,37 @@ ZERO_WIDTH_CHARACTERS = "\u200b\u200c\u200d\ufeff"
 # ------------------------------ end of fixed values ------------------------
 
 
+def _lowered(body: str) -> str:
+    """A pattern body in lower case, its escapes untouched, white space as wide as in text input."""
+    lowered = re.sub(r"\\.|[A-Z]", lambda m: m.group() if m.group()[0] == "\\" else m.group().lower(), body)
+    return lowered.replace(r"\s", r"[\s\x1c-\x1f]")
+
+
+def _quoted(name: str) -> str:
+    """A name matched literally, its spaces standing for any run of white space."""
+    return r"\s+".join(re.escape(word) for word in name.split(" "))
+
+
 @dataclass(frozen=True)
 class Form:
-    """One way a skill can be written, as a regular-expression body."""
+    """One way a skill can be written.
+
+    ``body`` is a regular expression without look-around; an any-case form is
+    matched against case-folded text. ``hints`` are substrings of the folded
+    text, one of which every match contains (none: no quick test).
+    """
 
     body: str
     bounded: bool = True
     any_case: bool = True
+    hints: tuple[str, ...] = ()
 
     @property
     def pattern(self) -> str:
-        body = f"(?:{self.body})"
+        body = f"(?:{_lowered(self.body) if self.any_case else self.body})"
         if self.bounded:
             body = f"(?<![{SKILL_BOUNDARY_SET}]){body}(?![{SKILL_BOUNDARY_SET}])"
-        return ("(?iU)" if self.any_case else "(?U)") + body
-
-
-def _quoted(name: str) -> str:
-    """A name matched literally, its spaces standing for any run of white space."""
-    return r"\s+".join(re.escape(word) for word in name.split(" "))
+        return "(?U)" + body
 
 
 @dataclass(frozen=True)
@@ -178,18 +213,25 @@ class SkillCatalog:
     names: tuple[str, ...]
     aliases: dict[str, str] = field(default_factory=dict)
     long_forms: dict[str, str] = field(default_factory=dict)
+    hints: dict[str, list[str]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, names, aliases=None, long_forms=None) -> "SkillCatalog":
-        return cls(tuple(names), dict(aliases or {}), dict(long_forms or {}))
+    def of(cls, names, aliases=None, long_forms=None, hints=None) -> "SkillCatalog":
+        return cls(tuple(names), dict(aliases or {}), dict(long_forms or {}), dict(hints or {}))
 
     def is_acronym(self, name: str) -> bool:
         return name in self.long_forms
 
     def forms(self, name: str) -> list[Form]:
+        own = (max(name.lower().split(" "), key=len),)
         if self.is_acronym(name):
-            return [Form(_quoted(name), any_case=False), Form(self.long_forms[name], bounded=False)]
-        return [Form(self.aliases.get(name, _quoted(name)))]
+            return [
+                Form(_quoted(name), any_case=False, hints=own),
+                Form(self.long_forms[name], bounded=False, hints=tuple(self.hints.get(name, ()))),
+            ]
+        if name in self.aliases:
+            return [Form(self.aliases[name], hints=tuple(self.hints.get(name, ())))]
+        return [Form(_quoted(name), hints=own)]
 
     def resolution_order(self) -> list[str]:
         """Names with a special pattern first (acronyms, then aliases), then the rest."""
@@ -212,5 +254,5 @@ class RoleCatalog:
         return "(?iu)" + self.patterns[role].replace(r"\b", edge)
 
 
-SKILLS = SkillCatalog.of(SKILL_NAMES, SKILL_ALIASES, ACRONYM_LONG_FORMS)
+SKILLS = SkillCatalog.of(SKILL_NAMES, SKILL_ALIASES, ACRONYM_LONG_FORMS, {**ALIAS_HINTS, "RAG": ["augmented generation"]})
 ROLES = RoleCatalog(ROLE_PATTERNS, tuple(ROLE_PRIORITY), ROLE_LABELS)

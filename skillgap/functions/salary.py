@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skillgap import catalog
-from skillgap.functions.numbers import round_binary
+from skillgap.functions.numbers import let, round_binary
 from skillgap.functions.text import empty_to_null, strip
 
 # The pieces salary forms are written with.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skillgap.catalog import DEFAULT_LANGUAGE, DEFAULT_REGION, SkillCatalog
+from skillgap.catalog import DEFAULT_LANGUAGE, DEFAULT_REGION, Form, SkillCatalog
 from skillgap.functions.numbers import let
 
 # Unicode white space plus the four separators that count as space in text input.
@@ -45,26 +45,56 @@ def combined_text(title: Column, description: Column, highlights: Column) -> Col
     )
 
 
+# Letters beyond ASCII that ignoring case makes equal to an ASCII letter: long s, kelvin, dotless and dotted i.
+_FOLD_FROM, _FOLD_TO = "\u017f\u212a\u0131\u0130", "skii"
+
+
+def fold_case(c: Column) -> Column:
+    """Lower case such that an ASCII pattern in lower case matches what it would match ignoring case."""
+    special = F.lit(False)
+    for letter in _FOLD_FROM:
+        special = special | c.contains(letter)
+    return F.lower(F.when(special, F.translate(c, _FOLD_FROM, _FOLD_TO)).otherwise(c))
+
+
+def _present(form: Form, text: Column, folded: Column) -> Column:
+    """Whether a form occurs: a cheap substring test first, the pattern only where that succeeds."""
+    match = (folded if form.any_case else text).rlike(form.pattern)
+    if not form.hints:
+        return match
+    hinted = folded.contains(form.hints[0])
+    for h in form.hints[1:]:
+        hinted = hinted | folded.contains(h)
+    return hinted & match
+
+
 def extract_skills(text: Column, skills: SkillCatalog) -> Column:
     """Sorted canonical skills found in a text; empty for a null or empty text."""
-    found = []
-    for name in sorted(skills.names):
-        hit = None
-        for form in skills.forms(name):
-            match = text.rlike(form.pattern)
-            hit = match if hit is None else hit | match
-        found.append(F.when(hit, F.lit(name)))
-    return F.array_compact(F.array(*found))
-
-
-def count_mentions(text: Column, skills: SkillCatalog) -> dict[str, Column]:
-    """Occurrences of each skill in a text."""
-    safe = F.coalesce(text, F.lit(""))
-    counts = {}
-    for name in skills.names:
-        per_form = [F.regexp_count(safe, F.lit(f.pattern)) for f in skills.forms(name)]
-        counts[name] = sum(per_form[1:], per_form[0])
-    return counts
+    def find(folded: Column) -> Column:
+        found = []
+        for name in sorted(skills.names):
+            first, *others = [_present(form, text, folded) for form in skills.forms(name)]
+            for other in others:
+                first = first | other
+            found.append(F.when(first, F.lit(name)))
+        return F.array_compact(F.array(*found))
+
+    return let(fold_case(text), find)
+
+
+def count_mentions(text: Column, skills: SkillCatalog) -> Column:
+    """Occurrences of each skill in a text, as an array in catalog order."""
+    def occurrences(form: Form, folded: Column) -> Column:
+        return F.regexp_count(folded if form.any_case else text, F.lit(form.pattern))
+
+    def count(folded: Column) -> Column:
+        totals = []
+        for name in skills.names:
+            per_form = [F.when(_present(f, text, folded), occurrences(f, folded)).otherwise(0) for f in skills.forms(name)]
+            totals.append(sum(per_form[1:], per_form[0]))
+        return F.array(*totals)
+
+    return let(fold_case(text), count)
 
 
 def resolve_skill(name: Column, skills: SkillCatalog) -> Column:
@@ -86,9 +116,9 @@ def resolve_skill(name: Column, skills: SkillCatalog) -> Column:
         for n in skills.resolution_order():
             if skills.is_acronym(n):
                 pattern = rf"(?iU)^(?:{skills.long_forms[n]})\z"
+                by_pattern.append(F.when(clean.rlike(pattern), F.lit(n)))
             else:
-                pattern = skills.forms(n)[0].pattern
-            by_pattern.append(F.when(clean.rlike(pattern), F.lit(n)))
+                by_pattern.append(F.when(_present(skills.forms(n)[0], clean, fold_case(clean)), F.lit(n)))
         refused = clean == ""
         for n in skills.names:
             if skills.is_acronym(n):

@@ -134,9 +134,14 @@ def mention_counts(df: DataFrame, skills: SkillCatalog = SKILLS) -> DataFrame:
     """
     text = combined_text(F.col("title"), F.col("description"), F.lit(None).cast("string"))
     per_row = count_mentions(F.col("_text"), skills)
-    totals = df.select(text.alias("_text")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in per_row.items()])
+    names = list(skills.names)
+    totals = (
+        df.select(text.alias("_text"))
+        .select(per_row.alias("_counts"))
+        .agg(*[F.coalesce(F.sum(F.col("_counts")[i]), F.lit(0)).alias(n) for i, n in enumerate(names)])
+    )
     return (
-        _unpivot(totals, list(per_row), "skill", "count")
+        _unpivot(totals, names, "skill", "count")
         .where("`count` > 0")
         .orderBy(F.desc("count"), "place")
         .drop("place")

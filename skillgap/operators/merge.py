@@ -170,11 +170,8 @@ def _fold(rows: DataFrame) -> DataFrame:
         "salary_max_lpa": figure("salary_max_lpa", "late_max"),
         "apply_options": F.when(lone, own["apply_options"]).otherwise(options),
         "portal_count": F.when(lone, own["portal_count"]).otherwise(F.greatest(F.lit(1), F.size(options))),
-        "apply_link": F.when(lone, own["apply_link"]).otherwise(
-            F.coalesce(
-                empty_to_null(own["apply_link"]), F.try_element_at(options, F.lit(1))["link"], own["apply_link"]
-            )
-        ),
+        "apply_link": F.when(lone | empty_to_null(own["apply_link"]).isNotNull() | (F.size(options) == 0), own["apply_link"])
+        .otherwise(F.try_element_at(options, F.lit(1))["link"]),
         "source_queries": F.when(lone, own["source_queries"]).otherwise(phrases),
         "source_query": F.when(lone, own["source_query"]).otherwise(
             F.coalesce(empty_to_null(own["source_query"]), F.try_element_at(phrases, F.lit(1)))

@@ -85,20 +85,25 @@ def _missing(held: Sequence[str]) -> Column:
     return F.array_except("skills", string_array(held))
 
 
-def unlocks(elig: DataFrame, held: Sequence[str], threshold: int = 60, top_n: int | None = None) -> DataFrame:
-    """(skill, unlocks, demand) for each skill that unlocks anything.
+def _skill_counts(elig: DataFrame, held: Sequence[str], threshold: int) -> DataFrame:
+    """(skill, unlocks, demand) for each missing skill.
 
     Only one flag and one name per missing skill leave the scan, and they are
     counted before the shuffle, so a skill in a third of all postings costs no
     more than any other.
     """
-    check_bounds(threshold=threshold, top_n=top_n)
-    counted = (
-        elig.select(one_away(F.col("m"), F.col("n"), threshold).alias("near"), F.explode(_missing(held)).alias("skill"))
+    near = one_away(F.col("m"), F.col("n"), threshold).alias("near")
+    return (
+        elig.select(near, F.explode(_missing(held)).alias("skill"))
         .groupBy("skill")
         .agg(F.count_if("near").alias("unlocks"), F.count("*").alias("demand"))
-        .where("unlocks > 0")
     )
+
+
+def unlocks(elig: DataFrame, held: Sequence[str], threshold: int = 60, top_n: int | None = None) -> DataFrame:
+    """(skill, unlocks, demand) for each skill that unlocks anything; the first ``top_n`` if given."""
+    check_bounds(threshold=threshold, top_n=top_n)
+    counted = _skill_counts(elig, held, threshold).where("unlocks > 0")
     return counted if top_n is None else counted.orderBy(*ranking()).limit(top_n)
 
 
@@ -145,54 +150,62 @@ def attach_examples(top_skills: DataFrame, examples: DataFrame) -> DataFrame:
 def unlock_path(elig: DataFrame, held: Sequence[str], threshold: int = 60, steps: int = 3) -> DataFrame:
     """(step, skill, unlocks, cumulative_gain): the best skill, then the best after it, and so on.
 
-    One lazy plan. The first step is the plain ranking. Later steps need only
-    postings that lack at most ``steps`` skills to their threshold; those are
-    counted by (missing skills, gap) once, and every later step reads that one
-    shuffle. Each choice enters the next step as a scalar subquery.
+    One lazy plan over two passes of the eligible postings. The first counts
+    unlocks and demand per skill; it gives the first step, and demand does not
+    change later. The second keeps postings that lack at most ``steps`` skills
+    to their threshold, counted by (missing skills, gap); every later step reads
+    that one shuffle. Each choice enters the next step as a scalar subquery.
     """
     check_bounds(threshold=threshold)
+    counts = _skill_counts(elig, held, threshold)
+    # Reading the unlock count as well lets Spark reuse the shuffle of the first step.
+    demand = counts.where("unlocks >= 0").select("skill", "demand")
     gap = F.call_function("div", F.col("n") * threshold + 99, F.lit(100)) - F.col("m")
-    open_sets = elig.select(gap.cast("int").alias("gap"), F.array_sort(_missing(held)).alias("missing"))
-    ranked = unlocks(elig, held, threshold)
-    demand = (
-        elig.select(F.explode(_missing(held)).alias("skill")).groupBy("skill").agg(F.count("*").alias("demand"))
-    )
     near = (
-        open_sets.where(F.col("gap").between(1, steps)).groupBy("missing", "gap").agg(F.count("*").alias("postings"))
+        elig.select(gap.cast("int").alias("gap"), F.array_sort(_missing(held)).alias("missing"))
+        .where(F.col("gap").between(1, steps))
+        .groupBy("missing", "gap")
+        .agg(F.count("*").alias("postings"))
     )
 
-    def best(counts: DataFrame) -> Column:
-        return counts.orderBy(*ranking()).limit(1).select(F.struct("skill", "unlocks")).scalar()
+    def best(ranked: DataFrame, chosen: Column) -> Column:
+        pick = F.struct("skill", "unlocks", chosen.alias("chosen"))
+        return ranked.orderBy(*ranking()).limit(1).select(pick).scalar()
 
-    picks = [best(ranked)]
+    picks = [best(counts.where("unlocks > 0"), F.array("skill"))]
     while len(picks) < steps:
-        chosen = F.array(*[p["skill"] for p in picks])
+        # No filter that Spark could push below the shared shuffle: it would differ from step to step.
         gains = (
-            near.select(
-                "postings",
-                (F.col("gap") - F.size(F.array_intersect("missing", chosen))).alias("gap"),
-                F.array_except("missing", chosen).alias("missing"),
+            near.withColumn("chosen", picks[-1]["chosen"])
+            .select(
+                F.when(F.col("gap") - F.size(F.array_intersect("missing", "chosen")) == 1, F.col("postings"))
+                .alias("unlocked"),
+                "chosen",
+                F.explode_outer(F.array_except("missing", "chosen")).alias("skill"),
             )
-            .where("gap = 1")
-            .select("postings", F.explode("missing").alias("skill"))
             .groupBy("skill")
-            .agg(F.sum("postings").alias("unlocks"))
+            .agg(F.sum("unlocked").alias("unlocks"), F.any_value("chosen").alias("chosen"))
+            .where("unlocks > 0")
         )
-        picks.append(best(gains.join(demand, "skill")))
+        picks.append(best(gains.join(demand, "skill"), F.array_append("chosen", F.col("skill"))))
 
+    names = [f"pick{i}" for i in range(1, steps + 1)]
     rows, running = [], F.lit(0).cast("long")
-    for number, pick in enumerate(picks, start=1):
-        running = running + pick["unlocks"]
+    for number, name in enumerate(names, start=1):
+        running = running + F.col(f"{name}.unlocks")
         rows.append(
             F.struct(
                 F.lit(number).alias("step"),
-                pick["skill"].alias("skill"),
-                pick["unlocks"].alias("unlocks"),
+                F.col(f"{name}.skill").alias("skill"),
+                F.col(f"{name}.unlocks").alias("unlocks"),
                 running.alias("cumulative_gain"),
             )
         )
     return (
-        elig.sparkSession.range(1).select(F.inline(F.array(*rows))).where(F.col("skill").isNotNull())
+        elig.sparkSession.range(1)
+        .select(*[p.alias(n) for p, n in zip(picks, names)])
+        .select(F.inline(F.array(*rows)))
+        .where(F.col("skill").isNotNull())
     )
 
 
