@@ -102,7 +102,8 @@ def recommended(df: DataFrame, names: Column | Sequence[str], limit: int = 6) ->
     """The newest postings whose description mentions one of the skills."""
     wanted = names if isinstance(names, Column) else F.array(*[F.lit(n) for n in names])
     return (
-        df.where(any_skill_text(F.col("description"), wanted))
+        df.withColumn("_names", wanted)
+        .where(any_skill_text(F.col("description"), F.col("_names")))
         .orderBy(*newest_first())
         .limit(limit)
         .select("job_id", "title", "company_name", "location", "via", "apply_link", "salary", "schedule_type")

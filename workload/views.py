@@ -168,3 +168,124 @@ SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS job_id,
        source AS company_name, lang AS location, text AS description, doc_id
 FROM documents
 )"""
+
+
+# White space as the text derivations see it, for RE2.
+WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def norm_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({c}, '')), '{WS}+', ' ', 'g'))"
+
+
+def skill_hit_sql(name: str, text: str) -> str:
+    """Whether a skill of WORDS occurs; the boundaries are matched instead of looked at."""
+    hits = []
+    for form in WORDS.forms(name):
+        body = form.body.replace(r"\s", WS)
+        if form.bounded:
+            body = f"(^|[^a-zA-Z0-9_#+])({body})($|[^a-zA-Z0-9_#+])"
+        hits.append(f"regexp_matches({text}, '{body}', '{'i' if form.any_case else 'c'}')")
+    return "(" + " OR ".join(hits) + ")"
+
+
+def skills_sql(text: str) -> str:
+    cases = ", ".join(f"CASE WHEN {skill_hit_sql(n, text)} THEN '{n}' END" for n in sorted(WORDS.names))
+    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
+
+
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw upstream postings, with gaps, tags, pay texts and apply options by id."""
+    d = F.col("doc_id")
+    n = lambda k: (d % k).cast("string")
+    ext = F.array(
+        F.when(d % 3 == 0, F.concat(n(40), F.lit(" days ago"))),
+        F.when(d % 3 == 1, F.concat(n(30), F.lit(" hours ago"))),
+        F.when(d % 8 == 1, F.concat(F.lit("₹"), n(30), F.lit("L–₹"), n(45), F.lit("L a year"))),
+        F.when(d % 8 == 2, F.concat(F.lit("₹"), n(90), F.lit(",000 a month"))),
+        F.when(d % 8 == 3, F.concat(F.lit("INR "), n(40), F.lit(",00,000 / year"))),
+        F.when(d % 8 == 4, F.lit("₹300 an hour")),
+        F.when(d % 9 == 0, F.lit("Work from home")),
+        F.lit("Full-time"),
+    )
+    options = F.array(
+        F.struct(F.lit("LinkedIn").alias("title"), F.concat(F.lit("https://linkedin.com/"), n(50)).alias("link")),
+        F.struct(F.lit("Company").alias("title"), F.concat(F.lit("https://boards.greenhouse.io/"), n(3)).alias("link")),
+        F.struct(F.lit(" linkedin ").alias("title"), F.concat(F.lit("https://linkedin.com/"), n(25)).alias("link")),
+        F.struct(F.lit("Shine").alias("title"), F.lit(None).cast("string").alias("link")),
+    )
+    nothing = F.lit(None).cast("string")
+    return documents(spark, sf_dir).select(
+        "doc_id",
+        F.when(d % 4 != 0, F.concat(F.lit("tok"), d.cast("string"))).alias("job_id"),
+        F.when(d % 11 != 0, first_line(F.col("text"))).alias("title"),
+        F.when(d % 13 != 0, F.concat(F.lit("Company "), F.col("lang"))).alias("company_name"),
+        F.when(F.col("lang") == "es", "Remote, India").when(F.col("lang") == "de", "Anywhere").when(F.col("lang") == "en", "Pune").alias("location"),
+        F.when(d % 5 != 0, F.element_at(F.array(*[F.lit(v) for v in VIAS]), (d % len(VIAS)).cast("int") + 1)).alias("via"),
+        F.col("text").alias("description"),
+        F.array_compact(ext).alias("extensions"),
+        F.slice(options, 1, (d % 5).cast("int")).alias("apply_options"),
+        F.when(d % 20 == 1, "6.5 Lakhs / year").alias("salary"),
+        F.when(d % 15 == 0, F.concat(F.lit("https://own/"), d.cast("string"))).alias("apply_link"),
+        F.struct(
+            F.when(d % 10 == 0, F.concat(F.lit(" "), n(5), F.lit(" weeks ago "))).otherwise(nothing).alias("posted_at"),
+            F.when(d % 16 == 5, F.concat(F.lit("₹"), n(50), F.lit("K–₹90K a month"))).otherwise(nothing).alias("salary"),
+            F.when(d % 7 == 0, "Contract").otherwise(nothing).alias("schedule_type"),
+            F.when(d % 14 == 0, F.lit(True)).alias("work_from_home"),
+        ).alias("detected_extensions"),
+        F.when(
+            d % 6 == 0,
+            F.array(F.struct(F.lit("Needs").alias("title"), F.array(F.lit("restful apis"), F.lit("Elle")).alias("items"))),
+        ).alias("job_highlights"),
+        F.concat(F.lit("2026-10-0"), (d % 9 + 1).cast("string"), F.lit("T10:00:00+00:00")).alias("captured_at"),
+        F.col("source").alias("source_query"),
+        F.lit("in").alias("source_gl"),
+    )
+
+
+def _cat(*parts: str) -> str:
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def _mod(k: int) -> str:
+    return f"CAST(doc_id % {k} AS VARCHAR)"
+
+
+RAW_SQL = f"""
+raw AS (
+SELECT doc_id,
+  CASE WHEN doc_id % 4 <> 0 THEN concat('tok', CAST(doc_id AS VARCHAR)) END AS job_id,
+  CASE WHEN doc_id % 11 <> 0 THEN substring(split_part(text, chr(10), 1), 1, 60) END AS title,
+  CASE WHEN doc_id % 13 <> 0 THEN concat('Company ', lang) END AS company_name,
+  CASE lang WHEN 'es' THEN 'Remote, India' WHEN 'de' THEN 'Anywhere' WHEN 'en' THEN 'Pune' END AS location,
+  CASE WHEN doc_id % 5 <> 0 THEN ([{_VIA_LIST}])[CAST(doc_id % {len(VIAS)} AS INTEGER) + 1] END AS via,
+  text AS description,
+  list_filter([
+    CASE WHEN doc_id % 3 = 0 THEN {_cat(_mod(40), "' days ago'")} END,
+    CASE WHEN doc_id % 3 = 1 THEN {_cat(_mod(30), "' hours ago'")} END,
+    CASE WHEN doc_id % 8 = 1 THEN {_cat("'₹'", _mod(30), "'L–₹'", _mod(45), "'L a year'")} END,
+    CASE WHEN doc_id % 8 = 2 THEN {_cat("'₹'", _mod(90), "',000 a month'")} END,
+    CASE WHEN doc_id % 8 = 3 THEN {_cat("'INR '", _mod(40), "',00,000 / year'")} END,
+    CASE WHEN doc_id % 8 = 4 THEN '₹300 an hour' END,
+    CASE WHEN doc_id % 9 = 0 THEN 'Work from home' END,
+    'Full-time'], lambda x: x IS NOT NULL) AS extensions,
+  list_slice([
+    {{'title': 'LinkedIn', 'link': {_cat("'https://linkedin.com/'", _mod(50))}}},
+    {{'title': 'Company', 'link': {_cat("'https://boards.greenhouse.io/'", _mod(3))}}},
+    {{'title': ' linkedin ', 'link': {_cat("'https://linkedin.com/'", _mod(25))}}},
+    {{'title': 'Shine', 'link': CAST(NULL AS VARCHAR)}}], 1, doc_id % 5) AS apply_options,
+  CASE WHEN doc_id % 20 = 1 THEN '6.5 Lakhs / year' END AS salary,
+  CASE WHEN doc_id % 15 = 0 THEN concat('https://own/', CAST(doc_id AS VARCHAR)) END AS apply_link,
+  CASE WHEN doc_id % 10 = 0 THEN {_cat("' '", _mod(5), "' weeks ago '")} END AS det_posted,
+  CASE WHEN doc_id % 16 = 5 THEN {_cat("'₹'", _mod(50), "'K–₹90K a month'")} END AS det_salary,
+  CASE WHEN doc_id % 7 = 0 THEN 'Contract' END AS det_schedule,
+  coalesce(doc_id % 14 = 0, FALSE) AS det_wfh,
+  CASE WHEN doc_id % 6 = 0 THEN 'restful apis Elle' ELSE '' END AS highlights,
+  concat('2026-10-0', CAST(doc_id % 9 + 1 AS VARCHAR), 'T10:00:00+00:00') AS captured_at,
+  source AS source_query, lang
+FROM documents
+)"""
