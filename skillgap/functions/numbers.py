@@ -1,35 +1,52 @@
-"""Rounding as binary floating point defines it, and naming an intermediate value."""
+"""Naming an intermediate value, and rounding as binary floating point defines it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = float(2**27 + 1)
 
+def let(value: Column, name: str, body: str) -> Column:
+    """SQL text ``body`` with ``name`` standing for ``value``, which is computed once however often it is named.
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with ``value`` computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    Long expressions are written as SQL text: it is parsed in one call, while
+    each step of a Column expression is a call of its own.
+    """
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
 
 
-def round_binary(c: Column, digits: int) -> Column:
+def literal(text: str) -> str:
+    """A string literal in which a backslash is a backslash."""
+    quote = "'" if "'" not in text else '"'
+    return f"r{quote}{text}{quote}"
+
+
+def any_of(conditions: list[str]) -> str:
+    return "(" + " OR ".join(conditions) + ")"
+
+
+_SPLIT = 2**27 + 1
+
+
+def round_binary_sql(x: str, digits: int) -> str:
     """Round a double by its exact binary value, exact ties to even.
 
     Spark rounds the shortest decimal text of a double, so 7.35 (which is just
     below 7.35 in binary) goes up. Here the double is split into two halves
     whose products are exact, which shows on which side of the tie it lies.
     """
-    half_steps = float(2 * 10**digits)
-    high = c * _SPLIT - (c * _SPLIT - c)
-    low = c - high
-    nearest = F.rint(c * half_steps)
-    error = (high * half_steps - nearest) + low * half_steps
-    at_tie = (nearest % 2 != 0) & (F.abs(error) < 1e-6)
-    below = (nearest - 1) / 2
-    above = (nearest + 1) / 2
-    even = F.when(below % 2 == 0, below).otherwise(above)
-    tied = F.when(error > 0, above).when(error < 0, below).otherwise(even) / float(10**digits)
-    return F.when(at_tie & (F.abs(c) < 1e9), tied).otherwise(F.round(c, digits))
+    half_steps = f"{2 * 10**digits}D"
+    high = f"({x} * {_SPLIT}D - ({x} * {_SPLIT}D - {x}))"
+    nearest = f"rint({x} * {half_steps})"
+    error = f"(({high} * {half_steps} - {nearest}) + ({x} - {high}) * {half_steps})"
+    below, above = f"(({nearest} - 1) / 2)", f"(({nearest} + 1) / 2)"
+    tied = (
+        f"CASE WHEN {error} > 0 THEN {above} WHEN {error} < 0 THEN {below} "
+        f"WHEN {below} % 2 = 0 THEN {below} ELSE {above} END / {10**digits}D"
+    )
+    at_tie = f"{nearest} % 2 <> 0 AND abs({error}) < 1e-6D AND abs({x}) < 1e9D"
+    return f"CASE WHEN {at_tie} THEN {tied} ELSE round({x}, {digits}) END"
+
+
+def round_binary(c: Column, digits: int) -> Column:
+    return let(c, "x", round_binary_sql("x", digits))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skillgap import catalog
-from skillgap.functions.numbers import let, round_binary
+from skillgap.functions.numbers import any_of, let, literal, round_binary_sql
 from skillgap.functions.text import empty_to_null, strip
 
 # The pieces salary forms are written with.
@@ -49,28 +49,17 @@ def pick_salary(detected: Column, own: Column, extensions: Column) -> Column:
     return F.coalesce(clean_salary(F.coalesce(empty_to_null(detected), own)), F.try_element_at(pay_like, F.lit(1)))
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return empty_to_null(F.regexp_extract(text, pattern, group)).cast("double")
+def _figures(pattern: str, factor: str = "{v}", judged_rounded: bool = True) -> str:
+    """SQL for the two amounts of a form, scaled; one amount stands for both."""
+    low, high = (f"CAST(nullif(regexp_extract(t, {literal(pattern)}, {g}), '') AS DOUBLE)" for g in (1, 2))
+    both = factor.format(v=low), factor.format(v=f"coalesce({high}, {low})")
+    return f"named_struct('low', {both[0]}, 'high', {both[1]}, 'judged_rounded', {str(judged_rounded).lower()})"
 
 
-def _figures(low: Column, high: Column, judged_rounded: bool) -> Column:
-    return F.struct(low.alias("low"), high.alias("high"), F.lit(judged_rounded).alias("judged_rounded"))
-
-
-def _finish(v: Column) -> Column:
-    """Both figures rounded, if both are within bounds."""
-    low, high = round_binary(v["low"], 2), round_binary(v["high"], 2)
-    raw_ok = v["low"].between(*_BOUNDS) & v["high"].between(*_BOUNDS)
-    rounded_ok = low.between(*_BOUNDS) & high.between(*_BOUNDS)
-    ok = F.when(v["judged_rounded"], rounded_ok).otherwise(raw_ok)
-    return F.struct(F.when(ok, low).alias("min"), F.when(ok, high).alias("max"))
-
-
-def _parse(text: Column) -> Column:
-    """Unrounded figures by the first form that the cleaned text has; null if it has none."""
-    def figures(pattern: str, factor=lambda v: v, judged_rounded: bool = True) -> Column:
-        low, high = _number(text, pattern, 1), _number(text, pattern, 2)
-        return _figures(factor(low), factor(F.coalesce(high, low)), judged_rounded)
+def _parse_sql() -> str:
+    """Unrounded figures by the first form that the cleaned text ``t`` has; null if it has none."""
+    def has(pattern: str) -> str:
+        return f"t RLIKE {literal(pattern)}"
 
     thousands_yearly = _form("k", "k", _YEAR)
     thousands_monthly = _form("k", "k", _MONTH)
@@ -78,19 +67,33 @@ def _parse(text: Column) -> Column:
     lakh_yearly = _form(_LAKH + "?", "", _LAKH + r"\b")
     rupees_monthly = _form("", "", _MONTH, currency_needed=True)
     rupees_yearly = _form("", "", _YEAR, currency_needed=True)
-    says_month = text.rlike(r"(?U)\b" + _MONTH)
-
-    return (
-        F.when(text.rlike(thousands_yearly), figures(thousands_yearly, lambda v: v * 1000 / 100000.0))
-        .when(text.rlike(thousands_monthly), figures(thousands_monthly, lambda v: v * 1000 * 12 / 100000.0))
-        .when(text.rlike(lakh_monthly), figures(lakh_monthly, lambda v: v * 12.0))
-        .when(~says_month & text.rlike(lakh_yearly), figures(lakh_yearly, judged_rounded=False))
-        .when(text.rlike(rupees_monthly), figures(rupees_monthly, lambda v: v * 12 / 100000.0))
-        .when(
-            text.rlike(rupees_yearly) & (_number(text, rupees_yearly, 1) >= 100000),
-            figures(rupees_yearly, lambda v: v / 100000.0),
-        )
-    )
+    says_month = has(r"(?U)\b" + _MONTH)
+    full_rupees = f"CAST(regexp_extract(t, {literal(rupees_yearly)}, 1) AS DOUBLE) >= 100000"
+    return f"""CASE
+        WHEN {has(thousands_yearly)} THEN {_figures(thousands_yearly, "{v} * 1000 / 100000D")}
+        WHEN {has(thousands_monthly)} THEN {_figures(thousands_monthly, "{v} * 1000 * 12 / 100000D")}
+        WHEN {has(lakh_monthly)} THEN {_figures(lakh_monthly, "{v} * 12D")}
+        WHEN NOT {says_month} AND {has(lakh_yearly)} THEN {_figures(lakh_yearly, judged_rounded=False)}
+        WHEN {has(rupees_monthly)} THEN {_figures(rupees_monthly, "{v} * 12 / 100000D")}
+        WHEN {has(rupees_yearly)} AND {full_rupees} THEN {_figures(rupees_yearly, "{v} / 100000D")}
+    END"""
+
+
+def _usable_sql() -> str:
+    """The text ``t`` if it can be a yearly rupee figure, else null."""
+    foreign = any_of([f"contains(t, {literal(m)})" for m in catalog.FOREIGN_CURRENCY_MARKS])
+    rupee = any_of([f"contains(lower(t), {literal(m)})" for m in catalog.RUPEE_MARKS])
+    return f"CASE WHEN NOT t RLIKE {literal(_NOT_YEARLY_WORK)} AND NOT {foreign} AND {rupee} THEN t END"
+
+
+def _finish_sql() -> str:
+    """Both figures of ``v`` rounded, if both are within bounds."""
+    low, high = _BOUNDS
+    rounded = {c: round_binary_sql(f"v.{c}", 2) for c in ("low", "high")}
+    raw_ok = f"v.low BETWEEN {low} AND {high} AND v.high BETWEEN {low} AND {high}"
+    rounded_ok = " AND ".join(f"({r}) BETWEEN {low} AND {high}" for r in rounded.values())
+    ok = f"CASE WHEN v.judged_rounded THEN {rounded_ok} ELSE {raw_ok} END"
+    return f"named_struct('min', CASE WHEN {ok} THEN {rounded['low']} END, 'max', CASE WHEN {ok} THEN {rounded['high']} END)"
 
 
 def salary_lpa(c: Column) -> Column:
@@ -98,15 +101,6 @@ def salary_lpa(c: Column) -> Column:
 
     The first form found decides, also when its figure is then out of range.
     """
-    def usable(text: Column) -> Column:
-        lowered = F.lower(text)
-        foreign, rupee = F.lit(False), F.lit(False)
-        for mark in catalog.FOREIGN_CURRENCY_MARKS:
-            foreign = foreign | text.contains(mark)
-        for mark in catalog.RUPEE_MARKS:
-            rupee = rupee | lowered.contains(mark)
-        return F.when(~text.rlike(_NOT_YEARLY_WORK) & ~foreign & rupee, text)
-
     # Dashes become hyphens, hard spaces blanks, and commas go.
-    cleaned = strip(F.translate(let(strip(c), usable), "\u2013\u2014\u00a0,", "-- "))
-    return let(let(cleaned, _parse), _finish)
+    cleaned = strip(F.translate(let(strip(c), "t", _usable_sql()), "\u2013\u2014\u00a0,", "-- "))
+    return let(let(cleaned, "t", _parse_sql()), "v", _finish_sql())

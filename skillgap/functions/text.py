@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skillgap.catalog import DEFAULT_LANGUAGE, DEFAULT_REGION, Form, SkillCatalog
-from skillgap.functions.numbers import let
+from skillgap.functions.numbers import any_of, let, literal
 
 # Unicode white space plus the four separators that count as space in text input.
 _SPACE = r"[\s\x1c-\x1f]"
@@ -57,44 +57,36 @@ def fold_case(c: Column) -> Column:
     return F.lower(F.when(special, F.translate(c, _FOLD_FROM, _FOLD_TO)).otherwise(c))
 
 
-def _present(form: Form, text: Column, folded: Column) -> Column:
-    """Whether a form occurs: a cheap substring test first, the pattern only where that succeeds."""
-    match = (folded if form.any_case else text).rlike(form.pattern)
+def _present(form: Form, text: str, folded: str) -> str:
+    """SQL for whether a form occurs: a cheap substring test first, the pattern only where that succeeds."""
+    match = f"{folded if form.any_case else text} RLIKE {literal(form.pattern)}"
     if not form.hints:
-        return match
-    hinted = folded.contains(form.hints[0])
-    for h in form.hints[1:]:
-        hinted = hinted | folded.contains(h)
-    return hinted & match
+        return f"({match})"
+    return "(" + any_of([f"contains({folded}, {literal(h)})" for h in form.hints]) + f" AND {match})"
+
+
+def _with_folded(text: Column) -> Column:
+    return F.struct(text.alias("text"), fold_case(text).alias("folded"))
 
 
 def extract_skills(text: Column, skills: SkillCatalog) -> Column:
     """Sorted canonical skills found in a text; empty for a null or empty text."""
-    def find(folded: Column) -> Column:
-        found = []
-        for name in sorted(skills.names):
-            first, *others = [_present(form, text, folded) for form in skills.forms(name)]
-            for other in others:
-                first = first | other
-            found.append(F.when(first, F.lit(name)))
-        return F.array_compact(F.array(*found))
-
-    return let(fold_case(text), find)
+    found = [
+        f"CASE WHEN {any_of([_present(f, 'd.text', 'd.folded') for f in skills.forms(n)])} THEN {literal(n)} END"
+        for n in sorted(skills.names)
+    ]
+    return let(_with_folded(text), "d", f"array_compact(array({', '.join(found)}))")
 
 
 def count_mentions(text: Column, skills: SkillCatalog) -> Column:
     """Occurrences of each skill in a text, as an array in catalog order."""
-    def occurrences(form: Form, folded: Column) -> Column:
-        return F.regexp_count(folded if form.any_case else text, F.lit(form.pattern))
+    def occurrences(form: Form) -> str:
+        where = "d.folded" if form.any_case else "d.text"
+        counted = f"regexp_count({where}, {literal(form.pattern)})"
+        return f"CASE WHEN {_present(form, 'd.text', 'd.folded')} THEN {counted} ELSE 0 END"
 
-    def count(folded: Column) -> Column:
-        totals = []
-        for name in skills.names:
-            per_form = [F.when(_present(f, text, folded), occurrences(f, folded)).otherwise(0) for f in skills.forms(name)]
-            totals.append(sum(per_form[1:], per_form[0]))
-        return F.array(*totals)
-
-    return let(fold_case(text), count)
+    totals = [" + ".join(occurrences(f) for f in skills.forms(n)) for n in skills.names]
+    return let(_with_folded(text), "d", f"array({', '.join(totals)})")
 
 
 def resolve_skill(name: Column, skills: SkillCatalog) -> Column:
@@ -103,29 +95,20 @@ def resolve_skill(name: Column, skills: SkillCatalog) -> Column:
     An exact name wins (case-insensitively, acronyms by exact case); then the
     first pattern of the catalog that the name contains, special ones first.
     """
-    exact: dict[str, str] = {}
+    cases = ["WHEN d.text = '' THEN NULL"]
+    for n in skills.names:
+        if skills.is_acronym(n):
+            cases.append(f"WHEN lower(d.text) = {literal(n.lower())} THEN CASE WHEN d.text = {literal(n)} THEN d.text END")
     for n in skills.names:
         if not skills.is_acronym(n):
-            exact.setdefault(n.lower(), n)
-
-    def resolve(clean: Column) -> Column:
-        lowered = F.lower(clean)
-        direct = F.try_element_at(F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]), lowered)
-        acronyms = [F.when(clean == n, F.lit(n)) for n in skills.names if skills.is_acronym(n)]
-        by_pattern = []
-        for n in skills.resolution_order():
-            if skills.is_acronym(n):
-                pattern = rf"(?iU)^(?:{skills.long_forms[n]})\z"
-                by_pattern.append(F.when(clean.rlike(pattern), F.lit(n)))
-            else:
-                by_pattern.append(F.when(_present(skills.forms(n)[0], clean, fold_case(clean)), F.lit(n)))
-        refused = clean == ""
-        for n in skills.names:
-            if skills.is_acronym(n):
-                refused = refused | ((lowered == n.lower()) & (clean != n))
-        return F.when(~refused, F.coalesce(*acronyms, direct, *by_pattern))
-
-    return let(strip(name), resolve)
+            cases.append(f"WHEN lower(d.text) = {literal(n.lower())} THEN {literal(n)}")
+    for n in skills.resolution_order():
+        if skills.is_acronym(n):
+            whole = literal(rf"(?iU)^(?:{skills.long_forms[n]})\z")
+            cases.append(f"WHEN d.text RLIKE {whole} THEN {literal(n)}")
+        else:
+            cases.append(f"WHEN {_present(skills.forms(n)[0], 'd.text', 'd.folded')} THEN {literal(n)}")
+    return let(_with_folded(strip(name)), "d", f"CASE {' '.join(cases)} END")
 
 
 def cache_key(query: Column, location: Column, gl: Column, hl: Column, date_posted: Column) -> Column:
