@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,25 +59,33 @@ def fold_case(c: Column) -> Column:
     return F.lower(F.when(special, F.translate(c, _FOLD_FROM, _FOLD_TO)).otherwise(c))
 
 
-def _present(form: Form, text: str, folded: str) -> str:
-    """SQL for whether a form occurs: a cheap substring test first, the pattern only where that succeeds."""
-    match = f"{folded if form.any_case else text} RLIKE {literal(form.pattern)}"
-    if not form.hints:
+def hinted(pattern: str, subject: str, hints: Sequence[str], folded: str) -> str:
+    """SQL for a match: a cheap substring test first, the pattern only where that succeeds."""
+    match = f"{subject} RLIKE {literal(pattern)}"
+    if not hints:
         return f"({match})"
-    return "(" + any_of([f"contains({folded}, {literal(h)})" for h in form.hints]) + f" AND {match})"
+    return "(" + any_of([f"contains({folded}, {literal(h)})" for h in hints]) + f" AND {match})"
 
 
-def _with_folded(text: Column) -> Column:
-    return F.struct(text.alias("text"), fold_case(text).alias("folded"))
+def _present(form: Form, text: str, folded: str) -> str:
+    """SQL for whether a form of a skill occurs."""
+    return hinted(form.pattern, folded if form.any_case else text, form.hints, folded)
+
 
+def _with_folded(text: Column, folded: Column | None = None) -> Column:
+    return F.struct(text.alias("text"), (fold_case(text) if folded is None else folded).alias("folded"))
 
-def extract_skills(text: Column, skills: SkillCatalog) -> Column:
-    """Sorted canonical skills found in a text; empty for a null or empty text."""
+
+def extract_skills(text: Column, skills: SkillCatalog, folded: Column | None = None) -> Column:
+    """Sorted canonical skills found in a text; empty for a null or empty text.
+
+    ``folded`` is the text's ``fold_case`` where the caller has it already.
+    """
     found = [
         f"CASE WHEN {any_of([_present(f, 'd.text', 'd.folded') for f in skills.forms(n)])} THEN {literal(n)} END"
         for n in sorted(skills.names)
     ]
-    return let(_with_folded(text), "d", f"array_compact(array({', '.join(found)}))")
+    return let(_with_folded(text, folded), "d", f"array_compact(array({', '.join(found)}))")
 
 
 def count_mentions(text: Column, skills: SkillCatalog) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from skillgap import catalog
 from skillgap.catalog import SKILLS, SkillCatalog
 from skillgap.functions.coverage import string_array
-from skillgap.functions.text import extract_skills, resolve_skill, strip
+from skillgap.functions.numbers import any_of
+from skillgap.functions.text import extract_skills, fold_case, hinted, resolve_skill, strip
 from skillgap.operators.browse import recommended
 from skillgap.operators.params import MAX_SKILLS, MAX_TEXT, check_text
 
@@ -61,31 +62,49 @@ def candidate_skills(df: DataFrame, skills: SkillCatalog = SKILLS) -> DataFrame:
     )
 
 
+def _word_hints(pattern: str) -> list[str]:
+    """The last word of each alternative, if all are plain words; else nothing."""
+    body = pattern.removeprefix(r"\b(").removesuffix(r")\b")
+    words = [alternative.split(r"\s+")[-1] for alternative in body.split("|")]
+    return words if all(w.isalpha() for w in words) else []
+
+
+def _family(pattern: str) -> str:
+    """SQL for a family of words in ``_text``, looked for in ``_folded``."""
+    return hinted("(?U)" + pattern, "_folded", _word_hints(pattern), "_folded")
+
+
 def resume_gate(df: DataFrame, skills: SkillCatalog = SKILLS) -> DataFrame:
-    """(id, accepted, reason, skills, char_count): is this text a technical resume?"""
-    text = F.col("_text")
-    sections = F.lit(0)
-    for p in catalog.RESUME_SECTIONS:
-        sections = sections + text.rlike("(?iU)" + p).cast("int")
-    identified = F.lit(False)
-    for p in catalog.RESUME_IDENTIFIERS_EXACT_CASE:
-        identified = identified | text.rlike("(?U)" + p)
-    for p in catalog.RESUME_IDENTIFIERS:
-        identified = identified | text.rlike("(?iU)" + p)
-    found = df.select(F.col("id"), strip(F.coalesce("text", F.lit(""))).alias("_text")).select(
-        "id",
-        F.length("_text").alias("char_count"),
-        sections.alias("sections"),
-        identified.alias("identified"),
-        extract_skills(text, skills).alias("skills"),
+    """(id, accepted, reason, skills, char_count): is this text a technical resume?
+
+    The checks stand in one CASE, so a text that fails an early one is not
+    searched for the patterns of a later one.
+    """
+    sections = " + ".join(f"CAST({_family(p)} AS INT)" for p in catalog.RESUME_SECTIONS)
+    email, phone = ("(?U)" + p for p in catalog.RESUME_IDENTIFIERS_EXACT_CASE)
+    identified = any_of(
+        [_family(p) for p in reversed(catalog.RESUME_IDENTIFIERS)]
+        + [hinted(email, "_text", ["@"], "_text"), hinted(phone, "_text", [], "_text")]
     )
-    reason = (
-        F.when(F.col("char_count") < _MIN_RESUME_CHARS, "no_extractable_text")
-        .when(F.col("sections") < _MIN_SECTIONS, "not_resume_structure")
-        .when(~F.col("identified"), "no_identifiers")
-        .when(F.size("skills") < _MIN_RESUME_SKILLS, "too_few_skills")
+    reason = f"""CASE
+        WHEN char_count < {_MIN_RESUME_CHARS} THEN 'no_extractable_text'
+        WHEN sections < {_MIN_SECTIONS} THEN 'not_resume_structure'
+        WHEN NOT {identified} THEN 'no_identifiers'
+        WHEN size(skills) < {_MIN_RESUME_SKILLS} THEN 'too_few_skills'
+    END"""
+    return (
+        df.select("id", strip(F.coalesce("text", F.lit(""))).alias("_text"))
+        .withColumn("_folded", fold_case(F.col("_text")))
+        .withColumns(
+            {
+                "char_count": F.length("_text"),
+                "sections": F.expr(sections),
+                "skills": extract_skills(F.col("_text"), skills, F.col("_folded")),
+            }
+        )
+        .withColumn("reason", F.expr(reason))
+        .select("id", F.col("reason").isNull().alias("accepted"), "reason", "skills", "char_count")
     )
-    return found.select("id", reason.isNull().alias("accepted"), reason.alias("reason"), "skills", "char_count")
 
 
 def match_summary(text_df: DataFrame, skills: SkillCatalog = SKILLS) -> DataFrame:

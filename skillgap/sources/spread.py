@@ -1,0 +1,17 @@
+"""Giving CPU-heavy text work enough tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, if the table comes in fewer splits than there are cores.
+
+    A table of one small file is one task, however many cores wait. A large
+    table has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

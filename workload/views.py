@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgap.catalog import RoleCatalog, SkillCatalog
-from skillgap.functions.text import normalize_text
+from skillgap.sources.spread import spread
 
 BRANDS = SkillCatalog.of([f"Brand#{i}" for i in range(1, 26)])
 
@@ -137,7 +137,7 @@ JOIN nation n ON n.n_nationkey = c.c_nationkey
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
