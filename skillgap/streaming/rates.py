@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 # Requests per minute of the two endpoint groups.
@@ -97,43 +97,34 @@ def rate_flags(
     return calm.unionByName(replayed)
 
 
-class AdmissionProcessor(StatefulProcessor):
-    """Per client, the times of the admissions still inside the window."""
-
-    def __init__(self, ts: str, limit: int, window_s: int):
-        self.ts, self.limit, self.width = ts, limit, window_s * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # An idle client's history expires by itself.
-        self.recent = handle.getValueState("recent", "times array<long>", ttlDurationMs=self.width // 1000)
-
-    def handleInputRows(self, key, rows, timerValues):
-        stored = self.recent.get() if self.recent.exists() else ([],)
-        recent = deque(stored[0])
-        for chunk in rows:
-            chunk = chunk.sort_values([self.ts], kind="stable")
-            flags = []
-            for now in chunk[self.ts].astype("datetime64[us]").astype("int64"):
-                while recent and now - recent[0] >= self.width:
-                    recent.popleft()
-                flags.append(len(recent) < self.limit)
-                if flags[-1]:
-                    recent.append(now)
-            yield chunk.assign(admitted=flags)
-        self.recent.update(([int(t) for t in recent],))
-
-    def close(self) -> None:
-        pass
-
-
 def stream_rate_flags(
     stream: DataFrame, key: str, ts: str, limit: int = SEARCH_LIMIT, window_s: int = 60
 ) -> DataFrame:
     """The same flags on a live log, requests taken as they arrive.
 
-    Needs the RocksDB state store provider.
+    Per client the state is the times of the admissions still inside the
+    window, at most ``limit`` of them; an idle client's state times out.
     """
+    width = window_s * 1_000_000
     out = T.StructType([*stream.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return stream.groupBy(key).transformWithStateInPandas(
-        AdmissionProcessor(ts, limit, window_s), out, "Append", "ProcessingTime"
+
+    def admit(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent = deque(state.get[0] if state.exists else [])
+        for chunk in chunks:
+            flags = []
+            for now in chunk[ts].astype("datetime64[us]").astype("int64"):
+                while recent and now - recent[0] >= width:
+                    recent.popleft()
+                flags.append(len(recent) < limit)
+                if flags[-1]:
+                    recent.append(int(now))
+            yield chunk.assign(admitted=flags)
+        state.update((list(recent),))
+        state.setTimeoutDuration(window_s * 1000)
+
+    return stream.groupBy(key).applyInPandasWithState(
+        admit, out, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
