@@ -98,12 +98,14 @@ def rate_flags(
 
 
 def stream_rate_flags(
-    stream: DataFrame, key: str, ts: str, limit: int = SEARCH_LIMIT, window_s: int = 60
+    stream: DataFrame, key: str, ts: str, limit: int = SEARCH_LIMIT, window_s: int = 60, expire_idle: bool = True
 ) -> DataFrame:
     """The same flags on a live log, requests taken as they arrive.
 
     Per client the state is the times of the admissions still inside the
-    window, at most ``limit`` of them; an idle client's state times out.
+    window, at most ``limit`` of them; an idle client's state times out. Set
+    ``expire_idle`` to False for a run over what is available now: processing-time
+    timeouts keep such a run going for ever.
     """
     width = window_s * 1_000_000
     out = T.StructType([*stream.schema.fields, T.StructField("admitted", T.BooleanType())])
@@ -123,8 +125,8 @@ def stream_rate_flags(
                     recent.append(int(now))
             yield chunk.assign(admitted=flags)
         state.update((list(recent),))
-        state.setTimeoutDuration(window_s * 1000)
+        if expire_idle:
+            state.setTimeoutDuration(window_s * 1000)
 
-    return stream.groupBy(key).applyInPandasWithState(
-        admit, out, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy(key).applyInPandasWithState(admit, out, "times array<long>", "append", timeout)
