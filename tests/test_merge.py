@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from skillgap.operators.merge import ARRIVAL, merge_postings, touch_existing
 from skillgap.operators.prepare import prepare_batch
@@ -215,4 +214,3 @@ def test_conform_adds_columns_once(spark):
     assert wide.columns == NAMES and conform_schema(wide).columns == NAMES
     r = wide.first()
     assert r["portal_count"] == 1 and r["is_snapshot"] is False and r["source_queries"] is None
-    assert F is not None

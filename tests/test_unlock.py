@@ -142,6 +142,8 @@ def test_salary_benchmark_rounds_like_binary(spark):
     assert tuple(got) == (2, lo, hi, top, round((top - hi) / hi * 100))
 
 
-def test_roles_and_corpus(seven):
+def test_role_summary(seven):
     summary = {r["role"]: r["jobs"] for r in market.role_summary(seven).collect()}
-    assert summary == {"backend": 1, "data": 1, "ml_ai": 0, "devops_cloud": 2, "frontend_fullstack": 1, "any_role_unmatched": 1} or sum(summary.values()) >= 6
+    assert summary == {
+        "backend": 1, "data": 1, "ml_ai": 0, "devops_cloud": 1, "frontend_fullstack": 1, "any_role_unmatched": 2,
+    }
