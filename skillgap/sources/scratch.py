@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_root: str | None = None
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset (tests)."""
-    global _local_root
+    """``spark.checkpoint.dir`` of the session; the warehouse where that is unset.
+
+    Only a local session may write to a ``file:`` folder that was not named as
+    shared: on a cluster each executor would fill its own disk.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="skillgap-")
-    return _local_root
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """The same rows read back from a written table: computed once, and lost executors do not redo it."""
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the table behind a ``materialize`` result that nothing will read again."""
+    remove(df.sparkSession, df._scratch)
