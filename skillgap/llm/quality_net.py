@@ -103,7 +103,7 @@ class Network:
         for n, text in enumerate(texts):
             if len(text) > PIECE:
                 maxima = self.chunk_maxima(np.frombuffer(text, np.uint8))
-                features[n] = np.concatenate([maxima.mean(axis=0), maxima.max(axis=0)])
+                features[n] = np.concatenate([maxima.mean(axis=0, dtype=np.float64), maxima.max(axis=0)])
                 continue
             group.append(n)
             size += len(text)
@@ -125,7 +125,7 @@ class Network:
             start += len(p) // STRIDE
         maxima = _maxima(a, np.array(cuts).ravel())
         first = np.cumsum([0, *counts[:-1]])
-        features[group, :FILTERS] = np.add.reduceat(maxima, first, axis=0) / np.array(counts)[:, None]
+        features[group, :FILTERS] = np.add.reduceat(maxima.astype(np.float64), first, axis=0) / np.array(counts)[:, None]
         features[group, FILTERS:] = np.maximum.reduceat(maxima, first, axis=0)
 
 
