@@ -32,17 +32,26 @@ def ingest(store: DataFrame, raw: DataFrame, now: dt.datetime, is_snapshot: bool
 
 
 def refresh_snapshots(
-    store: DataFrame, disk: DataFrame, now: dt.datetime, force: bool = False, skills: SkillCatalog = SKILLS
+    store: DataFrame,
+    disk: DataFrame,
+    now: dt.datetime,
+    force: bool = False,
+    skills: SkillCatalog = SKILLS,
+    newest_by: str = "first_file",
 ) -> DataFrame:
     """The store after looking at the snapshot files: loaded if it has none, reloaded if they are newer.
 
-    Newer means that the first file's capture date is after the latest stored
-    one. Otherwise the store is returned as it is.
+    Newer means that the capture date of the first file (``newest_by="first_file"``)
+    or of the newest one (``"any_file"``) is after the latest stored one. Otherwise
+    the store is returned as it is.
     """
+    if newest_by not in ("first_file", "any_file"):
+        raise ValueError(f"newest_by is first_file or any_file, not {newest_by}")
     mark = snapshot_watermark(store).first()
     if mark["snapshot_rows"]:
         if not force:
-            first = disk.agg(F.min_by("captured_at", ARRIVAL).alias("captured_at")).first()["captured_at"]
+            by = F.min_by("captured_at", ARRIVAL) if newest_by == "first_file" else F.max("captured_at")
+            first = disk.agg(by.alias("captured_at")).first()["captured_at"]
             latest = mark["latest_capture"]
             force = bool(first and latest and first[:10] > str(latest)[:10])
         if not force:

@@ -1,117 +1,127 @@
 """The merged postings table on shared storage.
 
-Rows are spread over a fixed number of buckets by id. A commit writes the
-buckets it changes into a folder of its own and then appends one manifest file
-that says where each of them now is, so readers see all of a commit or nothing,
-and a merge rewrites only the buckets its batch touches. One writer at a time.
+Each commit writes a whole new version as Parquet and then one small pointer
+file that names it, so readers see all of a commit or nothing. Pointer files are
+numbered and never overwritten: of two writers that start from the same version,
+the second fails. The pointer also keeps the last batch number of each stream,
+so a batch that a stream repeats is merged once, whatever other streams do.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skillgap.operators.merge import merge_postings
 from skillgap.schema import POSTING, conform_schema
+from skillgap.sources.scratch import remove, scratch_scope
 
-_MANIFEST = T.StructType(
-    [
-        T.StructField("version", T.LongType()),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("buckets", T.IntegerType()),
-        T.StructField("present", T.BooleanType()),
-        T.StructField("batch_id", T.LongType()),
-    ]
-)
-DEFAULT_BUCKETS = 64
-
-
-def _bucket_of(buckets: int):
-    return F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
-
-
-def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(_MANIFEST).json(f"{path}/manifest")
-    except AnalysisException:
-        return None
+#: Versions that stay readable behind the current one.
+KEPT_VERSIONS = 2
 
 
 class Store:
     """A postings table at ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS):
+    def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = buckets
-        self._versions: dict[int, int] = {}
-        self.version, self.batch_id = 0, -1
+        self.version, self.folder, self.streams = 0, None, {}
         self._load()
 
-    def _load(self) -> None:
-        log = _manifest(self.spark, self.path)
-        if log is None:
-            return
-        # One row per bucket, however many commits there were.
-        current = log.groupBy("bucket").agg(
-            F.max("version").alias("version"),
-            F.max_by("present", "version").alias("present"),
-            F.max("buckets").alias("buckets"),
-            F.max("batch_id").alias("batch_id"),
-        ).collect()
-        if current:
-            self._versions = {r["bucket"]: r["version"] for r in current if r["present"]}
-            self.version = max(r["version"] for r in current)
-            self.batch_id = max(r["batch_id"] for r in current)
-            self.buckets = current[0]["buckets"]
-
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """The current rows, or those of some buckets."""
-        folders = [
-            f"{self.path}/data/version={v}/bucket={b}"
-            for b, v in sorted(self._versions.items())
-            if only is None or b in only
-        ]
-        if not folders:
-            return self.spark.createDataFrame([], POSTING)
-        return self.spark.read.schema(POSTING).parquet(*folders)
-
-    def _commit(self, df: DataFrame, changed: list[int], batch_id: int) -> None:
-        version = self.version + 1
-        folder = f"{self.path}/data/version={version}"
-        bucketed = conform_schema(df).withColumn("bucket", _bucket_of(self.buckets))
-        # An earlier attempt at this version wrote no manifest; its files are replaced.
-        bucketed.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        held = self.spark.read.schema("job_id string, bucket int").parquet(folder).select("bucket").distinct().collect()
-        filled = {r["bucket"] for r in held}
-        rows = [(version, b, self.buckets, b in filled, batch_id) for b in changed]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-        self._load()
+    def _at(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _pointers(self) -> dict[int, str]:
+        """Pointer files by version; none where the table was never written."""
+        files, folder = self._at(f"{self.path}/pointer")
+        if not files.exists(folder):
+            return {}
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        return {int(n.split(".")[0]): f"{self.path}/pointer/{n}" for n in names if n.endswith(".json")}
+
+    def _read_pointer(self, path: str) -> dict:
+        text = self.spark.read.text(path, wholetext=True).first()
+        try:
+            found = json.loads(text["value"])
+            return {"version": found["version"], "folder": found["folder"], "streams": found["streams"]}
+        except (TypeError, ValueError, KeyError) as e:
+            raise ValueError(f"the pointer {path} cannot be read; the table is left as it is") from e
 
-    def overwrite(self, df: DataFrame, batch_id: int = -1) -> None:
-        """Replace the whole table."""
-        self._commit(df, list(range(self.buckets)), batch_id)
+    def _load(self) -> None:
+        pointers = self._pointers()
+        if pointers:
+            found = self._read_pointer(pointers[max(pointers)])
+            self.version, self.folder, self.streams = found["version"], found["folder"], found["streams"]
 
-    def merge(self, batch: DataFrame, batch_id: int = -1) -> int:
+    def read(self) -> DataFrame:
+        if self.folder is None:
+            return self.spark.createDataFrame([], POSTING)
+        return self.spark.read.schema(POSTING).parquet(f"{self.path}/{self.folder}")
+
+    def _commit(self, df: DataFrame, streams: dict[str, int]) -> None:
+        version, folder = self.version + 1, f"data/{self.version + 1}-{uuid.uuid4().hex}"
+        self._check_alone()
+        # Rebalanced, so that the number of files follows the size of the table.
+        conform_schema(df).hint("rebalance").write.parquet(f"{self.path}/{folder}")
+        body = json.dumps({"version": version, "folder": folder, "streams": streams})
+        files, made = self._at(f"{self.path}/pointer/{uuid.uuid4().hex}.tmp")
+        out = files.create(made, False)
+        out.write(bytearray(body.encode()))
+        out.close()
+        _, final = self._at(f"{self.path}/pointer/{version:012d}.json")
+        try:
+            self._check_alone()
+            if not files.rename(made, final):
+                raise RuntimeError(f"version {version} could not be committed")
+        except RuntimeError:
+            files.delete(made, False)
+            remove(self.spark, f"{self.path}/{folder}")
+            raise
+        self.version, self.folder, self.streams = version, folder, streams
+        self._forget()
+
+    def _check_alone(self) -> None:
+        newest = max(self._pointers(), default=0)
+        if newest != self.version:
+            raise RuntimeError(f"another writer has committed version {newest}; load the table and try again")
+
+    def _forget(self) -> None:
+        """Delete versions that are too old to be read any more, data first."""
+        for version, path in sorted(self._pointers().items()):
+            if version < self.version - KEPT_VERSIONS:
+                remove(self.spark, f"{self.path}/{self._read_pointer(path)['folder']}")
+                remove(self.spark, path)
+
+    def overwrite(self, df: DataFrame) -> None:
+        """Replace the whole table; what streams have delivered so far stays known."""
+        self._commit(df, self.streams)
+
+    def merge(self, batch: DataFrame, stream: str | None = None, batch_id: int | None = None) -> int:
         """Merge a prepared batch; returns the number of ids touched.
 
-        A batch id that is already committed is skipped, so a repeated stream
-        batch is merged once.
+        ``batch_id`` counts the batches of ``stream``; one that the stream has
+        committed already is skipped. Without a stream every batch is merged.
         """
-        if 0 <= batch_id <= self.batch_id:
-            return 0
-        ids = batch.select("job_id").distinct()
-        per_bucket = ids.groupBy(_bucket_of(self.buckets).alias("bucket")).agg(F.count("*").alias("ids")).collect()
-        if not per_bucket:
-            return 0
-        changed = [r["bucket"] for r in per_bucket]
-        self._commit(merge_postings(self.read(changed), batch), changed, batch_id)
-        return sum(r["ids"] for r in per_bucket)
-
-
-def write_store(df: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> Store:
-    store = Store(df.sparkSession, path, buckets)
+        streams = dict(self.streams)
+        if stream is not None:
+            if batch_id is None:
+                raise ValueError("a stream's batch needs its number")
+            if batch_id <= streams.get(stream, -1):
+                return 0
+            streams[stream] = batch_id
+        touched = batch.agg(F.count_distinct("job_id")).first()[0]
+        if touched or stream is not None:
+            with scratch_scope(self.spark):
+                self._commit(merge_postings(self.read(), batch), streams)
+        return touched
+
+
+def write_store(df: DataFrame, path: str) -> Store:
+    store = Store(df.sparkSession, path)
     store.overwrite(df)
     return store
 
