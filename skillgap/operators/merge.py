@@ -5,6 +5,10 @@ then the batch in arrival order. Here every column has a closed form over
 (first, last, earliest, union ...), so the fold becomes aggregates that combine
 in each task before the shuffle. No list of all rows of an id is ever built, and
 an id that holds a third of the batch is merged like any other.
+
+The rows that take part, and one row per id with all that a single pass can
+tell, are written once and read by what follows. Joins back to them have a plain
+table on both sides, so Spark splits an id with many rows by itself.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 
 from skillgap.functions.postings import publisher
 from skillgap.functions.text import empty_to_null, strip
-from skillgap.operators.skew import salted_lookup
 from skillgap.schema import POSTING, conform_schema
+from skillgap.sources.scratch import materialize
 
 ARRIVAL = "arrival"
 
@@ -40,10 +44,10 @@ def _has_text(c: Column) -> Column:
     return c.isNotNull() & (strip(c) != "")
 
 
-def _ordered_rows(store: DataFrame, batch: DataFrame) -> DataFrame:
+def _ordered_rows(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Stored and incoming rows with ``ord``: the place of a row in its id's fold."""
     missing = F.lit(None).cast(batch.schema[ARRIVAL].dataType)
-    stored = conform_schema(store).withColumn("ord", F.struct(F.lit(0).alias("incoming"), missing.alias(ARRIVAL)))
+    stored = stored.withColumn("ord", F.struct(F.lit(0).alias("incoming"), missing.alias(ARRIVAL)))
     new = batch.withColumn("ord", F.struct(F.lit(1).alias("incoming"), F.col(ARRIVAL).alias(ARRIVAL)))
     shaped = [F.col(f.name).cast(f.dataType).alias(f.name) for f in POSTING.fields]
     return stored.unionByName(new.select(*shaped, "ord"))
@@ -136,7 +140,7 @@ def _late_values(rows: DataFrame, single: DataFrame) -> DataFrame:
         (F.col("row_count") > 1) & (open_pay | (first_place.isNull() & ~F.col("any_remote")))
     ).select("job_id", "paid_ord", "first_ord")
     narrow = rows.select("job_id", "ord", "salary_min_lpa", "salary_max_lpa", "location_type")
-    joined = salted_lookup(narrow, open_ids, ["job_id"], ["ord"])
+    joined = narrow.join(open_ids, "job_id")
     paid_on = F.col("ord") >= F.col("paid_ord")
     return joined.groupBy("job_id").agg(
         _first("salary_min_lpa", paid_on & F.col("salary_min_lpa").isNotNull()).alias("late_min"),
@@ -147,9 +151,10 @@ def _late_values(rows: DataFrame, single: DataFrame) -> DataFrame:
 
 def _fold(rows: DataFrame) -> DataFrame:
     """One merged row per id."""
-    single = _single_values(rows)
-    several = rows.groupBy("job_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("job_id")
-    lists = _list_items(salted_lookup(rows, several, ["job_id"], ["ord"], "left_semi"))
+    rows = materialize(rows, "merge-rows")
+    single = materialize(_single_values(rows), "merge-ids")
+    several = single.where("row_count > 1").select("job_id")
+    lists = _list_items(rows.join(several, "job_id", "left_semi"))
     late = _late_values(rows, single)
     x = single.join(lists, "job_id", "left").join(late, "job_id", "left")
 
@@ -188,18 +193,26 @@ def _fold(rows: DataFrame) -> DataFrame:
     return x.select(*[merged.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in POSTING.fields])
 
 
+def _tagged(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows with ``touched``: whether their id occurs in the batch."""
+    ids = batch.select("job_id").distinct().withColumn("touched", F.lit(True))
+    return conform_schema(store).join(ids, "job_id", "left")
+
+
 def touch_existing(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Stored rows whose id occurs in the batch."""
-    return store.join(batch.select("job_id").distinct(), "job_id", "left_semi")
+    return _tagged(store, batch).where("touched").drop("touched")
 
 
 def merge_postings(store: DataFrame, batch: DataFrame) -> DataFrame:
     """The store with a prepared batch merged in; one row per id.
 
-    ``batch`` comes from ``prepare_batch`` and carries ``arrival``. Stored rows
-    the batch does not touch pass through without a shuffle of their own.
+    ``batch`` comes from ``prepare_batch`` and carries ``arrival``; it is read
+    twice. The store meets the ids of the batch in one join; stored rows that
+    the batch does not touch pass on from there. The touched rows are staged
+    (see ``scratch_scope``).
     """
-    stored = conform_schema(store)
-    untouched = stored.join(batch.select("job_id").distinct(), "job_id", "left_anti")
-    merged = _fold(_ordered_rows(touch_existing(stored, batch), batch))
-    return untouched.unionByName(merged)
+    tagged = _tagged(store, batch)
+    untouched = tagged.where("touched IS NULL").select(*[f.name for f in POSTING.fields])
+    touched = tagged.where("touched").select(*[f.name for f in POSTING.fields])
+    return untouched.unionByName(_fold(_ordered_rows(touched, batch)))

@@ -1,4 +1,4 @@
-"""The merge against a sequential fold written here, and its known cases."""
+"""The merge against each column's rule over all rows of an id, and its known cases."""
 
 import datetime as dt
 import random
@@ -13,52 +13,47 @@ NOW = dt.datetime(2026, 10, 9, 12, 0, 0)
 NAMES = [f.name for f in POSTING.fields]
 
 
-def fold_two(a, b):
-    """One merge step on two plain dicts."""
-    out = dict(a)
-
-    def phrases(r):
-        got = [q.strip() for q in r["source_queries"] or [] if q and q.strip()]
-        own = (r["source_query"] or "").strip()
-        return got + [own] if own and own not in got else got
-
-    out["source_queries"] = list(dict.fromkeys(phrases(a) + phrases(b)))
-    out["source_query"] = a["source_query"] or (out["source_queries"][0] if out["source_queries"] else None)
-    options = {}
-    for o in (a["apply_options"] or []) + (b["apply_options"] or []):
-        key = (o["title"] or o["link"] or "").strip().lower()
-        if key:
-            options.setdefault(key, o)
-    out["apply_options"] = list(options.values())
-    out["portal_count"] = len(options) or 1
-    if not a["apply_link"] and options:
-        out["apply_link"] = out["apply_options"][0]["link"]
-    pay_a, pay_b = a["salary_raw"] or a["salary"], b["salary_raw"] or b["salary"]
-    if pay_a and pay_a.strip():
-        out["salary"] = out["salary_raw"] = pay_a
-        for c in ("salary_min_lpa", "salary_max_lpa"):
-            out[c] = a[c] if a[c] is not None else b[c]
-    else:
-        out["salary"] = out["salary_raw"] = pay_b
-        for c in ("salary_min_lpa", "salary_max_lpa"):
-            out[c] = b[c]
-    if b["scraped_at"] is not None and (a["scraped_at"] is None or b["scraped_at"] < a["scraped_at"]):
-        out["scraped_at"] = b["scraped_at"]
-    out["is_snapshot"] = bool(a["is_snapshot"]) and bool(b["is_snapshot"])
-    out["source_token"] = a["source_token"] or b["source_token"]
-    out["skills_required"] = sorted(set((a["skills_required"] or []) + (b["skills_required"] or [])))
-    out["work_from_home"] = bool(a["work_from_home"] or b["work_from_home"])
-    if out["work_from_home"] or "Remote" in (a["location_type"], b["location_type"]):
-        out["location_type"] = "Remote"
-    else:
-        out["location_type"] = a["location_type"] or b["location_type"] or "On-site"
-    for c in ("title", "company_name", "location", "via", "description", "schedule_type", "posted_at",
-              "posted_days_ago", "via_platform", "source_gl"):
-        if b[c] is not None:
-            out[c] = b[c]
+def merged_row(rows):
+    """What the rows of one id, in order, must become: each column's rule over the whole list."""
+    if len(rows) == 1:
+        return rows[0]
+    column = lambda c: [r[c] for r in rows]
+    known = lambda c: [v for v in column(c) if v is not None]
+    said = lambda c: next((v for v in column(c) if v), None)
+    out = {c: known(c)[-1] if known(c) else None for c in (
+        "title", "company_name", "location", "via", "description", "schedule_type", "posted_at", "posted_days_ago",
+        "via_platform", "source_gl")}
+    out |= {"job_id": rows[0]["job_id"], "scraped_at": min(known("scraped_at"), default=None), "source_token": said("source_token")}
+    out["is_snapshot"] = all(column("is_snapshot"))
+    out["work_from_home"] = any(column("work_from_home"))
+    out["skills_required"] = sorted({s for own in known("skills_required") for s in own})
+    every = [q for r in rows for q in [*(r["source_queries"] or []), r["source_query"] or ""]]
+    out["source_queries"] = list(dict.fromkeys(q.strip() for q in every if q.strip()))
+    out["source_query"] = rows[0]["source_query"] or next(iter(out["source_queries"]), None)
+    offers = [((o["title"] or o["link"] or "").strip().lower(), o) for own in known("apply_options") for o in own]
+    out["apply_options"] = list({k: o for k, o in reversed(offers) if k}.values())
+    out["apply_options"].sort(key=offers_place(offers))
+    out["portal_count"] = max(1, len(out["apply_options"]))
+    first_offer = out["apply_options"][0]["link"] if out["apply_options"] else rows[0]["apply_link"]
+    out["apply_link"] = rows[0]["apply_link"] or first_offer
+    pays = [r["salary_raw"] or r["salary"] for r in rows]
+    paid = [i for i, p in enumerate(pays) if p and p.strip()]
+    out["salary"] = out["salary_raw"] = pays[paid[0]] if paid else pays[-1]
+    for c in ("salary_min_lpa", "salary_max_lpa"):
+        out[c] = next((r[c] for r in rows[paid[0]:] if r[c] is not None), None) if paid else rows[-1][c]
+    remote = out["work_from_home"] or "Remote" in column("location_type")
+    out["location_type"] = "Remote" if remote else rows[0]["location_type"] or rows[1]["location_type"] or "On-site"
     return out
 
 
+def offers_place(offers):
+    """The order in which publishers first come."""
+    places = {}
+    for i, (key, _) in enumerate(offers):
+        places.setdefault(key, i)
+    return lambda o: places[(o["title"] or o["link"] or "").strip().lower()]
+
+
 def random_row(rnd, job_id):
     maybe = lambda x, p=0.3: None if rnd.random() < p else x
     link = lambda: maybe(f"http://x/{rnd.randint(1, 4)}", 0.2)
@@ -103,17 +98,17 @@ def plain(row):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_merge_equals_the_sequential_fold(spark, seed):
+def test_merge_equals_the_rules(spark, seed):
     rnd = random.Random(seed)
     ids = [f"id{i:03d}" for i in range(200)]
     stored = [random_row(rnd, i) for i in ids if rnd.random() < 0.5]
     batch = [random_row(rnd, rnd.choice(ids[:150])) for _ in range(400)] + [
         random_row(rnd, "hot") for _ in range(300)
     ]
-    expected = {r["job_id"]: r for r in stored}
-    for r in batch:
-        known = expected.get(r["job_id"])
-        expected[r["job_id"]] = r if known is None else fold_two(known, r)
+    in_order = {}
+    for r in stored + batch:
+        in_order.setdefault(r["job_id"], []).append(r)
+    expected = {k: merged_row(rows) for k, rows in in_order.items()}
     shuffled = list(enumerate(batch))
     rnd.shuffle(shuffled)
     merged = merge_postings(
@@ -214,3 +209,29 @@ def test_conform_adds_columns_once(spark):
     assert wide.columns == NAMES and conform_schema(wide).columns == NAMES
     r = wide.first()
     assert r["portal_count"] == 1 and r["is_snapshot"] is False and r["source_queries"] is None
+
+
+def test_merge_plan_stays_small(spark):
+    """With broadcasting off, the whole merge has at most twelve exchanges, those of its staged parts included."""
+    import skillgap.operators.merge as M
+
+    plans = []
+    real = M.materialize
+
+    def noted(df, name="stage"):
+        plans.append(df)
+        return real(df, name)
+
+    rnd = random.Random(5)
+    stored = to_df(spark, [random_row(rnd, f"i{n}") for n in range(40)])
+    batch = to_df(spark, [random_row(rnd, f"i{n % 50}") for n in range(90)], range(90))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    M.materialize = noted
+    try:
+        plans.append(merge_postings(stored, batch))
+        count = sum(str(p._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") for p in plans)
+    finally:
+        M.materialize = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert count <= 12
