@@ -1,7 +1,10 @@
-"""Naming an intermediate value, and rounding as binary floating point defines it."""
+"""Naming an intermediate value, and digits of any script."""
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,28 +28,12 @@ def any_of(conditions: list[str]) -> str:
     return "(" + " OR ".join(conditions) + ")"
 
 
-_SPLIT = 2**27 + 1
-
+#: Every decimal digit beyond ASCII, and the ASCII digit of the same value.
+_OTHER_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+DIGITS_FROM = "".join(_OTHER_DIGITS)
+DIGITS_TO = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
 
-def round_binary_sql(x: str, digits: int) -> str:
-    """Round a double by its exact binary value, exact ties to even.
 
-    Spark rounds the shortest decimal text of a double, so 7.35 (which is just
-    below 7.35 in binary) goes up. Here the double is split into two halves
-    whose products are exact, which shows on which side of the tie it lies.
-    """
-    half_steps = f"{2 * 10**digits}D"
-    high = f"({x} * {_SPLIT}D - ({x} * {_SPLIT}D - {x}))"
-    nearest = f"rint({x} * {half_steps})"
-    error = f"(({high} * {half_steps} - {nearest}) + ({x} - {high}) * {half_steps})"
-    below, above = f"(({nearest} - 1) / 2)", f"(({nearest} + 1) / 2)"
-    tied = (
-        f"CASE WHEN {error} > 0 THEN {above} WHEN {error} < 0 THEN {below} "
-        f"WHEN {below} % 2 = 0 THEN {below} ELSE {above} END / {10**digits}D"
-    )
-    at_tie = f"{nearest} % 2 <> 0 AND abs({error}) < 1e-6D AND abs({x}) < 1e9D"
-    return f"CASE WHEN {at_tie} THEN {tied} ELSE round({x}, {digits}) END"
-
-
-def round_binary(c: Column, digits: int) -> Column:
-    return let(c, "x", round_binary_sql("x", digits))
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of any script as ASCII digits; texts without such are not gone through."""
+    return F.when(c.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(c, DIGITS_FROM, DIGITS_TO)).otherwise(c)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skillgap import catalog
+from skillgap.functions.numbers import ascii_digits
 from skillgap.functions.text import empty_to_null, strip
 
 
@@ -42,7 +43,7 @@ _UNIT_DAYS = [("day", 1), ("week", 7), ("month", 30), ("year", 365)]
 
 def age_days(posted_at: Column) -> Column:
     """Days since posting from a relative time, or null."""
-    lowered = F.lower(strip(posted_at))
+    lowered = ascii_digits(F.lower(strip(posted_at)))
     days = F.when(_any_contains(lowered, ["hour", "minute", "today", "just now"]), F.lit(0).cast("long")).when(
         lowered.contains("yesterday"), F.lit(1).cast("long")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skillgap import catalog
-from skillgap.functions.numbers import any_of, let, literal, round_binary_sql
+from skillgap.functions.numbers import any_of, ascii_digits, let, literal
 from skillgap.functions.text import empty_to_null, strip
 
 # The pieces salary forms are written with.
@@ -51,7 +51,7 @@ def pick_salary(detected: Column, own: Column, extensions: Column) -> Column:
 
 def _figures(pattern: str, factor: str = "{v}", judged_rounded: bool = True) -> str:
     """SQL for the two amounts of a form, scaled; one amount stands for both."""
-    low, high = (f"CAST(nullif(regexp_extract(t, {literal(pattern)}, {g}), '') AS DOUBLE)" for g in (1, 2))
+    low, high = (f"try_cast(nullif(regexp_extract(t, {literal(pattern)}, {g}), '') AS DOUBLE)" for g in (1, 2))
     both = factor.format(v=low), factor.format(v=f"coalesce({high}, {low})")
     return f"named_struct('low', {both[0]}, 'high', {both[1]}, 'judged_rounded', {str(judged_rounded).lower()})"
 
@@ -68,7 +68,7 @@ def _parse_sql() -> str:
     rupees_monthly = _form("", "", _MONTH, currency_needed=True)
     rupees_yearly = _form("", "", _YEAR, currency_needed=True)
     says_month = has(r"(?U)\b" + _MONTH)
-    full_rupees = f"CAST(regexp_extract(t, {literal(rupees_yearly)}, 1) AS DOUBLE) >= 100000"
+    full_rupees = f"try_cast(regexp_extract(t, {literal(rupees_yearly)}, 1) AS DOUBLE) >= 100000"
     return f"""CASE
         WHEN {has(thousands_yearly)} THEN {_figures(thousands_yearly, "{v} * 1000 / 100000D")}
         WHEN {has(thousands_monthly)} THEN {_figures(thousands_monthly, "{v} * 1000 * 12 / 100000D")}
@@ -89,7 +89,7 @@ def _usable_sql() -> str:
 def _finish_sql() -> str:
     """Both figures of ``v`` rounded, if both are within bounds."""
     low, high = _BOUNDS
-    rounded = {c: round_binary_sql(f"v.{c}", 2) for c in ("low", "high")}
+    rounded = {c: f"round(v.{c}, 2)" for c in ("low", "high")}
     raw_ok = f"v.low BETWEEN {low} AND {high} AND v.high BETWEEN {low} AND {high}"
     rounded_ok = " AND ".join(f"({r}) BETWEEN {low} AND {high}" for r in rounded.values())
     ok = f"CASE WHEN v.judged_rounded THEN {rounded_ok} ELSE {raw_ok} END"
@@ -102,5 +102,5 @@ def salary_lpa(c: Column) -> Column:
     The first form found decides, also when its figure is then out of range.
     """
     # Dashes become hyphens, hard spaces blanks, and commas go.
-    cleaned = strip(F.translate(let(strip(c), "t", _usable_sql()), "\u2013\u2014\u00a0,", "-- "))
+    cleaned = strip(F.translate(ascii_digits(let(strip(c), "t", _usable_sql())), "\u2013\u2014\u00a0,", "-- "))
     return let(let(cleaned, "t", _parse_sql()), "v", _finish_sql())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillgap.operators.market import discloses_salary
-from skillgap.operators.params import check_dates, check_text
+from skillgap.operators.params import check_bounds, check_dates
 
 _NO_ESCAPE = "\u0001"  # so that a backslash in a keyword is an ordinary character
 
@@ -40,9 +40,12 @@ def browse_location(kind: str) -> Column | None:
 
 
 def any_skill_text(description: Column, names: Column) -> Column:
-    """The description contains one of the names as a plain substring, inside words too."""
-    lowered = F.lower(description)
-    return F.exists(names, lambda s: lowered.contains(F.lower(s)))
+    """The description contains one of the names as a plain substring, inside words too.
+
+    ``description`` is lowered once per row, not once per name.
+    """
+    held = F.transform(F.array(F.lower(description)), lambda text: F.exists(names, lambda s: text.contains(F.lower(s))))
+    return F.element_at(held, 1)
 
 
 _ORDERS = {"company": "company_name", "title": "title"}
@@ -62,8 +65,6 @@ def filtered(
     from_date: str | None = None,
     to_date: str | None = None,
 ) -> DataFrame:
-    check_text("keyword", text)
-    check_text("company", company)
     check_dates(from_date, to_date)
     if text and text.strip():
         df = df.where(keyword(text))
@@ -90,12 +91,14 @@ def browse(
     from_date: str | None = None,
     to_date: str | None = None,
     sort_by: str = "newest",
-    limit: int = 50,
+    limit: int | None = 50,
     offset: int = 0,
 ) -> DataFrame:
-    """One page; the order is total, so pages never overlap."""
+    """One page, or all rows without a limit; the order is total, so pages never overlap."""
+    check_bounds(limit=limit)
     chosen = filtered(df, text, location_type, company, has_salary, from_date, to_date)
-    return chosen.orderBy(*newest_first(_ORDERS.get(sort_by))).offset(max(0, offset)).limit(max(1, limit))
+    ordered = chosen.orderBy(*newest_first(_ORDERS.get(sort_by))).offset(max(0, offset))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def recommended(df: DataFrame, names: Column | Sequence[str], limit: int = 6) -> DataFrame:

@@ -23,16 +23,16 @@ def job_fit(
     min_skills: int = 3,
     location_type: str | None = None,
     role: str | None = None,
-    limit: int = 500,
+    limit: int | None = 500,
     max_age_days: int | None = None,
     roles: RoleCatalog = ROLES,
 ) -> DataFrame:
-    """The best-fitting postings, by match percentage, title and id.
+    """The ``limit`` best-fitting postings (None: all), by match percentage, title and id.
 
     The ranking runs on what it needs; the portal sort, the snippet and the
     rest are done for the rows that remain (a projection above the top-k).
     """
-    check_bounds(threshold=threshold)
+    check_bounds(threshold=threshold, limit=limit)
     elig = eligible(df, held, min_skills, location_type, role, max_age_days, roles)
     m, n = F.col("m"), F.col("n")
     source = elig.select(
@@ -44,9 +44,9 @@ def job_fit(
         "skills", "n", "m",
         percent(m, n).cast("int").alias("match_pct"),
     )
-    best = source.orderBy(
-        F.desc("match_pct"), F.asc_nulls_last("title"), F.asc_nulls_last("job_id")
-    ).limit(max(1, min(limit, 500)))
+    best = source.orderBy(F.desc("match_pct"), F.asc_nulls_last("title"), F.asc_nulls_last("job_id"))
+    if limit is not None:
+        best = best.limit(limit)
     matched, missing = matched_missing(F.col("skills"), held)
     options = F.col("apply_options")
     return best.select(

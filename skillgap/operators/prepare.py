@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skillgap import catalog
 from skillgap.catalog import SKILLS, SkillCatalog
@@ -17,6 +18,10 @@ from skillgap.operators.merge import ARRIVAL
 from skillgap.schema import POSTING, column_or_null
 
 
+#: Marks rows whose ``job_id`` is the content hash already.
+CONTENT_ID = "content_id"
+
+
 def normalize_postings(
     raw: DataFrame,
     now: dt.datetime,
@@ -27,11 +32,14 @@ def normalize_postings(
 
     ``raw`` has the raw posting fields and may have ``captured_at``,
     ``source_query``, ``source_gl`` and ``arrival``. ``default_location`` is
-    the searched place of a live fetch; ``cap`` its number of wanted results.
+    the searched place of a live fetch; ``cap`` the number of results wanted
+    of each fetch, that is of each phrase and region.
     """
-    if cap is not None:
-        raw = raw.orderBy(ARRIVAL).limit(cap)
     present = set(raw.columns)
+    if cap is not None:
+        fetch = [F.col(c) for c in ("source_query", "source_gl") if c in present] or [F.lit(1)]
+        place = F.row_number().over(Window.partitionBy(*fetch).orderBy(ARRIVAL))
+        raw = raw.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place")
     captured = F.col("captured_at") if "captured_at" in present else F.lit(None).cast("string")
     phrase = F.col("source_query") if "source_query" in present else F.lit(None).cast("string")
     region = F.col("source_gl") if "source_gl" in present else F.lit(None).cast("string")
@@ -50,6 +58,7 @@ def normalize_postings(
         .withColumn("_lpa", salary_lpa(F.col("_pay")))
         .select(
             canonical_id(title, company, location, description).alias("job_id"),
+            F.lit(True).alias(CONTENT_ID),
             F.col("job_id").alias("source_token"),
             title.alias("title"),
             company.alias("company_name"),
@@ -102,6 +111,8 @@ def prepare_batch(
         extra("highlights_text").alias("highlights_text"),
         F.col(ARRIVAL),
     ).withColumns(P.with_defaults())
+    # Normalised postings bring the hash of their content along; it is not taken again.
+    ident = F.col("job_id") if CONTENT_ID in raw.columns else P.choose_id(F.col("source_token"), F.col("job_id"))
 
     raw_pay = clean_salary(F.coalesce(empty_to_null(F.col("salary_raw")), clean_salary(F.col("salary"))))
     remote = P.remote_flag(F.col("work_from_home"), F.col("extensions"), F.col("location"))
@@ -115,7 +126,7 @@ def prepare_batch(
     options = F.coalesce("apply_options", F.array().cast(POSTING["apply_options"].dataType))
 
     values = {
-        "job_id": P.choose_id(F.col("source_token"), F.col("job_id")),
+        "job_id": ident,
         "source_token": empty_to_null(F.col("source_token")),
         "salary": F.col("_pay"),
         "salary_raw": F.col("_pay"),

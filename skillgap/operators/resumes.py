@@ -11,7 +11,6 @@ from skillgap.functions.coverage import string_array
 from skillgap.functions.numbers import any_of
 from skillgap.functions.text import extract_skills, fold_case, hinted, resolve_skill, strip
 from skillgap.operators.browse import recommended
-from skillgap.operators.params import MAX_SKILLS, MAX_TEXT, check_text
 
 _MIN_RESUME_CHARS = 80
 _MIN_SECTIONS = 2
@@ -23,9 +22,13 @@ def resolve_skills(names: DataFrame, skills: SkillCatalog = SKILLS) -> DataFrame
     return names.withColumn("canonical", resolve_skill(F.col("name"), skills))
 
 
-def candidate_skills(df: DataFrame, skills: SkillCatalog = SKILLS) -> DataFrame:
+def candidate_skills(
+    df: DataFrame, skills: SkillCatalog = SKILLS, max_text: int | None = None, max_skills: int | None = None
+) -> DataFrame:
     """(candidate_id, skills, ignored, status) from exactly one of resume_text and skills.
 
+    Longer texts than ``max_text`` and lists than ``max_skills`` are refused, if given.
+
     The status says what was wrong instead of raising, so one bad row does not
     stop a table of candidates.
     """
@@ -33,13 +36,14 @@ def candidate_skills(df: DataFrame, skills: SkillCatalog = SKILLS) -> DataFrame:
     pairs = F.transform(
         F.array_compact(typed), lambda s: F.struct(s.alias("typed"), resolve_skill(s, skills).alias("canonical"))
     )
+    too_long = F.lit(False) if max_text is None else F.coalesce(F.length(text) > max_text, F.lit(False))
     parsed = df.select(
         "candidate_id",
         text.isNotNull().alias("has_text"),
         typed.isNotNull().alias("has_list"),
-        (F.length(text) > MAX_TEXT).alias("long_text"),
-        (F.size(typed) > MAX_SKILLS).alias("long_list"),
-        F.when(text.isNotNull() & (F.length(text) <= MAX_TEXT), extract_skills(text, skills)).alias("from_text"),
+        too_long.alias("long_text"),
+        (F.lit(False) if max_skills is None else F.size(typed) > max_skills).alias("long_list"),
+        F.when(text.isNotNull() & ~too_long, extract_skills(text, skills)).alias("from_text"),
         pairs.alias("pairs"),
     )
     known = F.filter("pairs", lambda p: p["canonical"].isNotNull())
@@ -124,7 +128,6 @@ def match_resume(
     df: DataFrame, text: str, skills: SkillCatalog = SKILLS, limit: int = 6
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, recommended postings) for one resume text; nothing is recommended for no skill."""
-    check_text("resume_text", text, MAX_TEXT)
     one = df.sparkSession.range(1).select(F.lit(text).alias("text"))
     summary = match_summary(one, skills).drop("text")
     return summary, recommended(df, summary.select("matched_skills").scalar(), limit)

@@ -11,9 +11,9 @@ from skillgap.operators.browse import browse
 from skillgap.operators.params import check_bounds
 
 
-def export_rows(df: DataFrame, limit: int = 500, **filters) -> DataFrame:
-    """The rows an export holds: newest first, at most ``limit``."""
-    check_bounds(export_limit=limit)
+def export_rows(df: DataFrame, limit: int | None = 500, **filters) -> DataFrame:
+    """The rows an export holds: newest first, at most ``limit`` (None: all)."""
+    check_bounds(limit=limit)
     return browse(df, limit=limit, **filters)
 
 
@@ -27,9 +27,14 @@ def flat(df: DataFrame) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """With a header; a table without rows becomes one message row."""
-    if df.isEmpty():
-        df = df.sparkSession.createDataFrame([(EMPTY_EXPORT_MESSAGE,)], "message string")
-    flat(df).write.option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    spark = df.sparkSession
+    writer = flat(df).write.option("header", True).option("quoteAll", False).option("escape", '"')
+    # Blanks at the ends of a text are part of it.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    # What was written tells whether there were rows; the plan runs once.
+    if spark.read.option("header", True).csv(path).isEmpty():
+        message = spark.createDataFrame([(EMPTY_EXPORT_MESSAGE,)], "message string")
+        message.write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
