@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from skillgap import catalog
 from skillgap.catalog import ROLES, SKILLS, RoleCatalog, SkillCatalog
 from skillgap.functions.coverage import distinct_list
-from skillgap.functions.numbers import round_binary
 from skillgap.functions.postings import platform_name, role_flags
 from skillgap.functions.text import combined_text, count_mentions
 from skillgap.schema import column_or_null
@@ -49,17 +48,26 @@ def distinct_queries(df: DataFrame) -> DataFrame:
 
 def corpus_stats(df: DataFrame) -> DataFrame:
     """Size, capture range, snapshot share and phrase count of the table, in one row."""
-    is_snapshot = F.coalesce(column_or_null(df, "is_snapshot"), F.lit(False))
-    scraped_at = column_or_null(df, "scraped_at")
+    # One pass: counted by phrase first, a posting itself under the first of its phrases.
+    own = df.select(
+        F.coalesce(column_or_null(df, "is_snapshot"), F.lit(False)).alias("snapshot"),
+        column_or_null(df, "scraped_at").alias("at"),
+        F.posexplode_outer(column_or_null(df, "source_queries")).alias("place", "phrase"),
+    )
+    lead = F.coalesce("place", F.lit(0)) == 0
+    by_phrase = own.groupBy("phrase").agg(
+        F.count_if(lead).alias("jobs"), F.count_if(lead & F.col("snapshot")).alias("snapshots"),
+        F.min("at").alias("lo"), F.max("at").alias("hi"),
+    )
+    share = F.sum("snapshots") / F.nullif(F.sum("jobs"), F.lit(0))
     return (
-        df.agg(
-            F.count("*").alias("jobs"),
-            F.min(scraped_at).alias("as_of_min"),
-            F.max(scraped_at).alias("as_of_max"),
-            F.avg(is_snapshot.cast("double")).alias("snapshot_share"),
+        by_phrase.agg(
+            F.coalesce(F.sum("jobs"), F.lit(0)).alias("jobs"),
+            F.min("lo").alias("as_of_min"),
+            F.max("hi").alias("as_of_max"),
+            F.coalesce(F.round(share, 4), F.lit(0.0)).alias("snapshot_share"),
+            F.count("phrase").alias("distinct_queries"),
         )
-        .withColumn("snapshot_share", F.coalesce(round_binary(F.col("snapshot_share"), 4), F.lit(0.0)))
-        .withColumn("distinct_queries", distinct_queries(df).scalar())
         .withColumn(
             "sample_note",
             F.replace(F.lit(catalog.CORPUS_NOTE), F.lit("{n}"), F.col("distinct_queries").cast("string")),

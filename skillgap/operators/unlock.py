@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 
 from skillgap.catalog import ROLES, RoleCatalog
 from skillgap.functions.coverage import distinct_list, is_matched, one_away, percent, string_array
-from skillgap.functions.numbers import round_binary
 from skillgap.operators.params import check_bounds
 from skillgap.schema import column_or_null
 
@@ -69,7 +68,7 @@ def salary_benchmark(elig: DataFrame, threshold: int = 60) -> DataFrame:
     )
     rounded = found.select(
         "disclosed_count",
-        *[round_binary(F.col(c), 1).alias(c) for c in ("matched_min_lpa", "matched_max_lpa", "unlocked_max_lpa")],
+        *[F.round(c, 1).alias(c) for c in ("matched_min_lpa", "matched_max_lpa", "unlocked_max_lpa")],
     )
     floor, ceiling = F.col("matched_max_lpa"), F.col("unlocked_max_lpa")
     boost = F.bround((ceiling - floor) / floor * 100, 0).cast("int")
@@ -110,9 +109,8 @@ def unlocks(elig: DataFrame, held: Sequence[str], threshold: int = 60, top_n: in
 def unlock_examples(elig: DataFrame, top_skills: DataFrame, threshold: int = 60, per_skill: int = 3) -> DataFrame:
     """The closest postings each skill of ``top_skills`` would unlock.
 
-    ``top_skills`` is the already limited ranking (at most 25 rows), hence the
-    broadcast. Spark keeps only the first few rows per skill in each task
-    before the shuffle.
+    Spark keeps only the first few rows per skill in each task before the
+    shuffle, and broadcasts a short ranking by itself.
     """
     m, n = F.col("m"), F.col("n")
     near = elig.where(one_away(m, n, threshold)).select(
@@ -125,7 +123,7 @@ def unlock_examples(elig: DataFrame, top_skills: DataFrame, threshold: int = 60,
     )
     closest = Window.partitionBy("skill").orderBy(F.desc("match_before"), F.asc("job_id"))
     return (
-        near.join(F.broadcast(top_skills.select("skill")), "skill", "left_semi")
+        near.join(top_skills.select("skill"), "skill", "left_semi")
         .withColumn("rn", F.row_number().over(closest))
         .where(F.col("rn") <= per_skill)
     )

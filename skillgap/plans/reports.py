@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillgap.catalog import ROLES, SKILLS, RoleCatalog, SkillCatalog
 from skillgap.operators import market, unlock
 from skillgap.operators.params import check_bounds
+from skillgap.schema import column_or_null
+from skillgap.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -35,18 +37,24 @@ def unlock_report(
     max_age_days: int | None = None,
     roles: RoleCatalog = ROLES,
 ) -> UnlockReport:
-    """Everything about one candidate. Lazy; each part reads only its own columns of ``df``."""
+    """Everything about one candidate.
+
+    The eligible postings are found once and staged as a narrow table (see
+    ``scratch_scope``) that all parts share; ``df`` is read once more for the
+    corpus figures.
+    """
     check_bounds(threshold=threshold, top_n=top_n)
-    elig = unlock.eligible(df, held, min_skills, location_type, role, max_age_days, roles)
+    found = unlock.eligible(df, held, min_skills, location_type, role, max_age_days, roles)
+    pay = [column_or_null(df, c).alias(c) for c in ("salary_min_lpa", "salary_max_lpa")]
+    elig = materialize(found.select("job_id", "title", "company_name", "skills", "n", "m", *pay), "eligible")
     base = unlock.baseline(elig, threshold)
-    ranked = unlock.unlocks(elig, held, threshold)
     top = unlock.unlocks(elig, held, threshold, top_n)
-    path = unlock.unlock_path(elig, held, threshold)
+    path = materialize(unlock.unlock_path(elig, held, threshold), "path")
     return UnlockReport(
         baseline=base,
         salary_benchmark=unlock.salary_benchmark(elig, threshold),
         unlocks=unlock.attach_examples(top, unlock.unlock_examples(elig, top, threshold)).orderBy(*unlock.ranking()),
-        all_unlocks_count=ranked.agg(F.count("*").alias("all_unlocks_count")),
+        all_unlocks_count=unlock.unlocks(elig, held, threshold).agg(F.count("*").alias("all_unlocks_count")),
         path=path,
         projected=unlock.projected_matches(base, path),
         corpus=market.corpus_stats(df),
@@ -62,12 +70,34 @@ class MarketReport:
 
 
 def market_report(df: DataFrame, skills: SkillCatalog = SKILLS) -> MarketReport:
-    """Analytics over the table; skills are counted in the texts if none are stored."""
+    """Analytics over the table; skills are counted in the texts if none are stored.
+
+    The stored ranking, twelve rows at most, is found here; the rest is lazy.
+    """
     stored = market.top_skills(df)
-    ranking = stored if not stored.isEmpty() else market.mention_counts(df, skills).limit(12)
+    rows = stored.collect()
     return MarketReport(
         counters=market.corpus_counters(df),
-        top_skills=ranking,
+        top_skills=df.sparkSession.createDataFrame(rows, stored.schema) if rows else market.mention_counts(df, skills).limit(12),
         top_companies=market.top_companies(df),
         top_platforms=market.top_platforms(df),
     )
+
+
+def _shown(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def as_rows(parts: dict[str, tuple[DataFrame, Column | str | None, dict[str, Column]]]) -> DataFrame:
+    """(part, key, value) rows of several small tables.
+
+    Each part is a table, what names its rows, and its values by name; the
+    rows' keys are ``name`` or ``row/name``.
+    """
+    out = None
+    for part, (df, row, values) in parts.items():
+        lead = F.lit("") if row is None else F.concat(_shown(F.col(row) if isinstance(row, str) else row), F.lit("/"))
+        pairs = [F.struct(F.concat(lead, F.lit(n)).alias("key"), _shown(c).alias("value")) for n, c in values.items()]
+        rows = df.select(F.inline(F.array(*pairs))).select(F.lit(part).alias("part"), "key", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -1,25 +1,11 @@
-"""Which requests of a log a per-client sliding-window limit would have admitted.
-
-A request is admitted if fewer than ``limit`` admitted requests of its client
-are less than ``window_s`` seconds old. Refused requests do not count.
-"""
+"""How many requests of the same client a log's requests find before them in a sliding window."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-# Requests per minute of the two endpoint groups.
-SEARCH_LIMIT = 15
-ANALYTICS_LIMIT = 60
-
 
 def offered_counts(df: DataFrame, key: str, ts: str, order_id: str, window_s: int = 60) -> DataFrame:
     """Adds ``at`` (epoch microseconds), ``slot`` and ``offered``: earlier requests of the client in the window.
@@ -39,94 +25,3 @@ def offered_counts(df: DataFrame, key: str, ts: str, order_id: str, window_s: in
         .where(F.col("slot") == F.col("_own"))
         .drop("_own")
     )
-
-
-def _with_stretch(counted: DataFrame, key: str, order_id: str) -> DataFrame:
-    """Adds ``stretch``: when the client's current run of requests, without a quiet window, began."""
-    starts = F.when(F.col("offered") == 0, F.col("at"))
-    so_far = Window.partitionBy(key, "slot").orderBy("at", order_id).rowsBetween(Window.unboundedPreceding, 0)
-    here = counted.withColumn("_here", F.max(starts).over(so_far))
-    before = Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        counted.groupBy(key, "slot")
-        .agg(F.max(starts).alias("_latest"))
-        .withColumn("_carried", F.max("_latest").over(before))
-        .drop("_latest")
-    )
-    return here.join(carried, [key, "slot"]).withColumn("stretch", F.coalesce("_here", "_carried")).drop("_here", "_carried")
-
-
-def rate_flags(
-    df: DataFrame, key: str, ts: str, order_id: str, limit: int = SEARCH_LIMIT, window_s: int = 60
-) -> DataFrame:
-    """The log with ``offered`` and ``admitted``.
-
-    A run of requests that never reaches the limit is admitted whole. Only runs
-    that do reach it are replayed in time order, each as a sorted stream that
-    keeps the last ``limit`` admissions and no more.
-    """
-    width = window_s * 1_000_000
-    counted = offered_counts(df, key, ts, order_id, window_s)
-    runs = _with_stretch(counted, key, order_id).withColumn(
-        "_peak", F.max("offered").over(Window.partitionBy(key, "stretch"))
-    )
-    columns = [*df.columns, "offered"]
-    calm = runs.where(F.col("_peak") < limit).select(*columns, F.lit(True).alias("admitted"))
-    busy = runs.where(F.col("_peak") >= limit).select(*columns, "at", "stretch")
-    out = T.StructType([*busy.select(*columns).schema.fields, T.StructField("admitted", T.BooleanType())])
-
-    def replay(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, recent = None, deque()
-        for chunk in chunks:
-            flags = []
-            for k, stretch, now in zip(chunk[key], chunk["stretch"], chunk["at"]):
-                if (k, stretch) != run:
-                    run, recent = (k, stretch), deque()
-                while recent and now - recent[0] >= width:
-                    recent.popleft()
-                flags.append(len(recent) < limit)
-                if flags[-1]:
-                    recent.append(now)
-            yield chunk[columns].assign(admitted=flags)
-
-    replayed = (
-        busy.repartition(key, "stretch")
-        .sortWithinPartitions(key, "stretch", "at", order_id)
-        .mapInPandas(replay, out)
-    )
-    return calm.unionByName(replayed)
-
-
-def stream_rate_flags(
-    stream: DataFrame, key: str, ts: str, limit: int = SEARCH_LIMIT, window_s: int = 60, expire_idle: bool = True
-) -> DataFrame:
-    """The same flags on a live log, requests taken as they arrive.
-
-    Per client the state is the times of the admissions still inside the
-    window, at most ``limit`` of them; an idle client's state times out. Set
-    ``expire_idle`` to False for a run over what is available now: processing-time
-    timeouts keep such a run going for ever.
-    """
-    width = window_s * 1_000_000
-    out = T.StructType([*stream.schema.fields, T.StructField("admitted", T.BooleanType())])
-
-    def admit(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = deque(state.get[0] if state.exists else [])
-        for chunk in chunks:
-            flags = []
-            for now in chunk[ts].astype("datetime64[us]").astype("int64"):
-                while recent and now - recent[0] >= width:
-                    recent.popleft()
-                flags.append(len(recent) < limit)
-                if flags[-1]:
-                    recent.append(int(now))
-            yield chunk.assign(admitted=flags)
-        state.update((list(recent),))
-        if expire_idle:
-            state.setTimeoutDuration(window_s * 1000)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_idle else GroupStateTimeout.NoTimeout
-    return stream.groupBy(key).applyInPandasWithState(admit, out, "times array<long>", "append", timeout)
