@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from skillgap import catalog
 from skillgap.catalog import ROLES, SKILLS
 from skillgap.functions import coverage, postings, recency, salary, text
-from skillgap.functions.numbers import round_binary
 from skillgap.operators import resumes
 from skillgap.operators.diagnostics import first_difference
 from skillgap.schema import backfill, conform_schema, stringify
@@ -141,7 +140,7 @@ def test_candidates(spark):
         (4, "x", ["Python"]), (5, "nothing here", None), (6, None, ["nope"]), (7, "x" * 50001, None), (8, None, ["SQL"] * 101),
     ]
     df = spark.createDataFrame(rows, "candidate_id int, resume_text string, skills array<string>")
-    got = {r["candidate_id"]: (r["skills"], r["ignored"], r["status"]) for r in resumes.candidate_skills(df).collect()}
+    got = {r["candidate_id"]: (r["skills"], r["ignored"], r["status"]) for r in resumes.candidate_skills(df, max_text=50_000, max_skills=100).collect()}
     assert got == {
         1: (["Python", "SQL"], [], "ok"), 2: (["Python", "Kubernetes"], ["nope"], "ok"), 3: ([], [], "provide_one"),
         4: ([], [], "provide_one"), 5: ([], [], "no_recognized_skills"), 6: ([], [], "no_recognized_skills"),
@@ -192,11 +191,14 @@ def test_identity(spark):
     assert key == hashlib.sha256(b"python|india|in|en|").hexdigest()
 
 
-def test_rounding_follows_binary_values(spark):
-    values = [7.25, 7.35, 7.45, 2.5, 0.05, 0.15, 12.75, 99.95, 3.0, 3.14159, 150.65, 33.849999999999994]
-    assert apply(spark, values, lambda c: round_binary(c, 1), "double") == [round(v, 1) for v in values]
-    fine = [2.675, 1.005, 1.125, 1.135, 10.045, 199.995, 6.125, 0.125]
-    assert apply(spark, fine, lambda c: round_binary(c, 2), "double") == [round(v, 2) for v in fine]
+def test_digits_of_any_script(spark):
+    figures = {"₹८–१२ LPA": (8.0, 12.0), "₹٨-١٢ LPA": (8.0, 12.0), "₹８–１２ LPA": (8.0, 12.0), "INR १४,००,००० - २०,००,००० / year": (14.0, 20.0)}
+    df = spark.createDataFrame([(k,) for k in figures], "t string")
+    got = {r["t"]: (r["v"]["min"], r["v"]["max"]) for r in df.select("t", salary.salary_lpa(F.col("t")).alias("v")).collect()}
+    assert got == figures
+    ages = {"५ days ago": 5, "٢ weeks ago": 14, "３ months ago": 90, "४ hours ago": 0}
+    df = spark.createDataFrame([(k,) for k in ages], "t string")
+    assert {r["t"]: r["d"] for r in df.select("t", recency.age_days(F.col("t")).alias("d")).collect()} == ages
 
 
 def test_list_semantics(spark):

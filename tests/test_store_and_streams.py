@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from skillgap.operators import browse, cache, console, market
 from skillgap.operators.diagnostics import near_duplicates, redact, scan_literals
+from skillgap.operators.fit import job_fit
+from skillgap.operators.prepare import normalize_postings
+from skillgap.operators.resumes import candidate_skills
 from skillgap.operators.skew import salted_lookup
 from skillgap.plans.ingest import ingest, refresh_snapshots
+from skillgap.plans.reports import unlock_report
 from skillgap.schema import POSTING, conform_schema
 from skillgap.sources.export import export_csv, export_json, export_rows
-from skillgap.sources.snapshots import read_snapshots
-from skillgap.sources.store import Store, read_store
-from skillgap.streaming.rates import offered_counts, rate_flags, stream_rate_flags
+from skillgap.sources.scratch import scratch_root, scratch_scope
+from skillgap.sources.snapshots import read_snapshots, rejected_files
+from skillgap.sources.store import Store, read_store, write_store
+from skillgap.streaming.rates import offered_counts
 from skillgap.streaming.upsert import stream_upsert
 
 NOW = dt.datetime(2026, 10, 9, 12, 0, 0)
@@ -73,21 +78,62 @@ def test_refresh_is_idempotent_and_follows_newer_files(spark, tmp_path):
     assert refresh_snapshots(once, disk, NOW, force=True).count() == 1
 
 
-def test_store_commits_touch_only_their_buckets(spark, tmp_path):
-    folder = str(tmp_path / "snap")
-    write_file(folder, "a.json", [posting(n) for n in range(14)])
-    batch = ingest(empty(spark), read_snapshots(spark, folder), NOW).withColumn("arrival", F.lit(1))
-    store = Store(spark, str(tmp_path / "store"), buckets=4)
-    assert store.merge(batch, 0) == 7
-    assert store.merge(batch, 0) == 0  # the same batch again
-    first = state(read_store(spark, store.path))
-    one = batch.where(F.col("title") == "Engineer 3")
-    before = dict(store._versions)
-    assert store.merge(one, 1) == 1
-    assert sum(before[b] != v for b, v in store._versions.items()) == 1
+def batch_of(spark, tmp_path, numbers):
+    folder = str(tmp_path / f"snap-{min(numbers)}")
+    write_file(folder, "a.json", [posting(n) for n in numbers])
+    return ingest(empty(spark), read_snapshots(spark, folder), NOW).withColumn("arrival", F.lit(1))
+
+
+def test_store_merges_each_batch_of_a_stream_once(spark, tmp_path):
+    batch = batch_of(spark, tmp_path, range(14))
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.merge(batch, "s", 0) == 7
+    assert store.merge(batch, "s", 0) == 0  # the same batch again
+    assert read_store(spark, store.path).count() == 7
+    assert store.merge(batch.where(F.col("title") == "Engineer 3"), "s", 1) == 1
     assert read_store(spark, store.path).count() == 7
     store.overwrite(batch.limit(0))
-    assert read_store(spark, store.path).count() == 0 and len(first) == 7
+    assert read_store(spark, store.path).count() == 0
+    # Batch 0 of another stream, and batches without one, are new.
+    assert store.merge(batch.where(F.col("title") == "Engineer 2"), "t", 0) == 1
+    assert store.merge(batch.where(F.col("title") == "Engineer 4")) == 1
+    assert read_store(spark, store.path).count() == 2
+
+
+def test_store_keeps_few_versions_and_one_writer(spark, tmp_path):
+    batch = batch_of(spark, tmp_path, range(3))
+    store = write_store(batch, str(tmp_path / "store"))
+    other = Store(spark, store.path)
+    for _ in range(5):
+        store.overwrite(batch)
+    assert len(os.listdir(tmp_path / "store" / "data")) == 3
+    with pytest.raises(RuntimeError):
+        other.overwrite(batch)
+    assert len(os.listdir(tmp_path / "store" / "data")) == 3
+
+
+def test_store_refuses_a_pointer_it_cannot_read(spark, tmp_path):
+    store = write_store(batch_of(spark, tmp_path, range(3)), str(tmp_path / "store"))
+    (tmp_path / "store" / "pointer" / "000000000002.json").write_text("{")
+    with pytest.raises(ValueError):
+        Store(spark, store.path)
+
+
+def test_ingest_leaves_nothing_behind(spark, tmp_path):
+    folder = str(tmp_path / "snap")
+    write_file(folder, "a.json", [posting(n) for n in range(9)])
+    held = lambda: set(os.listdir(scratch_root(spark)))
+    batch = batch_of(spark, tmp_path, range(20, 24)).cache()
+    batch.count()
+    before = held()
+    with scratch_scope(spark):
+        assert ingest(empty(spark), read_snapshots(spark, folder), NOW).count() == 7
+        assert held() > before
+    assert held() == before
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.merge(batch, "s", 0) == 4 and held() == before
+    stream_upsert(spark, folder, store.path, str(tmp_path / "check"), NOW).awaitTermination()
+    assert held() == before and read_store(spark, store.path).count() == 7
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -96,12 +142,16 @@ def test_stream_equals_batch(spark, tmp_path):
         write_file(folder, f"f{i}.json", [posting(rnd.randint(0, 40)) for _ in range(6)], q=f"q{i}")
         os.utime(os.path.join(folder, f"f{i}.json"), (1_700_000_000 + i * 100,) * 2)
     target, checkpoint = str(tmp_path / "store"), str(tmp_path / "check")
-    stream_upsert(spark, folder, target, checkpoint, NOW, buckets=4, files_per_batch=1).awaitTermination()
+    stream_upsert(spark, folder, target, checkpoint, NOW, files_per_batch=1).awaitTermination()
     assert state(read_store(spark, target)) == state(ingest(empty(spark), read_snapshots(spark, folder), NOW))
     # Nothing new: another run changes nothing.
     version = Store(spark, target).version
-    stream_upsert(spark, folder, target, checkpoint, NOW, buckets=4).awaitTermination()
+    stream_upsert(spark, folder, target, checkpoint, NOW).awaitTermination()
     assert Store(spark, target).version == version == 4
+    # A fresh checkpoint is another stream; its first batch is not taken for one that is done.
+    Store(spark, target).overwrite(empty(spark))
+    stream_upsert(spark, folder, target, str(tmp_path / "fresh"), NOW).awaitTermination()
+    assert read_store(spark, target).count() == ingest(empty(spark), read_snapshots(spark, folder), NOW).count()
 
 
 FIVE = [
@@ -155,8 +205,22 @@ def test_console_guard(spark, five):
         with pytest.raises(ValueError):
             console.check_readonly(text)
     many = spark.range(200).select(F.col("id"), F.lit(None).cast("string").alias("hole"))
-    out = console.readonly_sql(spark, {"jobs": many}, "SELECT * FROM jobs LIMIT 1000;")
+    spark.range(3).createOrReplaceTempView("jobs")
+    read = lambda text, **more: console.readonly_sql(spark, {"jobs": many}, text, **more)
+    out = read("SELECT * FROM jobs LIMIT 1000;")
     assert out.count() == 50 and out.first()["hole"] == ""
+    assert read("SELECT * FROM jobs", cap=None).count() == 200
+    # The session's own view is untouched.
+    assert spark.table("jobs").count() == 3
+    assert read("SELECT id FROM jobs j WHERE id IN (SELECT max(id) FROM jobs) ORDER BY id").first()["id"] == "199"
+    for text in (
+        "SELECT TRANSFORM(id) USING 'id -un' AS (x) FROM jobs", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM other",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.name') FROM jobs", "SELECT id FROM jobs WHERE EXISTS (SELECT 1 FROM text.`/etc/hostname`)",
+        "SELECT (SELECT reflect('java.lang.System', 'getProperty', 'user.name')) FROM jobs", "SELECT * FROM range(5)",
+    ):
+        with pytest.raises(ValueError):
+            read(text)
+    spark.catalog.dropTempView("jobs")
 
 
 def test_exports(spark, five, tmp_path):
@@ -167,8 +231,9 @@ def test_exports(spark, five, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "none")).first()["message"] == "No records found matching filters."
     export_json(five, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 5
+    assert export_rows(five, limit=None).count() == 5
     with pytest.raises(ValueError):
-        export_rows(five, limit=1001)
+        export_rows(five, limit=0)
 
 
 def test_cache(spark):
@@ -181,47 +246,17 @@ def test_cache(spark):
     assert {tuple(r) for r in put.collect()} == {("a", "q", "newer", NOW), ("b", "q", "new", at(2))}
 
 
-def replay(rows, limit, window):
-    """Offered and admitted per event, one client after the other."""
-    out, seen, kept = {}, defaultdict(list), defaultdict(list)
-    for t, e, u in sorted(rows):
-        offered = sum(t - x < window for x in seen[u])
-        kept[u] = [x for x in kept[u] if t - x < window]
-        ok = len(kept[u]) < limit
-        if ok:
-            kept[u].append(t)
-        seen[u].append(t)
-        out[e] = (offered, ok)
-    return out
-
-
-@pytest.mark.parametrize("seed,limit", [(1, 3), (2, 1), (3, 15)])
-def test_rate_flags_equal_a_replay(spark, seed, limit):
-    rnd, rows = random.Random(seed), []
+def test_offered_counts_equal_a_replay(spark):
+    rnd, rows = random.Random(1), []
     for e in range(1500):
         user = 0 if rnd.random() < 0.4 else rnd.randint(1, 6)
         rows.append((rnd.randint(0, 3000) if user else rnd.randint(0, 400), e, user))
     df = spark.createDataFrame([(e, u, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t)) for t, e, u in rows], "e int, u int, ts timestamp_ntz")
-    want = replay(rows, limit, 60)
-    got = {r["e"]: (r["offered"], r["admitted"]) for r in rate_flags(df, "u", "ts", "e", limit).collect()}
-    assert got == want
-    assert {r["e"]: r["offered"] for r in offered_counts(df, "u", "ts", "e").collect()} == {e: o for e, (o, _) in want.items()}
-
-
-def test_streamed_rate_flags_equal_a_replay(spark, tmp_path):
-    rnd = random.Random(5)
-    rows = sorted((rnd.randint(0, 600), e, rnd.randint(0, 3)) for e in range(200))
-    schema = "e int, u int, ts timestamp_ntz"
-    for part in range(2):
-        chunk = rows[part * 100 : part * 100 + 100]
-        data = [(e, u, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t)) for t, e, u in chunk]
-        spark.createDataFrame(data, schema).coalesce(1).sortWithinPartitions("ts", "e").write.mode("append").parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    flagged = stream_rate_flags(stream, "u", "ts", limit=5, expire_idle=False)
-    q = flagged.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    q.awaitTermination()
-    got = {r["e"]: r["admitted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {e: ok for e, (_, ok) in replay(rows, 5, 60).items()}
+    times, want = defaultdict(list), {}
+    for t, e, u in sorted(rows):
+        want[e] = sum(t - x < 60 for x in times[u])
+        times[u].append(t)
+    assert {r["e"]: r["offered"] for r in offered_counts(df, "u", "ts", "e").collect()} == want
 
 
 def test_near_duplicates_give_one_row_per_member(spark):
@@ -239,6 +274,48 @@ def test_literals(spark):
     assert redact(df, {"k": "SECRET1"}).first()["text"] == "has api_key=[REDACTED]"
 
 
+def test_no_hidden_ceilings(spark):
+    skills = F.array(*[F.lit(x) for x in ("Python", "SQL", "Git")])
+    many = spark.range(2500).select(F.format_string("%05d", "id").alias("job_id"), F.lit("t").alias("title"), F.lit("c").alias("company_name"), skills.alias("skills_required"))
+    assert job_fit(many, ["SQL"], limit=2000).count() == 2000 and job_fit(many, ["SQL"], limit=None).count() == 2500
+    long = "x " * 30_000 + "Python and SQL"
+    df = spark.createDataFrame([("a", long, None), ("b", None, ["sql"] * 150)], "candidate_id string, resume_text string, skills array<string>")
+    assert {r["candidate_id"]: r["skills"] for r in candidate_skills(df).collect()} == {"a": ["Python", "SQL"], "b": ["SQL"]}
+    assert {r["status"] for r in candidate_skills(df, max_text=50_000, max_skills=100).collect()} == {"text_too_long", "too_many_skills"}
+
+
+def test_cap_holds_for_each_fetch(spark, tmp_path):
+    folder = str(tmp_path / "fetches")
+    for q in ("one", "two"):
+        write_file(folder, f"{q}.json", [posting(n) for n in range(9)], q=q)
+    rows = normalize_postings(read_snapshots(spark, folder), NOW, cap=4).groupBy("source_query").count().collect()
+    assert {r["source_query"]: r["count"] for r in rows} == {"one": 4, "two": 4}
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    folder = str(tmp_path / "land")
+    write_file(f"{folder}/a", "x.json", [posting(1, title="T1")], q="first")
+    write_file(f"{folder}/b", "x.json", [posting(2, title="T1")], q="second")
+    with open(f"{folder}/b/bad.json", "w") as f:
+        f.write("{")
+    raw = read_snapshots(spark, f"{folder}/*")
+    assert raw.select("arrival").distinct().count() == 2
+    assert [r["file_name"] for r in rejected_files(spark, f"{folder}/b").collect()] == ["bad.json"]
+
+
+def test_unlock_report_reads_the_corpus_twice(spark, tmp_path):
+    skills = [["Python", "SQL", "Git"], ["Python", "SQL", "AWS"], ["SQL", "Excel", "Tableau"]]
+    rows = [(f"j{i}", f"Engineer {i}", "c", skills[i % 3], ["q"]) for i in range(30)]
+    spark.createDataFrame(rows, "job_id string, title string, company_name string, skills_required array<string>, source_queries array<string>").write.parquet(str(tmp_path / "jobs"))
+    df = spark.read.parquet(str(tmp_path / "jobs"))
+    with scratch_scope(spark):
+        report = unlock_report(df, ["Python", "SQL"])
+        parts = [report.baseline, report.salary_benchmark, report.unlocks, report.all_unlocks_count, report.path, report.projected, report.corpus]
+        scans = [str(p._jdf.queryExecution().optimizedPlan()) for p in parts]
+        assert sum("jobs" in str(f) for p in parts for f in p.inputFiles()) == 1 * len(df.inputFiles())
+        assert report.baseline.first()["eligible_jobs"] == 30 and len(scans) == 7
+
+
 @pytest.mark.parametrize("how,rows", [("inner", 3000), ("left", 4000), ("left_semi", 3000)])
 def test_salted_lookup_keeps_every_row_once(spark, how, rows):
     hot = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 4 < 3, "hot").otherwise("cold").alias("k"))

@@ -53,9 +53,10 @@ def test_unknown_role_and_bounds_are_rejected(seven):
     with pytest.raises(ValueError):
         unlock.eligible(seven, [], role="chef")
     with pytest.raises(ValueError):
-        unlock.eligible(seven, [], min_skills=11)
+        unlock.eligible(seven, [], min_skills=0)
     with pytest.raises(ValueError):
         unlock.unlocks(unlock.eligible(seven, []), [], threshold=0)
+    assert unlock.eligible(seven, [], min_skills=11).count() == 0
 
 
 def test_empty_corpus_gives_zeros(seven):
@@ -134,11 +135,11 @@ def test_against_plain_python(spark, seed, threshold, k):
     assert [p[2] for p in sorted(projected)] == [base[1]] + [base[1] + p[3] for p in path]
 
 
-def test_salary_benchmark_rounds_like_binary(spark):
+def test_salary_benchmark_rounds_money_half_up(spark):
     data = [("a", ["x"] * 1, 7.25, 7.35), ("b", ["y"], 8.0, 10.45), ("c", ["x"], 9.0, 7.25)]
     df = spark.createDataFrame(data, "job_id string, skills_required array<string>, salary_min_lpa double, salary_max_lpa double").withColumn("title", F.lit(""))
     got = unlock.salary_benchmark(unlock.eligible(df, ["x"], 1)).first()
-    lo, hi, top = round(7.25, 1), round(7.35, 1), round(10.45, 1)
+    lo, hi, top = 7.3, 7.4, 10.5
     assert tuple(got) == (2, lo, hi, top, round((top - hi) / hi * 100))
 
 

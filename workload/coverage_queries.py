@@ -10,8 +10,9 @@ from skillgap.functions import postings as P
 from skillgap.functions.text import snippet
 from skillgap.operators import unlock as U
 from skillgap.operators.fit import job_fit
-from skillgap.plans.reports import unlock_report
-from workload.registry import joined, query, sql_list
+from skillgap.catalog import ROLES
+from skillgap.plans.reports import as_rows, unlock_report
+from workload.registry import joined, query, sql_list, stamp
 from workload.views import BASKET_SQL, HELD, ITEM_ROLES, basket
 
 T, K = 60, 3
@@ -73,9 +74,6 @@ def _(spark, sf):
 
 
 @query("coverage", eligible_sql() + """
-SELECT job_id, CAST(m AS INTEGER) AS m, CAST(n AS INTEGER) AS n,
-       m * 100 // n AS match_pct, (m + 1) * 100 // n AS match_after FROM elig""")
-@query("candidate_overlap", eligible_sql() + """
 SELECT job_id, CAST(m AS INTEGER) AS m, CAST(n AS INTEGER) AS n,
        m * 100 // n AS match_pct, (m + 1) * 100 // n AS match_after FROM elig""")
 def _(spark, sf):
@@ -85,6 +83,14 @@ def _(spark, sf):
     )
 
 
+@query("candidate_overlap", eligible_sql() + f"""
+SELECT CAST(n AS INTEGER) AS n, CAST(m AS INTEGER) AS m, count(*) AS jobs,
+  min(array_to_string(list_sort(list_intersect(skills, {R_SQL})), '|')) AS least FROM elig GROUP BY ALL""")
+def _(spark, sf):
+    shared = joined(F.array_sort(C.intersect_list(F.col("skills"), C.string_array(HELD))))
+    return elig(spark, sf).groupBy("n", "m").agg(F.count("*").alias("jobs"), F.min(shared).alias("least"))
+
+
 @query("fit_status", eligible_sql() + f"""
 SELECT CASE WHEN m * 100 >= {T} * n THEN 'matched' WHEN (m + 1) * 100 >= {T} * n THEN 'one_skill_away' ELSE 'further' END AS status,
        count(*) AS jobs FROM elig GROUP BY 1""")
@@ -186,12 +192,24 @@ examples AS (
 
 
 @query("unlock_examples", ALL_UNLOCKS + "," + EXAMPLES_SQL + " SELECT * FROM examples")
-@query("example_order", ALL_UNLOCKS + "," + EXAMPLES_SQL + " SELECT * FROM examples ORDER BY skill, match_before DESC, job_id")
 def _(spark, sf):
     e = elig(spark, sf)
     return U.unlock_examples(e, U.unlocks(e, HELD, T, 10), T)
 
 
+@query("example_order", ALL_UNLOCKS + "," + EXAMPLES_SQL + """
+SELECT CAST(row_number() OVER (ORDER BY t.unlocks DESC, t.demand DESC, t.skill, e.rn) AS INTEGER) AS place, t.skill, e.job_id
+FROM top t JOIN examples e USING (skill)""")
+def _(spark, sf):
+    # The order in which the report shows them, as a number.
+    e = elig(spark, sf)
+    top = U.unlocks(e, HELD, T, 10)
+    shown = U.attach_examples(top, U.unlock_examples(e, top, T)).select(
+        "skill", "unlocks", "demand", F.posexplode(F.transform("example_jobs", lambda x: x["job_id"])).alias("rn", "job_id")
+    )
+    return shown.select(F.row_number().over(Window.orderBy(*U.ranking(), "rn")).alias("place"), "skill", "job_id")
+
+
 ATTACHED_SQL = ALL_UNLOCKS + "," + EXAMPLES_SQL + """
 SELECT t.skill, t.unlocks, t.demand, string_agg(e.job_id, '|' ORDER BY e.rn) AS example_jobs
 FROM top t JOIN examples e USING (skill) GROUP BY ALL"""
@@ -208,9 +226,6 @@ def _example_ids(df):
     return df.withColumn("example_jobs", joined(F.transform("example_jobs", lambda x: x["job_id"])))
 
 
-@query("unlock_report", ATTACHED_SQL)
-def _(spark, sf):
-    return _example_ids(unlock_report(basket(spark, sf), HELD, T, K, roles=ITEM_ROLES).unlocks)
 
 
 def _step(number: int, before: str, held: str) -> str:
@@ -248,6 +263,57 @@ def _(spark, sf):
 
 ROLE_CASE = "CASE " + " ".join(f"WHEN {role_sql('title', r)} THEN '{r}'" for r in ITEM_ROLES.priority) + " ELSE 'other' END"
 
+def _part(part: str, source: str, values: dict[str, str], row: str = "") -> str:
+    """Rows (part, key, value) of a small table in SQL."""
+    lead = f"concat(CAST({row} AS VARCHAR), '/'), " if row else ""
+    return " UNION ALL ".join(
+        f"SELECT '{part}' AS part, concat({lead}'{k}') AS key, coalesce(CAST({v} AS VARCHAR), '') AS value FROM {source}"
+        for k, v in values.items()
+    )
+
+
+_TENTHS = ("matched_min_lpa", "matched_max_lpa", "unlocked_max_lpa")
+
+
+@query("unlock_report", PATH_CTES + "," + EXAMPLES_SQL + "," + SALARY_SQL + f"""
+, base AS (SELECT count(*) AS total, count(*) FILTER (WHERE m * 100 >= {T} * n) AS matched FROM elig),
+attached AS (SELECT t.skill, t.unlocks, t.demand, string_agg(e.job_id, '|' ORDER BY e.rn) AS example_jobs FROM top t JOIN examples e USING (skill) GROUP BY ALL),
+everything AS (SELECT count(*) AS n FROM ranked),
+projected AS (
+  SELECT 0 AS step, 'NOW' AS skill, matched AS jobs, least(100.0, matched / greatest(total, 1) * 100) AS share_pct FROM base
+  UNION ALL SELECT step, skill, matched + cumulative_gain, least(100.0, unlocks / greatest(total, 1) * 100) FROM path, base),
+stats AS (SELECT count(*) AS jobs, strftime(min(scraped_at), '%Y-%m-%d %H:%M:%S') AS lo, strftime(max(scraped_at), '%Y-%m-%d %H:%M:%S') AS hi,
+  CAST(round(avg(CASE WHEN is_snapshot THEN 1.0 ELSE 0.0 END), 4) * 10000 AS BIGINT) AS share FROM jobs),
+phrases AS (SELECT count(DISTINCT q) AS n FROM (SELECT unnest(source_queries) AS q FROM jobs))
+""" + " UNION ALL ".join([
+    _part("baseline", "base", {"eligible_jobs": "total", "matched_jobs": "matched"}),
+    _part("salary", "pay", {"disclosed_count": "disclosed_count", **{c: f"CAST(round({c} * 10) AS BIGINT)" for c in _TENTHS},
+          "ceiling_boost_pct": "CASE WHEN matched_max_lpa > 0 AND unlocked_max_lpa > matched_max_lpa THEN CAST(round_even((unlocked_max_lpa - matched_max_lpa) / matched_max_lpa * 100, 0) AS INTEGER) END"}),
+    _part("unlocks", "attached", {"unlocks": "unlocks", "demand": "demand", "example_jobs": "example_jobs"}, "skill"),
+    _part("unlocks", "everything", {"all": "n"}),
+    _part("path", "path", {"skill": "skill", "unlocks": "unlocks", "cumulative_gain": "cumulative_gain"}, "step"),
+    _part("projected", "projected", {"skill": "skill", "jobs": "jobs", "share": "CAST(round(share_pct * 1000) AS BIGINT)"}, "step"),
+    _part("corpus", "stats", {"jobs": "jobs", "as_of_min": "lo", "as_of_max": "hi", "snapshot_share": "share"}),
+    _part("corpus", "phrases", {"distinct_queries": "n"}),
+]))
+def _(spark, sf):
+    r = unlock_report(basket(spark, sf), HELD, T, K, roles=ITEM_ROLES)
+    whole = lambda c, by: F.round(F.col(c) * by).cast("bigint")
+    parts = {
+        "baseline": (r.baseline, None, {c: F.col(c) for c in ("eligible_jobs", "matched_jobs")}),
+        "salary": (r.salary_benchmark, None, {
+            "disclosed_count": F.col("disclosed_count"), **{c: whole(c, 10) for c in _TENTHS}, "ceiling_boost_pct": F.col("ceiling_boost_pct")}),
+        "unlocks": (_example_ids(r.unlocks), "skill", {c: F.col(c) for c in ("unlocks", "demand", "example_jobs")}),
+        "all": (r.all_unlocks_count, None, {"all": F.col("all_unlocks_count")}),
+        "path": (r.path, "step", {c: F.col(c) for c in ("skill", "unlocks", "cumulative_gain")}),
+        "projected": (r.projected, "step", {"skill": F.col("skill"), "jobs": F.col("jobs"), "share": whole("share_pct", 1000)}),
+        "corpus": (r.corpus, None, {
+            "jobs": F.col("jobs"), "as_of_min": stamp("as_of_min"), "as_of_max": stamp("as_of_max"),
+            "snapshot_share": whole("snapshot_share", 10000), "distinct_queries": F.col("distinct_queries")}),
+    }
+    return as_rows(parts).withColumn("part", F.when(F.col("part") == "all", "unlocks").otherwise(F.col("part")))
+
+
 FIT_SQL = eligible_sql() + f"""
 SELECT job_id, title, company_name, coalesce(location, '') AS location, location_type, portal_count,
        CAST(m * 100 // n AS INTEGER) AS match_pct, {MATCHED_SQL} AS matched, {MISSING_SQL} AS missing, {ROLE_CASE} AS role,
@@ -257,12 +323,47 @@ FROM elig ORDER BY match_pct DESC, title, job_id LIMIT 500"""
 
 
 @query("fit", FIT_SQL)
-@query("fit_report", FIT_SQL)
 def _(spark, sf):
     fit = job_fit(basket(spark, sf), HELD, T, K, roles=ITEM_ROLES)
     return fit.withColumns({"matched": joined("matched"), "missing": joined("missing")}).drop("apply_options")
 
 
+# Four ways to apply, of four classes, from the least wanted to the employer's own page.
+_OFFERS = [("Shine", "https://shine.com/"), ("Some board", "https://board/"), ("LinkedIn", "https://l/"), ("Own page", "https://boards.greenhouse.io/")]
+
+
+@query("fit_report", eligible_sql() + f"""
+SELECT CAST(row_number() OVER (ORDER BY m * 100 // n DESC, title, job_id) AS INTEGER) AS place, job_id,
+  CASE WHEN n % 4 = 1 THEN 'Shine' WHEN n % 4 = 2 THEN 'Some board|Shine' WHEN n % 4 = 3 THEN 'LinkedIn|Some board|Shine'
+       ELSE 'Own page|LinkedIn|Some board|Shine' END AS portals FROM elig""")
+def _(spark, sf):
+    # All postings, in the order of the report, with their ways to apply as it sorts them.
+    offers = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(u).alias("link")) for t, u in _OFFERS])
+    n = F.size("skills_required")
+    jobs = basket(spark, sf).withColumn("apply_options", F.slice(offers, 1, F.when(n % 4 == 0, 4).otherwise(n % 4)))
+    fit = job_fit(jobs, HELD, T, K, roles=ITEM_ROLES, limit=None)
+    order = Window.orderBy(F.desc("match_pct"), F.asc("title"), F.asc("job_id"))
+    return fit.select(
+        F.row_number().over(order).alias("place"), "job_id", joined(F.transform("apply_options", lambda o: o["title"])).alias("portals")
+    )
+
+
+_ROLE_WORDS = "['Engineer', 'ML Engineer Backend', 'Senior Cloud Data Engineer', 'DevOps Engineer', 'Full Stack Developer', 'Backend Developer', 'Rapid Prototyping', 'ReactJS Developer']"
+
+
+def _real_role(role: str) -> str:
+    return f"regexp_matches(title, '{ROLES.patterns[role]}', 'i')"
+
+
+@query("role_class_full", f"""WITH {BASKET_SQL},
+titled AS (SELECT job_id, concat(title, ' ', ({_ROLE_WORDS})[CAST(CAST(job_id AS BIGINT) % 8 AS INTEGER) + 1]) AS title FROM jobs)
+SELECT job_id, CASE """ + " ".join(f"WHEN {_real_role(r)} THEN '{r}'" for r in ROLES.priority) + " ELSE 'other' END AS role FROM titled")
+def _(spark, sf):
+    words = F.array(*[F.lit(w) for w in _ROLE_WORDS.strip("[]'").split("', '")])
+    title = F.concat("title", F.lit(" "), F.element_at(words, (F.col("job_id").cast("bigint") % 8 + 1).cast("int")))
+    return basket(spark, sf).select("job_id", P.role_class(title, ROLES).alias("role"))
+
+
 @query("role_class", f"WITH {BASKET_SQL} SELECT {ROLE_CASE} AS role, count(*) AS jobs FROM jobs GROUP BY 1")
 def _(spark, sf):
     return basket(spark, sf).groupBy(P.role_class(F.col("title"), ITEM_ROLES).alias("role")).agg(F.count("*").alias("jobs"))

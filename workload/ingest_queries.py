@@ -25,7 +25,7 @@ from workload.text_queries import (
 )
 from workload.views import BASKET_SQL, HELD, ITEM_ROLES, RAW_SQL, WORDS, basket, raw_documents, skills_sql
 
-_FILE_POSTINGS = 20
+_FILE_POSTINGS = 500
 
 
 def arrived(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,6 +115,7 @@ g AS (
     arg_max(posted_at, ord) AS posted_at, arg_max(posted_days_ago, ord) AS posted_days_ago, arg_min(source_query, ord) AS source_query,
     arg_min(pay, ord) FILTER (WHERE pay IS NOT NULL) AS salary, arg_min(lpa[1], ord) FILTER (WHERE lpa[1] IS NOT NULL) AS salary_min_lpa,
     arg_min(lpa[2], ord) FILTER (WHERE lpa[2] IS NOT NULL) AS salary_max_lpa, min(scraped_at) AS scraped_at,
+    arg_max(company_name, ord) AS company_name, md5(arg_max(description, ord)) AS description,
     arg_min(token, ord) FILTER (WHERE token IS NOT NULL) AS source_token, bool_or(remote) AS work_from_home,
     arg_min(portal_count, ord) AS own_portals, arg_min(apply_link, ord) AS own_link FROM o GROUP BY id),
 merged AS (
@@ -122,14 +123,16 @@ SELECT id AS job_id, title, location, via, schedule_type, posted_at, posted_days
   CASE WHEN n = 1 THEN own_portals ELSE greatest(1, coalesce(publishers, 0)) END AS portal_count,
   CASE WHEN n = 1 OR own_link <> '' OR publishers IS NULL THEN own_link ELSE first_link END AS apply_link,
   salary, salary_min_lpa, salary_max_lpa, strftime(scraped_at, '%Y-%m-%d %H:%M:%S') AS scraped_at, source_token, coalesce(skills, '') AS skills,
-  work_from_home, CASE WHEN work_from_home THEN 'Remote' ELSE 'On-site' END AS location_type
+  work_from_home, CASE WHEN work_from_home THEN 'Remote' ELSE 'On-site' END AS location_type,
+  company_name, description, via AS via_platform, 'in' AS source_gl, TRUE AS is_snapshot, salary AS salary_raw
 FROM g LEFT JOIN phrases USING (id) LEFT JOIN merged_options USING (id) LEFT JOIN held USING (id))"""
 
 
 _MERGED_COLUMNS = [
     "job_id", "title", "location", "via", "schedule_type", "posted_at", "posted_days_ago", "source_queries", "source_query",
     "options", "portal_count", "apply_link", "salary", "salary_min_lpa", "salary_max_lpa", "scraped_at", "source_token",
-    "skills", "work_from_home", "location_type",
+    "skills", "work_from_home", "location_type", "company_name", "description", "via_platform", "source_gl", "is_snapshot",
+    "salary_raw",
 ]
 
 
@@ -142,7 +145,7 @@ def _merged_out(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "options": joined(shown), "source_queries": joined("source_queries"), "skills": joined("skills_required"),
-            "scraped_at": stamp("scraped_at"),
+            "scraped_at": stamp("scraped_at"), "description": F.md5("description"),
         }
     ).select(*_MERGED_COLUMNS)
 
@@ -162,11 +165,26 @@ _EVENS_FIRST = "(doc_id % 2) * 1000000000 + doc_id"
 
 
 @query("merge_postings", merged_sql(prep_sql(), _EVENS_FIRST) + " SELECT * FROM merged")
-@query("merge_sides", merged_sql(prep_sql(), _EVENS_FIRST) + " SELECT * FROM merged")
 def _(spark, sf):
     return _merged_out(merge_postings(*_stored_and_batch(spark, sf)))
 
 
+# A small batch beside a stored table, most of which it leaves alone.
+@query("merge_sides", merged_sql(prep_sql(), _EVENS_FIRST, "(SELECT * FROM prep WHERE doc_id % 2 = 0 OR doc_id % 20 = 1)") + """
+SELECT m.job_id, title, source_queries, salary, s.id IS NOT NULL AS stored, b.id IS NOT NULL AS arrived FROM merged m
+LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 2 = 0) s ON s.id = m.job_id
+LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 = 1) b ON b.id = m.job_id""")
+def _(spark, sf):
+    stored, _ = _stored_and_batch(spark, sf)
+    batch = incoming(arrived(spark, sf).where("doc_id % 20 = 1"), NOW, True, WORDS)
+    side = lambda df, name: df.select("job_id").distinct().withColumn(name, F.lit(True))
+    merged = merge_postings(stored, batch).join(side(stored, "stored"), "job_id", "left").join(side(batch, "arrived"), "job_id", "left")
+    return merged.select(
+        "job_id", "title", joined("source_queries").alias("source_queries"), "salary",
+        F.coalesce("stored", F.lit(False)).alias("stored"), F.coalesce("arrived", F.lit(False)).alias("arrived"),
+    )
+
+
 @query("touch_existing", prep_sql() + """
 SELECT id AS job_id FROM prep WHERE doc_id % 2 = 0 INTERSECT SELECT id FROM prep WHERE doc_id % 2 = 1""")
 def _(spark, sf):
@@ -176,9 +194,9 @@ def _(spark, sf):
 @query("store_merge", merged_sql(prep_sql(), _EVENS_FIRST) + " SELECT * FROM merged")
 def _(spark, sf):
     # The same two batches, each committed to a stored table.
-    store = Store(spark, scratch_path(spark, "merged"), buckets=8)
+    store = Store(spark, scratch_path(spark, "merged"))
     for half in (0, 1):
-        store.merge(incoming(arrived(spark, sf).where(F.col("doc_id") % 2 == half), NOW, True, WORDS), half)
+        store.merge(incoming(arrived(spark, sf).where(F.col("doc_id") % 2 == half), NOW, True, WORDS), "halves", half)
     return _merged_out(read_store(spark, store.path))
 
 
@@ -230,7 +248,7 @@ def _(spark, sf):
 @query("stream_upsert", merged_sql(_FROM_FILES, "doc_id") + " SELECT * FROM merged")
 def _(spark, sf):
     path, checkpoint = scratch_path(spark, "streamed"), scratch_path(spark, "stream-checkpoint")
-    stream_upsert(spark, write_snapshots(spark, sf), path, checkpoint, NOW, WORDS, buckets=8, files_per_batch=100_000).awaitTermination()
+    stream_upsert(spark, write_snapshots(spark, sf), path, checkpoint, NOW, WORDS, files_per_batch=100_000).awaitTermination()
     return _merged_out(read_store(spark, path))
 
 

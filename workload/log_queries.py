@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from skillgap.operators import cache as C
-from skillgap.streaming.rates import offered_counts, rate_flags
+from skillgap.streaming.rates import offered_counts
 from workload.registry import query, stamp
 from workload.views import events
 
@@ -35,7 +35,7 @@ def _(spark, sf):
 
 
 def _cache(spark, sf):
-    e = events(spark, sf).where("event_type <> 'error'")
+    e = events(spark, sf)
     key = F.concat_ws("|", F.col("user_id").cast("string"), "event_type")
     rows = e.select(key.alias("cache_key"), F.col("props").alias("response_json"), F.col("ts").alias("fetched_at"), "event_id")
     return C.latest_per_key(rows, ["cache_key"], "fetched_at", ["event_id"]).drop("event_id")
@@ -43,7 +43,7 @@ def _cache(spark, sf):
 
 _CACHE_SQL = """
 WITH c AS (SELECT concat(user_id, '|', event_type) AS cache_key, props AS response_json, ts AS fetched_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'error') WHERE rn = 1)"""
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"""
 
 
 @query("cache_lookup", _CACHE_SQL + f"""
@@ -70,27 +70,11 @@ def _(spark, sf):
     return C.cache_put(_cache(spark, sf), fresh, NOW).withColumn("fetched_at", stamp("fetched_at"))
 
 
-# Users send few requests a minute here, so the window is a day and the limit two.
-WINDOW_S, LIMIT = 86_400, 2
+# Users send few requests a minute here, so the window is a day.
+WINDOW_S = 86_400
 
 
 @query("rate_offered", f"""
 SELECT event_id, user_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS offered FROM events""")
 def _(spark, sf):
     return offered_counts(events(spark, sf), "user_id", "ts", "event_id", WINDOW_S).select("event_id", "user_id", "offered")
-
-
-@query("rate_flags", f"""
-WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-r AS (
-  SELECT user_id, rn, event_id, TRUE AS admitted, [us] AS recent FROM e WHERE rn = 1
-  UNION ALL
-  SELECT e.user_id, e.rn, e.event_id, len(list_filter(r.recent, lambda x: e.us - x < {WINDOW_S * 1_000_000})) < {LIMIT},
-    CASE WHEN len(list_filter(r.recent, lambda x: e.us - x < {WINDOW_S * 1_000_000})) < {LIMIT}
-      THEN list_append(list_filter(r.recent, lambda x: e.us - x < {WINDOW_S * 1_000_000}), e.us)
-      ELSE list_filter(r.recent, lambda x: e.us - x < {WINDOW_S * 1_000_000}) END
-  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-SELECT event_id, user_id, admitted FROM r""")
-def _(spark, sf):
-    flags = rate_flags(events(spark, sf), "user_id", "ts", "event_id", LIMIT, WINDOW_S)
-    return flags.select("event_id", "user_id", "admitted")

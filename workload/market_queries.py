@@ -10,7 +10,7 @@ from skillgap.functions.recency import fresh_class, fresh_label
 from skillgap.operators import browse as B
 from skillgap.operators import market as M
 from skillgap.operators.console import readonly_sql
-from skillgap.plans.reports import market_report
+from skillgap.plans.reports import as_rows, market_report
 from skillgap.schema import POSTING, conform_schema, stringify
 from skillgap.sources.export import export_csv, export_json, export_rows
 from skillgap.sources.scratch import scratch_path
@@ -74,10 +74,25 @@ def _(spark, sf):
     return M.corpus_counters(basket(spark, sf))
 
 
-@query("market_report", JOBS + """SELECT skill, count(*) AS count FROM (SELECT unnest(skills_required) AS skill FROM jobs)
-GROUP BY 1 ORDER BY count DESC, skill LIMIT 12""")
+_COUNTED = ["total_jobs", "remote_jobs", "on_site_jobs", "salary_disclosed_jobs"]
+
+
+@query("market_report", JOBS + f"""
+, counters AS ({_COUNTERS.removeprefix(JOBS)}),
+skills AS (SELECT skill, count(*) AS count FROM (SELECT unnest(skills_required) AS skill FROM jobs) GROUP BY 1 ORDER BY count DESC, skill LIMIT 12),
+companies AS (SELECT company_name, count(*) AS count FROM jobs GROUP BY 1 ORDER BY count DESC, company_name LIMIT 8),
+platforms AS (SELECT {PLATFORM} AS platform, count(*) AS count FROM jobs GROUP BY 1 ORDER BY count DESC, platform LIMIT 6)
+""" + " UNION ALL ".join(
+    [f"SELECT 'counters' AS part, '{c}' AS key, CAST({c} AS VARCHAR) AS value FROM counters" for c in _COUNTED]
+    + [f"SELECT '{p}', concat({c}, '/count'), CAST(count AS VARCHAR) FROM {p}" for p, c in (("skills", "skill"), ("companies", "company_name"), ("platforms", "platform"))]
+))
 def _(spark, sf):
-    return market_report(basket(spark, sf), BRANDS).top_skills
+    r = market_report(basket(spark, sf), BRANDS)
+    count = {"count": F.col("count")}
+    return as_rows({
+        "counters": (r.counters, None, {c: F.col(c) for c in _COUNTED}), "skills": (r.top_skills, "skill", count),
+        "companies": (r.top_companies, "company_name", count), "platforms": (r.top_platforms, "platform", count),
+    })
 
 
 @query("indexed_count", JOBS + "SELECT count(*) AS indexed_jobs_count FROM jobs")
@@ -238,11 +253,17 @@ def _(spark, sf):
     )
 
 
-_EXPORT = JOBS + """
-SELECT job_id, title, company_name, CAST(work_from_home AS VARCHAR) AS work_from_home, salary, CAST(portal_count AS VARCHAR) AS portal_count,
-       array_to_string(skills_required, '|') AS skills_required
-FROM jobs WHERE work_from_home ORDER BY scraped_at DESC, job_id LIMIT 1000"""
-_EXPORTED = ["job_id", "title", "company_name", "work_from_home", "salary", "portal_count", "skills_required"]
+# Every column of the basket, read back as text.
+_LISTS = ["skills_required", "source_queries"]
+_TEXTS = ["job_id", "title", "company_name", "location", "location_type", "salary", "salary_raw", "via", "via_platform",
+          "description", "apply_link", "posted_at", "schedule_type"]
+_NUMBERS = {"work_from_home": "boolean", "is_snapshot": "boolean", "posted_days_ago": "int", "portal_count": "int",
+            "salary_min_lpa": "double", "salary_max_lpa": "double"}
+_EXPORTED = [*_TEXTS, *_NUMBERS, "scraped_at", *_LISTS]
+_EXPORT = JOBS + f"""
+SELECT {', '.join(_TEXTS)}, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _NUMBERS)}, {STAMP} AS scraped_at,
+       {', '.join(f"array_to_string({c}, '|') AS {c}" for c in _LISTS)}
+FROM jobs WHERE work_from_home ORDER BY jobs.scraped_at DESC, job_id LIMIT 1000"""
 
 
 @query("export_csv", _EXPORT)
@@ -250,20 +271,32 @@ def _(spark, sf):
     path = scratch_path(spark, "export-csv")
     export_csv(export_rows(basket(spark, sf), limit=1000, location_type="Remote"), path)
     back = spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select(*_EXPORTED).withColumn("skills_required", joined(F.from_json("skills_required", "array<string>")))
+    return back.select(*_EXPORTED).withColumns(
+        {**{c: joined(F.from_json(c, "array<string>")) for c in _LISTS}, "scraped_at": stamp(F.col("scraped_at").cast("timestamp_ntz"))}
+    )
+
+
+def _from_json(spark, path):
+    kinds = _NUMBERS | {"scraped_at": "timestamp_ntz"} | {c: "array<string>" for c in _LISTS}
+    back = spark.read.schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in _EXPORTED)).json(path)
+    return back.withColumns(
+        {**{c: F.col(c).cast("string") for c in _NUMBERS}, **{c: joined(c) for c in _LISTS}, "scraped_at": stamp("scraped_at")}
+    )
 
 
 @query("export_json", _EXPORT)
-@query("export", _EXPORT)
 def _(spark, sf):
     path = scratch_path(spark, "export-json")
     export_json(export_rows(basket(spark, sf), limit=1000, location_type="Remote"), path)
-    kinds = {"work_from_home": "boolean", "portal_count": "int", "skills_required": "array<string>"}
-    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in _EXPORTED)
-    back = spark.read.schema(schema).json(path)
-    return back.withColumns(
-        {"skills_required": joined("skills_required"), "work_from_home": F.col("work_from_home").cast("string"), "portal_count": F.col("portal_count").cast("string")}
-    )
+    return _from_json(spark, path)
+
+
+@query("export", _EXPORT.replace("WHERE work_from_home ORDER BY jobs.scraped_at DESC, job_id LIMIT 1000", ""))
+def _(spark, sf):
+    # The whole table, without a limit.
+    path = scratch_path(spark, "export-all")
+    export_json(export_rows(basket(spark, sf), limit=None), path)
+    return _from_json(spark, path)
 
 
 _ADDED = "CAST(NULL AS VARCHAR) AS source_token, 'in' AS source_gl"
@@ -277,7 +310,7 @@ def _stored(df):
 @query("store", _STORED)
 def _(spark, sf):
     path = scratch_path(spark, "store")
-    write_store(basket(spark, sf), path, buckets=8)
+    write_store(basket(spark, sf), path)
     return _stored(read_store(spark, path))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skillgap import catalog
+from skillgap.catalog import SKILLS, SkillCatalog
 from skillgap.functions import postings as P
 from skillgap.functions import recency as R
 from skillgap.functions import salary as S
@@ -14,6 +16,7 @@ from skillgap.functions import text as X
 from skillgap.operators import diagnostics as D
 from skillgap.operators import resumes as Q
 from skillgap.operators.market import mention_counts
+from skillgap.plans.reports import as_rows
 from skillgap.sources.scratch import scratch_path
 from skillgap.sources.texts import read_resumes
 from workload.registry import joined, query, stamp
@@ -153,8 +156,7 @@ WITH {_NAME_SQL}, c AS (
 resolved AS (
   SELECT *, {skills_sql('resume_text')} AS from_text, {resolve_sql('typed[1]')} AS first FROM c),
 s AS (
-  SELECT *, CASE WHEN (resume_text IS NULL) = (typed IS NULL) THEN 'provide_one' WHEN length(resume_text) > 50000 THEN 'text_too_long'
-    WHEN resume_text IS NOT NULL AND len(from_text) = 0 THEN 'no_recognized_skills' ELSE 'ok' END AS status,
+  SELECT *, CASE WHEN (resume_text IS NULL) = (typed IS NULL) THEN 'provide_one' WHEN resume_text IS NOT NULL AND len(from_text) = 0 THEN 'no_recognized_skills' ELSE 'ok' END AS status,
     CASE WHEN first IS NULL OR first = 'REST API' THEN ['REST API', 'thatin'] WHEN first = 'thatin' THEN ['thatin', 'REST API'] ELSE [first, 'REST API', 'thatin'] END AS from_list
   FROM resolved)
 SELECT candidate_id, CASE WHEN status <> 'ok' THEN '' WHEN resume_text IS NOT NULL THEN array_to_string(from_text, '|') ELSE array_to_string(from_list, '|') END AS skills,
@@ -184,9 +186,12 @@ def clean_sql(c: str) -> str:
     )
 
 
-@query("clean_salary", RAW + f"SELECT doc_id, {clean_sql('extensions[1]')} AS salary FROM raw")
+@query("clean_salary", RAW + f"""
+, e AS (SELECT doc_id, unnest(extensions) AS e, generate_subscripts(extensions, 1) AS place FROM raw)
+SELECT doc_id, CAST(place AS INTEGER) AS place, {clean_sql('e')} AS salary FROM e""")
 def _(spark, sf):
-    return raw(spark, sf).select("doc_id", S.clean_salary(F.col("extensions")[0]).alias("salary"))
+    each = raw(spark, sf).select("doc_id", F.posexplode("extensions").alias("place", "e"))
+    return each.select("doc_id", (F.col("place") + 1).alias("place"), S.clean_salary(F.col("e")).alias("salary"))
 
 
 PAY_MARK = r"(?i)(₹|INR|\bRs\.?\s*\d|\bLPA\b|\blakhs?\b|\b(a|per|/)\s*(year|annum|month|hour)\b)"
@@ -202,16 +207,23 @@ def _(spark, sf):
 
 
 # The pay texts of the raw view and a few more forms, parsed by the same precedence in SQL.
+def digits_sql(c: str) -> str:
+    return f"translate({c}, '०१२३४५६७८९０１２３４５６７８９', '01234567890123456789')"
+
+
+# Every form in full, as RE2 reads it.
+_K_YEAR = r"(?i)(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*k\s*(?:-\s*(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*k)?\s*(?:a\s+year|/\s*year|per\s+annum|per\s+year|\bannually\b)"
+_K_MONTH = r"(?i)(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*k\s*(?:-\s*(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*k)?\s*(?:a\s+month|/\s*month|per\s+month|\bmonthly\b)"
+_LAKH_MONTH = r"(?i)(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*(?:LPA|lakhs?|lacs?|lac|L)\s*(?:-\s*(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*(?:LPA|lakhs?|lacs?|lac|L)?)?\s*(?:a\s+month|/\s*month|per\s+month|\bmonthly\b)"
+_LAKH_YEAR = r"(?i)(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*(?:LPA|lakhs?|lacs?|lac|L)?\s*(?:-\s*(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*)?\s*(?:LPA|lakhs?|lacs?|lac|L)\b"
+_RUPEES_MONTH = r"(?i)(?:₹|INR|Rs\.?)\s*(\d+(?:\.\d+)?)\s*(?:-\s*(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*)?\s*(?:a\s+month|/\s*month|per\s+month|\bmonthly\b)"
+_RUPEES_YEAR = r"(?i)(?:₹|INR|Rs\.?)\s*(\d+(?:\.\d+)?)\s*(?:-\s*(?:₹|INR|Rs\.?)?\s*(\d+(?:\.\d+)?)\s*)?\s*(?:a\s+year|/\s*year|per\s+annum|per\s+year|\bannually\b)"
+_SAYS_MONTH = r"\b(?:a\s+month|/\s*month|per\s+month|\bmonthly\b)"
+
+
 def lpa_sql(c: str) -> str:
     """SELECT-able CASE chain giving [min, max] or NULL."""
-    cur, num, lakh = r"(?:₹|INR|Rs\.?)", r"(\d+(?:\.\d+)?)", r"(?:LPA|lakhs?|lacs?|lac|L)"
-    month = r"(?:a\s+month|/\s*month|per\s+month|\bmonthly\b)"
-    year = r"(?:a\s+year|/\s*year|per\s+annum|per\s+year|\bannually\b)"
-    norm = f"replace(replace(replace(replace({strip_sql(c)}, '–', '-'), '—', '-'), chr(160), ' '), ',', '')"
-
-    def form(first, second, ending, need=False):
-        lead = cur if need else cur + "?"
-        return rf"(?i){lead}\s*{num}\s*{first}\s*(?:-\s*{cur}?\s*{num}\s*{second})?\s*{ending}"
+    norm = digits_sql(f"replace(replace(replace(replace({strip_sql(c)}, '–', '-'), '—', '-'), chr(160), ' '), ',', '')")
 
     def branch(pattern, expr, extra="", raw_check=False):
         low = f"CAST(nullif(regexp_extract({norm}, '{pattern}', 1), '') AS DOUBLE)"
@@ -221,17 +233,16 @@ def lpa_sql(c: str) -> str:
         ok = f"{ra} BETWEEN 1 AND 200 AND {rb} BETWEEN 1 AND 200"
         return f"WHEN regexp_matches({norm}, '{pattern}') {extra} THEN CASE WHEN {ok} THEN [round({a}, 2), round({b}, 2)] END"
 
-    yearly = form("", "", year, True)
-    first_yearly = f"CAST(nullif(regexp_extract({norm}, '{yearly}', 1), '') AS DOUBLE)"
+    first_yearly = f"CAST(nullif(regexp_extract({norm}, '{_RUPEES_YEAR}', 1), '') AS DOUBLE)"
     marks = " OR ".join(f"contains(lower({c}), '{m}')" for m in catalog.RUPEE_MARKS)
     foreign = " OR ".join(f"contains({c}, '{m}')" for m in catalog.FOREIGN_CURRENCY_MARKS)
     branches = [
-        branch(form("k", "k", year), "(v * 1000 / 100000.0::DOUBLE)"),
-        branch(form("k", "k", month), "(v * 1000 * 12 / 100000.0::DOUBLE)"),
-        branch(form(lakh, lakh + "?", month), "(v * 12.0::DOUBLE)"),
-        branch(form(lakh + "?", "", lakh + r"\b"), "(v)", rf"AND NOT regexp_matches({norm}, '\b{month}')", True),
-        branch(form("", "", month, True), "(v * 12 / 100000.0::DOUBLE)"),
-        branch(yearly, "(v / 100000.0::DOUBLE)", f"AND {first_yearly} >= 100000"),
+        branch(_K_YEAR, "(v * 1000 / 100000.0::DOUBLE)"),
+        branch(_K_MONTH, "(v * 1000 * 12 / 100000.0::DOUBLE)"),
+        branch(_LAKH_MONTH, "(v * 12.0::DOUBLE)"),
+        branch(_LAKH_YEAR, "(v)", f"AND NOT regexp_matches({norm}, '{_SAYS_MONTH}')", True),
+        branch(_RUPEES_MONTH, "(v * 12 / 100000.0::DOUBLE)"),
+        branch(_RUPEES_YEAR, "(v / 100000.0::DOUBLE)", f"AND {first_yearly} >= 100000"),
     ]
     return (
         rf"CASE WHEN {c} IS NULL OR regexp_matches({c}, '(?i)\b(hour|hr|day|daily)\b') OR {foreign} OR NOT ({marks}) THEN NULL "
@@ -268,7 +279,8 @@ _TIME_OF = rf"lower(e) IN ('just now', 'yesterday', 'today') OR regexp_matches(l
 POSTED_SQL = f"coalesce(nullif({strip_sql('det_posted')}, ''), list_filter(list_transform(extensions, lambda e: {strip_sql('e')}), lambda e: {_TIME_OF})[1], '')"
 
 
-def age_sql(c: str) -> str:
+def age_sql(posted: str) -> str:
+    c = digits_sql(posted)
     units = " ".join(
         rf"WHEN regexp_matches(lower({c}), '\d+\s+{u}') THEN CAST(regexp_extract(lower({c}), '(\d+)\s+{u}', 1) AS INTEGER) * {k}"
         for u, k in (("day", 1), ("week", 7), ("month", 30), ("year", 365))
@@ -337,21 +349,23 @@ _RANK_SQL = "CASE WHEN o.link LIKE '%greenhouse.io%' THEN 0 WHEN lower(o.title)
 
 @query("rank_portals", RAW + f"""
 , o AS (SELECT doc_id, unnest(apply_options) AS o, generate_subscripts(apply_options, 1) AS pos FROM raw)
-SELECT doc_id, string_agg(o.title, '|' ORDER BY {_RANK_SQL}, pos) AS portals FROM o GROUP BY doc_id""")
+SELECT doc_id, coalesce(portals, '') AS portals FROM raw LEFT JOIN (
+  SELECT doc_id, string_agg(o.title, '|' ORDER BY {_RANK_SQL}, pos) AS portals FROM o GROUP BY doc_id) USING (doc_id)""")
 def _(spark, sf):
     options = F.col("apply_options")
     ranked = P.rank_portals(options)
-    return raw(spark, sf).where(F.size(options) > 0).select("doc_id", joined(F.transform(ranked, lambda o: o["title"])).alias("portals"))
+    return raw(spark, sf).select("doc_id", joined(F.transform(ranked, lambda o: o["title"])).alias("portals"))
 
 
 @query("union_by_publisher", RAW + """
 , o AS (SELECT doc_id, unnest(apply_options) AS o, generate_subscripts(apply_options, 1) AS pos FROM raw),
 k AS (SELECT doc_id, lower(trim(coalesce(o.title, o.link))) AS pub, min(pos) AS pos, arg_min(coalesce(o.link, ''), pos) AS link FROM o GROUP BY ALL)
-SELECT doc_id, string_agg(concat(pub, '>', link), '|' ORDER BY pos) AS options, CAST(count(*) AS INTEGER) AS portals FROM k GROUP BY doc_id""")
+SELECT doc_id, coalesce(options, '') AS options, coalesce(portals, 0) AS portals FROM raw LEFT JOIN (
+  SELECT doc_id, string_agg(concat(pub, '>', link), '|' ORDER BY pos) AS options, CAST(count(*) AS INTEGER) AS portals FROM k GROUP BY doc_id) USING (doc_id)""")
 def _(spark, sf):
     merged = P.union_by_publisher(F.col("apply_options"))
     shown = F.transform(merged, lambda o: F.concat(P.publisher(o), F.lit(">"), F.coalesce(o["link"], F.lit(""))))
-    return raw(spark, sf).where(F.size("apply_options") > 0).select("doc_id", joined(shown).alias("options"), F.size(merged).alias("portals"))
+    return raw(spark, sf).select("doc_id", joined(shown).alias("options"), F.size(merged).alias("portals"))
 
 
 @query("cache_key", RAW + f"""
@@ -413,9 +427,14 @@ _RESUME = "Knows REST api and hehely, thatin too"
 
 @query("match_resume", DOCS + f"""
 , dated AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 100) AS scraped_at FROM docs)
-SELECT job_id, title, company_name, location FROM dated
-WHERE lower(description) LIKE '%hehely%' OR lower(description) LIKE '%rest api%' OR lower(description) LIKE '%thatin%'
-ORDER BY scraped_at DESC, job_id LIMIT 6""")
+, best AS (SELECT job_id, title, company_name, location, row_number() OVER (ORDER BY scraped_at DESC, job_id) AS place FROM dated
+  WHERE lower(description) LIKE '%hehely%' OR lower(description) LIKE '%rest api%' OR lower(description) LIKE '%thatin%'),
+held AS (SELECT ['Hehely', 'REST API', 'thatin'] AS h)
+SELECT 'summary' AS part, 'matched_skills' AS key, array_to_string(h, '|') AS value FROM held
+UNION ALL SELECT 'summary', 'missing_skills', array_to_string(list_filter({_ALL_NAMES}, lambda s: NOT list_contains(h, s))[1:8], '|') FROM held
+UNION ALL SELECT 'summary', 'match_score_percentage', CAST(CAST(least(2 * floor(len(h) / {len(WORDS.names)} * 100), 100) AS INTEGER) AS VARCHAR) FROM held
+UNION ALL SELECT 'postings', concat(CAST(place AS VARCHAR), '/', k), CASE k WHEN 'job_id' THEN job_id WHEN 'title' THEN title WHEN 'company_name' THEN company_name ELSE location END
+FROM best, (SELECT unnest(['job_id', 'title', 'company_name', 'location']) AS k) WHERE place <= 6""")
 def _(spark, sf):
     jobs = document_postings(spark, sf).withColumns(
         {
@@ -423,21 +442,32 @@ def _(spark, sf):
             **{c: F.lit(None).cast("string") for c in ("via", "apply_link", "salary", "schedule_type")},
         }
     )
-    _, found = Q.match_resume(jobs, _RESUME, WORDS)
-    return found.select("job_id", "title", "company_name", "location")
-
-
-def _mentions_sql() -> str:
-    """Each boundary character is doubled, so that two neighbouring mentions do not share one."""
+    summary, found = Q.match_resume(jobs, _RESUME, WORDS)
+    # Six rows; numbered as they stand.
+    numbered = found.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    return as_rows({
+        "summary": (summary, None, {
+            "matched_skills": joined("matched_skills"), "missing_skills": joined("missing_skills"),
+            "match_score_percentage": F.col("match_score_percentage")}),
+        "postings": (numbered, "place", {c: F.col(c) for c in ("job_id", "title", "company_name", "location")}),
+    })
+
+
+def _mentions_sql(names: SkillCatalog = WORDS) -> str:
+    """Each boundary character is doubled, so that two neighbouring mentions do not share one.
+
+    Real names hold such characters themselves; they never stand side by side here.
+    """
+    subject = "wide" if names is WORDS else "text"
     counts = []
-    for i, n in enumerate(WORDS.names):
+    for i, n in enumerate(names.names):
         parts = []
-        for form in WORDS.forms(n):
+        for form in names.forms(n):
             flag = "i" if form.any_case else "c"
             body = form.body.replace(r"\s", WS)
             if form.bounded:
                 body = f"(^|[^a-zA-Z0-9_#+])({body})($|[^a-zA-Z0-9_#+])"
-                parts.append(f"len(regexp_extract_all(wide, '{body}', 0, '{flag}'))")
+                parts.append(f"len(regexp_extract_all({subject}, '{body}', 0, '{flag}'))")
             else:
                 parts.append(f"len(regexp_extract_all(text, '{body}', 0, '{flag}'))")
         counts.append(f"SELECT '{n}' AS skill, CAST(sum({' + '.join(parts)}) AS BIGINT) AS count FROM w")
@@ -452,9 +482,39 @@ def _(spark, sf):
     return mention_counts(document_postings(spark, sf), WORDS)
 
 
+def _with_names(text, key):
+    """Two real skill names, by row, in the middle of words of the text's own."""
+    names = F.array(*[F.lit(n) for n in SKILLS.names])
+    pick = lambda k: F.element_at(names, (k % len(SKILLS.names) + 1).cast("int"))
+    return F.concat(F.lit("Knows "), pick(key), F.lit(" and ("), pick(key * 7 + 3), F.lit("). "), text)
+
+
+_REAL_NAMES = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in SKILLS.names) + "]"
+_NAMED_SQL = f"""WITH named AS (SELECT doc_id, concat('Knows ', {_REAL_NAMES}[doc_id % {len(SKILLS.names)} + 1], ' and (',
+  {_REAL_NAMES}[(doc_id * 7 + 3) % {len(SKILLS.names)} + 1], '). ', text) AS text FROM documents)"""
+
+
+@query("extract_skills_full", _NAMED_SQL + f" SELECT doc_id, array_to_string({skills_sql('text', SKILLS)}, '|') AS skills FROM named")
+def _(spark, sf):
+    docs = documents(spark, sf).select("doc_id", _with_names(F.col("text"), F.col("doc_id")).alias("text"))
+    return docs.select("doc_id", joined(X.extract_skills(F.col("text"), SKILLS)).alias("skills"))
+
+
+@query("mention_counts_full", _NAMED_SQL + r"""
+, t AS (SELECT concat(' ', text, '  ') AS text FROM named),
+w AS (SELECT text, regexp_replace(text, '([^a-zA-Z0-9_#+])', '\1\1', 'g') AS wide FROM t),
+c AS (""" + _mentions_sql(SKILLS) + ") SELECT skill, count FROM c WHERE count > 0")
+def _(spark, sf):
+    docs = documents(spark, sf).select(F.lit("").alias("title"), _with_names(F.col("text"), F.col("doc_id")).alias("description"))
+    return mention_counts(docs, SKILLS)
+
+
 _PREFIX = f"substring({norm_sql('description')}, 1, 300)"
+# Every document a second time under another id, with a word more in its text, so that groups arise.
 _NEAR_SQL = DOCS + f"""
-, k AS (SELECT job_id, {norm_sql('substring(title, 1, 6)')} AS t, {norm_sql("''")} AS c, {norm_sql('location')} AS l, {_PREFIX} AS prefix FROM docs),
+, twice AS (SELECT job_id, title, company_name, location, description FROM docs
+  UNION ALL SELECT concat('x', job_id), title, company_name, location, concat('Again ', description) FROM docs),
+k AS (SELECT job_id, {norm_sql('title')} AS t, {norm_sql('company_name')} AS c, {norm_sql('location')} AS l, {_PREFIX} AS prefix FROM twice),
 g AS (SELECT t, c, l, min(job_id) AS first_id, count(*) AS group_size, arg_min(prefix, job_id) AS first_prefix FROM k GROUP BY ALL HAVING count(*) > 1)
 SELECT first_id, job_id, group_size,
   CAST(CASE WHEN prefix <> first_prefix THEN list_filter(range(1, 302), lambda i: substring(prefix, i, 1) <> substring(first_prefix, i, 1))[1] - 1 END AS INTEGER) AS differs_at
@@ -463,9 +523,9 @@ FROM k JOIN g USING (t, c, l) WHERE job_id <> first_id"""
 
 @query("near_duplicates", _NEAR_SQL)
 def _(spark, sf):
-    # Titles cut to six characters and no company, so that groups arise.
-    jobs = document_postings(spark, sf).withColumns({"title": F.substring("title", 1, 6), "company_name": F.lit("")})
-    return D.near_duplicates(jobs)
+    jobs = document_postings(spark, sf)
+    again = jobs.withColumns({"job_id": F.concat(F.lit("x"), "job_id"), "description": F.concat(F.lit("Again "), "description")})
+    return D.near_duplicates(jobs.unionByName(again))
 
 
 _ZERO = "[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]"

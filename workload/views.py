@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgap.catalog import RoleCatalog, SkillCatalog
-from skillgap.sources.spread import spread
 
 BRANDS = SkillCatalog.of([f"Brand#{i}" for i in range(1, 26)])
 
@@ -137,7 +136,7 @@ JOIN nation n ON n.n_nationkey = c.c_nationkey
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +145,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_line(text):
-    return F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 60)
+    return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +163,7 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENTS_SQL = r"""
 docs AS (
 SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS job_id,
-       substring(split_part(text, chr(10), 1), 1, 60) AS title,
+       split_part(text, chr(10), 1) AS title,
        source AS company_name, lang AS location, text AS description, doc_id
 FROM documents
 )"""
@@ -182,10 +181,10 @@ def norm_sql(c: str) -> str:
     return f"trim(regexp_replace(lower(coalesce({c}, '')), '{WS}+', ' ', 'g'))"
 
 
-def skill_hit_sql(name: str, text: str) -> str:
-    """Whether a skill of WORDS occurs; the boundaries are matched instead of looked at."""
+def skill_hit_sql(name: str, text: str, catalog: SkillCatalog = WORDS) -> str:
+    """Whether a skill occurs; the boundaries are matched instead of looked at."""
     hits = []
-    for form in WORDS.forms(name):
+    for form in catalog.forms(name):
         body = form.body.replace(r"\s", WS)
         if form.bounded:
             body = f"(^|[^a-zA-Z0-9_#+])({body})($|[^a-zA-Z0-9_#+])"
@@ -193,11 +192,14 @@ def skill_hit_sql(name: str, text: str) -> str:
     return "(" + " OR ".join(hits) + ")"
 
 
-def skills_sql(text: str) -> str:
-    cases = ", ".join(f"CASE WHEN {skill_hit_sql(n, text)} THEN '{n}' END" for n in sorted(WORDS.names))
+def skills_sql(text: str, catalog: SkillCatalog = WORDS) -> str:
+    cases = ", ".join(f"CASE WHEN {skill_hit_sql(n, text, catalog)} THEN '{n}' END" for n in sorted(catalog.names))
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
+ASCII_DIGITS, DEVANAGARI, FULL_WIDTH = "0123456789", "०१२३४५६७८९", "０１２３４５６７८９"
+
+
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw upstream postings, with gaps, tags, pay texts and apply options by id."""
     d = F.col("doc_id")
@@ -209,6 +211,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 8 == 2, F.concat(F.lit("₹"), n(90), F.lit(",000 a month"))),
         F.when(d % 8 == 3, F.concat(F.lit("INR "), n(40), F.lit(",00,000 / year"))),
         F.when(d % 8 == 4, F.lit("₹300 an hour")),
+        F.when(d % 8 == 5, F.concat(F.lit("₹"), F.translate(n(30), ASCII_DIGITS, DEVANAGARI), F.lit("–१२० LPA"))),
         F.when(d % 9 == 0, F.lit("Work from home")),
         F.lit("Full-time"),
     )
@@ -232,7 +235,8 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 20 == 1, "6.5 Lakhs / year").alias("salary"),
         F.when(d % 15 == 0, F.concat(F.lit("https://own/"), d.cast("string"))).alias("apply_link"),
         F.struct(
-            F.when(d % 10 == 0, F.concat(F.lit(" "), n(5), F.lit(" weeks ago "))).otherwise(nothing).alias("posted_at"),
+            F.when(d % 10 == 0, F.concat(F.lit(" "), n(5), F.lit(" weeks ago ")))
+            .when(d % 10 == 7, F.concat(F.translate(n(70), ASCII_DIGITS, FULL_WIDTH), F.lit(" days ago"))).otherwise(nothing).alias("posted_at"),
             F.when(d % 16 == 5, F.concat(F.lit("₹"), n(50), F.lit("K–₹90K a month"))).otherwise(nothing).alias("salary"),
             F.when(d % 7 == 0, "Contract").otherwise(nothing).alias("schedule_type"),
             F.when(d % 14 == 0, F.lit(True)).alias("work_from_home"),
@@ -259,7 +263,7 @@ RAW_SQL = f"""
 raw AS (
 SELECT doc_id,
   CASE WHEN doc_id % 4 <> 0 THEN concat('tok', CAST(doc_id AS VARCHAR)) END AS job_id,
-  CASE WHEN doc_id % 11 <> 0 THEN substring(split_part(text, chr(10), 1), 1, 60) END AS title,
+  CASE WHEN doc_id % 11 <> 0 THEN split_part(text, chr(10), 1) END AS title,
   CASE WHEN doc_id % 13 <> 0 THEN concat('Company ', lang) END AS company_name,
   CASE lang WHEN 'es' THEN 'Remote, India' WHEN 'de' THEN 'Anywhere' WHEN 'en' THEN 'Pune' END AS location,
   CASE WHEN doc_id % 5 <> 0 THEN ([{_VIA_LIST}])[CAST(doc_id % {len(VIAS)} AS INTEGER) + 1] END AS via,
@@ -271,6 +275,7 @@ SELECT doc_id,
     CASE WHEN doc_id % 8 = 2 THEN {_cat("'₹'", _mod(90), "',000 a month'")} END,
     CASE WHEN doc_id % 8 = 3 THEN {_cat("'INR '", _mod(40), "',00,000 / year'")} END,
     CASE WHEN doc_id % 8 = 4 THEN '₹300 an hour' END,
+    CASE WHEN doc_id % 8 = 5 THEN concat('₹', translate({_mod(30)}, '0123456789', '०१२३४५६७८९'), '–१२० LPA') END,
     CASE WHEN doc_id % 9 = 0 THEN 'Work from home' END,
     'Full-time'], lambda x: x IS NOT NULL) AS extensions,
   list_slice([
@@ -280,7 +285,8 @@ SELECT doc_id,
     {{'title': 'Shine', 'link': CAST(NULL AS VARCHAR)}}], 1, doc_id % 5) AS apply_options,
   CASE WHEN doc_id % 20 = 1 THEN '6.5 Lakhs / year' END AS salary,
   CASE WHEN doc_id % 15 = 0 THEN concat('https://own/', CAST(doc_id AS VARCHAR)) END AS apply_link,
-  CASE WHEN doc_id % 10 = 0 THEN {_cat("' '", _mod(5), "' weeks ago '")} END AS det_posted,
+  CASE WHEN doc_id % 10 = 0 THEN {_cat("' '", _mod(5), "' weeks ago '")}
+       WHEN doc_id % 10 = 7 THEN concat(translate({_mod(70)}, '0123456789', '０１２３４５６７８９'), ' days ago') END AS det_posted,
   CASE WHEN doc_id % 16 = 5 THEN {_cat("'₹'", _mod(50), "'K–₹90K a month'")} END AS det_salary,
   CASE WHEN doc_id % 7 = 0 THEN 'Contract' END AS det_schedule,
   coalesce(doc_id % 14 = 0, FALSE) AS det_wfh,
