@@ -145,6 +145,6 @@ f AS (
 g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
-    OR 100 * n_dup_lines > 30 * len(lines) OR 2 * letters < word_chars OR 2 * uppers > letters) AS kept
+    OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(lines)) OR 2 * letters < word_chars OR 2 * uppers > letters) AS kept
 FROM g
 """

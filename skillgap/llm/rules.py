@@ -94,7 +94,7 @@ def standard_rules() -> list[Rule]:
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("word_length", (F.col("word_chars") > 15 * n) | (F.col("word_chars") < 2 * n)),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.col("__n_lines")),
+        Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("__n_lines"))),
         Rule("few_letters", 2 * letters < F.col("word_chars")),
         Rule("shouting", 2 * upper > letters),
     ]
