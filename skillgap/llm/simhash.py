@@ -59,6 +59,10 @@ def words(text: str) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+#: Shingles of a text held at once.
+_AT_ONCE = 65_536
+
+
 def fingerprint(text: str) -> int:
     """The 64-bit fingerprint of a text."""
     found = words(text)
@@ -70,20 +74,15 @@ def fingerprint(text: str) -> int:
     if n <= 1:
         return digest(joined, SEED)
     # A shingle is a stretch of the joined words: from one word's start to the fourth one's end.
-    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
-    starts = [0, *[e + 1 for e in ends]]
-    ends.append(len(joined))
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])]
-    return majority(np.array(hashes, np.uint64))
-
-
-def majority(hashes: np.ndarray) -> int:
-    """The bits that more than half of the numbers have."""
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.append(0, spaces + 1)[:n], np.append(spaces, len(joined))[SHINGLE - 1 :]
     counts = np.zeros(64, np.int64)
-    for start in range(0, len(hashes), 65_536):
-        bits = np.unpackbits(hashes[start : start + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for lo in range(0, n, _AT_ONCE):
+        some = zip(starts[lo : lo + _AT_ONCE].tolist(), ends[lo : lo + _AT_ONCE].tolist())
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in some], np.uint64)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
+    return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
