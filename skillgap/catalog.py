@@ -248,7 +248,7 @@ class RoleCatalog:
     def regex(self, role: str) -> str:
         """Title pattern with ASCII word boundaries and case folding."""
         if role not in self.patterns:
-            raise ValueError(f"Invalid role '{role}'. Allowed values: {sorted(self.patterns)}")
+            raise ValueError(f"no role is named {role}; there are {', '.join(sorted(self.patterns))}")
         word = "[0-9A-Za-z_]"
         edge = f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
         return "(?iu)" + self.patterns[role].replace(r"\b", edge)

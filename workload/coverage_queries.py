@@ -401,3 +401,14 @@ _sets(
     f"list_concat({R_SQL}, list_filter(skills_required, lambda x: NOT list_contains({R_SQL}, x)))",
 )
 _sets("sorted_union", lambda: C.sorted_union(_noisy(), C.string_array(HELD)), f"list_sort(list_distinct(list_concat(skills_required, {R_SQL})))")
+
+
+@query("array_sorts", f"""WITH {BASKET_SQL}
+SELECT job_id, array_to_string(list_sort(skills_required), '|') AS up, array_to_string(list_reverse_sort(skills_required), '|') AS down,
+  array_to_string(list_sort(list_distinct(source_queries)), '|') AS phrases FROM jobs""")
+def _(spark, sf):
+    down = F.sort_array("skills_required", asc=False)
+    return basket(spark, sf).select(
+        "job_id", joined(F.array_sort("skills_required")).alias("up"), joined(down).alias("down"),
+        joined(C.sorted_union(F.col("source_queries"), F.lit(None).cast("array<string>"))).alias("phrases"),
+    )
