@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgap.llm import langid, mixing, pieces, quality_net, simhash
+from skillgap.llm.names import fresh
 from skillgap.llm.queries import model_path, table
 from skillgap.sources.scratch import scratch_path
 
@@ -16,14 +17,16 @@ from skillgap.sources.scratch import scratch_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network scores at its threshold or more; it learns from all labels."""
     net = quality_net.learn(docs, table(spark, sf_dir, "labels"))
-    return quality_net.score(docs, net).filter(F.col("__score") >= quality_net.THRESHOLD).drop("__score")
+    (score,) = fresh(docs.columns, "score")
+    return quality_net.score(docs, net, name=score).filter(F.col(score) >= quality_net.THRESHOLD).drop(score)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which one known language makes up at least half; learnt from the languages given."""
     model = langid.learn(docs)
-    found = langid.predict(docs, model)
-    return found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= 0.5)).drop("__lang", "__score")
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    found = langid.predict(docs, model, lang=lang, score=score)
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= 0.5)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def _predict(names: list[str], p: np.ndarray, at: int):
+def _predict(names: list[str], p: np.ndarray, at: int, added: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model({})
         model.names, model.p = names, p
@@ -143,15 +143,15 @@ def _predict(names: list[str], p: np.ndarray, at: int):
                 langs.append(names[best])
                 scores.append(min(1.0, float(share[best])))
             arrays = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *added])
 
     return run
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``__lang`` and ``__score``."""
-    schema = T.StructType([*df.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    return df.mapInArrow(_predict(model.names, model.p, df.columns.index(text)), schema)
+def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``df`` with the columns ``lang`` and ``score``."""
+    schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return df.mapInArrow(_predict(model.names, model.p, df.columns.index(text), (lang, score)), schema)
 
 
 def held_out(key: Column, parts: int, left: int) -> Column:
@@ -164,4 +164,4 @@ def language_report(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     out = held_out(F.col(key), 4, 2)
     model = learn(docs.filter(~out), text, lang)
     rows = docs.select(F.col(key).alias("doc_id"), out.alias("held_out"), F.col(text).alias("__text"))
-    return predict(rows, model, "__text").select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return predict(rows, model, "__text").select("doc_id", "held_out", "lang_pred", "score")

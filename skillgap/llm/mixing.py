@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skillgap.llm.names import fresh
 from skillgap.sources.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,11 +124,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     ``docs`` must give the same rows in the same order when read twice (files, a written table).
     """
+    row, times, copy = fresh(docs.columns, "row", "copies", "copy")
     taken = copies(sizes(docs, key, text, source), seed).filter("copies > 0").select(
-        F.col("row").alias("__row"), F.col("copies").alias("__copies")
+        F.col("row").alias(row), F.col("copies").cast("int").alias(times)
     )
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    again = numbered.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    again = numbered.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -234,23 +234,23 @@ def learn(
     return fit([[bytes(c) for c in r["chunks"]] for r in taken], [r["label"] for r in taken])
 
 
-def _score(net: Network, at: int):
+def _score(net: Network, at: int, added: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows = batch.slice(start, 512)
                 texts = [b"" if t.as_py() is None else t.as_buffer().to_pybytes() for t in rows.column(at)]
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(net.score(texts), pa.float64())], names=[*rows.schema.names, "__score"]
+                    [*rows.columns, pa.array(net.score(texts), pa.float64())], names=[*rows.schema.names, added]
                 )
 
     return run
 
 
-def score(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``df`` with ``__score``."""
-    schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType())])
-    return df.mapInArrow(_score(net, df.columns.index(text)), schema)
+def score(df: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:
+    """``df`` with the column ``name``."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    return df.mapInArrow(_score(net, df.columns.index(text), name), schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, parts: int = 5, left: int = 0) -> DataFrame:
@@ -259,5 +259,5 @@ def quality_report(docs: DataFrame, labels: DataFrame, parts: int = 5, left: int
     net = learn(docs, labels.filter(~out))
     rows = docs.select("doc_id", out.alias("held_out"), F.col("text").alias("__text"))
     return score(rows, net, "__text").select(
-        "doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgap.llm.components import components, scatter, spanning
+from skillgap.llm.names import fresh
 from skillgap.sources.scratch import materialize
 
 SHINGLE = 4
@@ -325,6 +326,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     ``docs`` must give the same rows in the same order when read twice (files, a written table).
     """
-    kept = near_groups(docs, key, text).filter("first").select(F.col("row").alias("__row"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (row,) = fresh(docs.columns, "row")
+    kept = near_groups(docs, key, text).filter("first").select(F.col("row").alias(row))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -355,7 +355,9 @@ def test_pipeline_stages_by_brute_force(spark):
 
 
 def test_pipeline_on_odd_rows(spark, odd, none):
-    plain = ["doc_id", "text", "lang", "source", "n_chars"]
-    for docs in (odd.select(*plain), none.select(*plain)):
-        for _, stage in corpus_pipeline.STAGES[1:]:
+    more = {"score": F.lit("s"), "lang_pred": F.lit(1), "row": F.lit(2), "copies": F.lit("c"), "copy": F.lit(True)}
+    plain = ["doc_id", "text", "lang", "source", "n_chars", *more]
+    for docs in (odd.withColumns(more).select(*plain), none.withColumns(more).select(*plain)):
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame((out := stage(spark, docs, "/root/testdata/sf0.001")).collect(), out.schema)
