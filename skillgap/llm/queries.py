@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skillgap.llm import chat, langid, licenses, mixing, pieces, quality_net, rules, simhash, vectors, warc
-from skillgap.sources.scratch import scratch_path
+from skillgap.sources.scratch import materialize, scratch_path
 
 #: A vocabulary file by name, looked up in the public tokenizers.
 MODEL = "piece_bpe_32k.model"
@@ -31,7 +30,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.page_report(warc.assemble(warc.read_archives(spark, path, blocks=False)))
+    # The archives are gone through once; assembling reads the records several times.
+    records = materialize(warc.read_archives(spark, path, blocks=False), "records")
+    return warc.page_report(warc.assemble(records))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillgap.sources.scratch import materialize
+
 _END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -63,11 +65,13 @@ def write_archives(
     )
     rows = rows.withColumn("digest", base32_sha1(F.col("body").cast("binary")))
     rows = rows.withColumn("size", F.octet_length("body").cast("long"))
-    # One row per payload that occurs again; counted in each task before the shuffle.
-    heads = (
+    # One row per payload that occurs again; counted in each task before the shuffle. Staged: Spark knows
+    # its size then, and pages move only if it is too large to go to every task, with hot payloads split.
+    heads = materialize(
         rows.filter(F.col("size") >= least_bytes)
         .groupBy("digest", "size").agg(F.max(F.struct("id", "row")).alias("head"), F.count("*").alias("n"))
-        .filter("n > 1").select("digest", "size", "head")
+        .filter("n > 1").select("digest", "size", "head"),
+        "heads",
     )
     rows = rows.join(heads, ["digest", "size"], "left")
     name = lambda id_, row: F.concat_ws("|", F.coalesce(id_.cast("string"), F.lit("null")), row.cast("string"))
@@ -219,44 +223,47 @@ def assemble(records: DataFrame) -> DataFrame:
     of one other record, in either direction. Records that reach none stand
     in a capture of their own whose response is null. Records of other types and
     damaged ones are left to the reader.
+
+    Identifiers are joined on their own; the records themselves move once.
+    ``records`` is read several times, so stage it where reading it is dear.
     """
     body = [c for c in records.columns if c != "concurrent_to"]
-    main = F.col("type").isin("response", "revisit", "resource")
-    mains = records.filter(main)
-    sides = records.filter(F.col("type").isin("request", "metadata"))
-    said = sides.select(F.col("record_id").alias("side"), F.explode("concurrent_to").alias("to"))
-    back = mains.select(F.explode("concurrent_to").alias("side"), F.col("record_id").alias("to"))
+    main, side = F.col("type").isin("response", "revisit", "resource"), F.col("type").isin("request", "metadata")
+    ids = records.select("record_id", main.alias("main"), side.alias("side"), "concurrent_to")
+    mains = ids.filter("main").select(F.col("record_id").alias("to")).distinct()
+    said = ids.filter("side").select(F.col("record_id").alias("from"), F.explode("concurrent_to").alias("to"))
+    back = ids.filter("main").select(F.explode("concurrent_to").alias("from"), F.col("record_id").alias("to"))
     direct = said.union(back).distinct()
     further = (
-        direct.join(said.select(F.col("side").alias("to"), F.col("to").alias("far")), "to")
-        .select("side", F.col("far").alias("to"))
+        direct.join(said.select(F.col("from").alias("to"), F.col("to").alias("far")), "to")
+        .select("from", F.col("far").alias("to"))
     )
-    links = direct.union(further).distinct().join(mains.select(F.col("record_id").alias("to")).distinct(), "to")
-    placed = sides.withColumnRenamed("record_id", "side").join(links, "side", "left")
-    side = F.struct(*[F.col("side").alias(c) if c == "record_id" else F.col(c) for c in body])
-    none = F.lit(None).cast(mains.select(F.struct(*body)).schema[0].dataType)
-    rows = mains.select(F.col("record_id").alias("capture_id"), F.struct(*body).alias("response"), none.alias("side")).union(
-        placed.select(F.coalesce("to", "side"), none, side)
-    )
-    listed = F.collect_list("side")
-    kind = lambda k: F.array_sort(
-        F.filter(listed, lambda x: x["type"] == k),
+    links = direct.union(further).distinct().join(mains, "to").select(F.col("from").alias("record_id"), "to")
+    placed = records.filter(main | side).join(links, "record_id", "left")
+    whole = F.struct(*body)
+    listed = lambda k: F.array_sort(
+        F.collect_list(F.when(F.col("type") == k, whole)),
         lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0),
     )
-    return rows.groupBy("capture_id").agg(
-        F.first("response", ignorenulls=True).alias("response"),
-        kind("request").alias("requests"), kind("metadata").alias("metadata"),
+    return placed.groupBy(F.when(main, F.col("record_id")).otherwise(F.coalesce("to", "record_id")).alias("capture_id")).agg(
+        F.first(F.when(main, whole), ignorenulls=True).alias("response"),
+        listed("request").alias("requests"), listed("metadata").alias("metadata"),
     )
 
 
 def page_report(captures: DataFrame) -> DataFrame:
     """Per capture of a page: its payload's figures, and for a revisit the id of the page it refers to."""
     page = F.element_at(F.element_at("metadata", 1)["fields"], "page-id").cast("long")
-    flat = captures.filter("response is not null").select(
-        page.alias("page_id"), "capture_id", F.col("response.type").alias("record_type"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.coalesce("response.computed_digest", "response.payload_digest").alias("payload_digest"),
-        F.col("response.refers_to").alias("head"),
+    kind = F.col("response.type")
+    # Staged: with plain tables on both sides Spark splits a page that very many revisit. A response looks up itself.
+    flat = materialize(
+        captures.filter("response is not null").select(
+            page.alias("page_id"), "capture_id", kind.alias("record_type"), F.col("response.payload_bytes").alias("payload_bytes"),
+            F.coalesce("response.computed_digest", "response.payload_digest").alias("payload_digest"),
+            F.when(kind == "revisit", F.col("response.refers_to")).otherwise(F.col("capture_id")).alias("head"),
+        ),
+        "captures",
     )
-    named = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("head"), F.col("page_id").alias("refers_to"))
-    return flat.join(named, "head", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    named = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("head"), F.col("page_id").alias("named"))
+    refers = F.when(F.col("record_type") == "revisit", F.col("named")).alias("refers_to")
+    return flat.join(named, "head", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", refers)
