@@ -1,9 +1,11 @@
 """License scans: every text block that holds a template's words, and fixed phrases with their places.
 
 Words are runs of letters and digits, A-Z lower-cased; everything beyond ASCII
-counts as a letter. A block is a line; a line of more than ``window`` words is
-cut into windows of that many words, each beginning half a window after the one
-before, so that a passage of up to half a window lies whole in one of them.
+counts as a letter. A block is a line or a window. Windows have ``window`` words
+and each begins half a window after the one before, so that a passage of up to
+half a window lies whole in one of them. They go over each line of more than
+``window`` words, and over the words of the whole text with line ends ignored,
+so that a statement wrapped anywhere is found; a short text is one window.
 
 A block matches a template if it holds at least ``threshold`` of the template's
 distinct words. The join is exact. Words are put in one order for the whole
@@ -48,19 +50,22 @@ def lower(text: str) -> str:
     return text.translate(_LOWER) if not text.isascii() else text.lower()
 
 
+def _windows(words: list[str], window: int) -> Iterator[tuple[int, list[str]]]:
+    step = window // 2
+    for start in range(0, max(1, len(words) - window + step), step):
+        yield start, words[start : start + window]
+
+
 def blocks_of(text: str, window: int) -> Iterator[tuple[int, list[str]]]:
     """The place of the first word and the words of each block of a lower-cased text."""
+    lines = [words for words in map(find_words, text.split("\n")) if words]
     place = 0
-    for line in text.split("\n"):
-        words = find_words(line)
-        if len(words) <= window:
-            if words:
-                yield place, words
-        else:
-            step = window // 2
-            for start in range(0, len(words) - window + step, step):
-                yield place + start, words[start : start + window]
-        place += len(words)
+    for line in lines:
+        for start, words in _windows(line, window):
+            yield place + start, words
+        place += len(line)
+    if len(lines) > 1:
+        yield from _windows([word for line in lines for word in line], window)
 
 
 class Index:

@@ -178,6 +178,26 @@ def test_every_block_is_found(spark, threshold):
         assert got == brute_license(texts[r["doc_id"]], licenses.TEMPLATES, threshold, 30)
 
 
+def test_wrapped_statements_are_found(spark):
+    """Each statement wrapped at every word, and at all of them, behind texts that move it over the windows' ends."""
+    cases = []
+    for label, statement in licenses.TEMPLATES.items():
+        words = statement.split()
+        wraps = [" ".join(words[:i]) + "\n" + " ".join(words[i:]) for i in range(1, len(words))] + ["\n".join(words), "\r\n\n".join(words)]
+        for before in (0, 1, 9, 10, 14, 15, 16, 29, 31, 44):
+            cases += [(label, len(words), before, "f " * before + "\n" * (before % 2) + wrap + " and\nmore " + "g " * 40) for wrap in wraps]
+    df = spark.createDataFrame([(i, c[3]) for i, c in enumerate(cases)], "doc_id long, text string")
+    found = licenses.scan_licenses(df, threshold=1.0, window=30).collect()
+    assert len(found) == len(cases)
+    for r in found:
+        label, size, before, _ = cases[r["doc_id"]]
+        assert label in r["labels"].split(",") and r["score"] == 1
+        assert any(b["label"] == label and b["first"] <= before and before + size <= b["end"] for b in r["blocks"])
+    texts = ["Released under the\nMIT License.", "This work is licensed under the GNU General\nPublic License, version 3"]
+    found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == {0: "mit", 1: "gpl,gpl-3.0"}
+
+
 @pytest.mark.parametrize("distance,block", [(4, 8192), (4, 3), (3, 5), (7, 50)])
 def test_links_of_fingerprints(spark, distance, block):
     """Clusters of fingerprints, dealt out in small blocks too, against all pairs."""
