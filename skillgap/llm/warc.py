@@ -220,40 +220,62 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A capture is a response, revisit or resource with all requests and metadata
     records that reach it through concurrent-to identifiers, directly or by way
-    of one other record, in either direction. Records that reach none stand
-    in a capture of their own whose response is null. Records of other types and
-    damaged ones are left to the reader.
-
-    Identifiers are joined on their own; the records themselves move once.
+    of one other record that is none of these three, in either direction. Records
+    that reach none stand in a capture of their own whose response is null.
+    Records of other types and damaged ones are left to the reader.
+
+    Each row of a response, revisit or resource gives a capture. Rows of one
+    identifier, as of an archive read twice, each have all records that reach
+    it; requests and metadata that are equal in every column are one record read
+    again and stand in a list once. A record without an identifier can name
+    others but not be named; the ``capture_id`` of its own capture is null.
+
+    Identifiers are joined on their own; the records themselves move once for
+    that, requests and metadata once more for their lists.
     ``records`` is read several times, so stage it where reading it is dear.
     """
     body = [c for c in records.columns if c != "concurrent_to"]
     main, side = F.col("type").isin("response", "revisit", "resource"), F.col("type").isin("request", "metadata")
-    ids = records.select("record_id", main.alias("main"), side.alias("side"), "concurrent_to")
-    mains = ids.filter("main").select(F.col("record_id").alias("to")).distinct()
-    said = ids.filter("side").select(F.col("record_id").alias("from"), F.explode("concurrent_to").alias("to"))
-    back = ids.filter("main").select(F.explode("concurrent_to").alias("from"), F.col("record_id").alias("to"))
-    direct = said.union(back).distinct()
-    further = (
-        direct.join(said.select(F.col("from").alias("to"), F.col("to").alias("far")), "to")
-        .select("from", F.col("far").alias("to"))
-    )
-    links = direct.union(further).distinct().join(mains, "to").select(F.col("from").alias("record_id"), "to")
-    placed = records.filter(main | side).join(links, "record_id", "left")
-    whole = F.struct(*body)
-    listed = lambda k: F.array_sort(
-        F.collect_list(F.when(F.col("type") == k, whole)),
-        lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0),
+    # What has no identifier goes by its contents.
+    contents = F.concat(F.lit("\0"), F.sha2(F.to_json(F.struct(*records.columns)), 256))
+    name = F.when(F.col("record_id").isNotNull(), F.col("record_id")).otherwise(contents)
+    ids = records.select(name.alias("name"), main.alias("main"), side.alias("side"), "concurrent_to")
+    mains = ids.filter("main").select(F.col("name").alias("to")).distinct()
+    said = ids.filter("side").select(F.col("name").alias("from"), F.explode("concurrent_to").alias("to"))
+    back = ids.filter("main").select(F.explode("concurrent_to").alias("from"), F.col("name").alias("to"))
+    reach = said.join(mains, "to").select("from", "to").union(back).distinct()
+    way = reach.join(mains.select(F.col("to").alias("from")), "from", "left_anti").select(F.col("from").alias("way"), F.col("to").alias("far"))
+    beside = said.select("from", F.col("to").alias("way")).union(said.select(F.col("to").alias("from"), F.col("from").alias("way")))
+    further = beside.join(way, "way").select("from", F.col("far").alias("to"))
+    links = reach.union(further).distinct()
+    # Maps cannot be compared; their entries can.
+    whole, plain = F.struct(*body), F.struct(*[F.map_entries(c).alias(c) if c == "fields" else F.col(c) for c in body])
+    restored = lambda x: x.withField("fields", F.map_from_entries(x["fields"])) if "fields" in body else x
+    listed = lambda k: F.transform(
+        F.array_sort(
+            F.collect_set(F.when(F.col("type") == k, plain)),
+            lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0),
+        ),
+        restored,
     )
-    return placed.groupBy(F.when(main, F.col("record_id")).otherwise(F.coalesce("to", "record_id")).alias("capture_id")).agg(
-        F.first(F.when(main, whole), ignorenulls=True).alias("response"),
+    placed = records.filter(side).select(*body, name.alias("from")).join(links, "from", "left")
+    lists = placed.groupBy(F.coalesce("to", F.concat(F.lit("\0lone "), "from")).alias("name")).agg(
+        F.min(F.when(F.col("to").isNull(), F.col("record_id"))).alias("lone"),
         listed("request").alias("requests"), listed("metadata").alias("metadata"),
     )
+    none = lambda c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)).alias(c)
+    found = records.filter(main).select(name.alias("name"), F.col("record_id").alias("own"), whole.alias("response"))
+    return found.join(lists, "name", "full_outer").select(
+        F.coalesce("own", "lone").alias("capture_id"), "response", none("requests"), none("metadata")
+    )
 
 
 def page_report(captures: DataFrame) -> DataFrame:
-    """Per capture of a page: its payload's figures, and for a revisit the id of the page it refers to."""
-    page = F.element_at(F.element_at("metadata", 1)["fields"], "page-id").cast("long")
+    """Per capture of a page: its payload's figures, and for a revisit the id of the page it refers to.
+
+    Of several responses under one identifier, the largest page id is the one referred to.
+    """
+    page = F.element_at(F.get("metadata", F.lit(0))["fields"], "page-id").cast("long")
     kind = F.col("response.type")
     # Staged: with plain tables on both sides Spark splits a page that very many revisit. A response looks up itself.
     flat = materialize(
@@ -264,6 +286,11 @@ def page_report(captures: DataFrame) -> DataFrame:
         ),
         "captures",
     )
-    named = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("head"), F.col("page_id").alias("named"))
+    # One row per identifier; staged for the same reason.
+    named = materialize(
+        flat.filter("record_type = 'response' AND capture_id IS NOT NULL")
+        .groupBy(F.col("capture_id").alias("head")).agg(F.max("page_id").alias("named")),
+        "named",
+    )
     refers = F.when(F.col("record_type") == "revisit", F.col("named")).alias("refers_to")
     return flat.join(named, "head", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", refers)

@@ -136,6 +136,40 @@ def test_records_of_others(spark, tmp_path):
     assert found["<r>"]["response"]["payload_bytes"] == 2
 
 
+def test_captures_by_any_way_without_ids_and_twice(spark, tmp_path):
+    """Records that meet in a third, records without an identifier, and an archive that lies in two folders."""
+    import gzip
+
+    def record(kind, id_, body, *to):
+        head = ["WARC/1.1", f"WARC-Type: {kind}", *([f"WARC-Record-ID: <{id_}>"] if id_ else []), *[f"WARC-Concurrent-To: <{x}>" for x in to]]
+        head += ["Content-Type: " + ("application/warc-fields" if kind == "metadata" else "application/http"), f"Content-Length: {len(body)}"]
+        return gzip.compress(("\r\n".join(head) + "\r\n\r\n" + body + "\r\n\r\n").encode())
+
+    http = "HTTP/1.1 200 OK\r\n\r\n"
+    members = [
+        record("response", "r1", http + "1", "q1"), record("request", "q1", "GET"), record("metadata", "m1", "page-id: 1\r\n", "q1"),
+        record("response", "r2", http + "22"), record("request", "q2", "GET", "r2", "m2"), record("metadata", "m2", "page-id: 2\r\n"),
+        record("response", "r3", http + "333", "r2"), record("metadata", None, "page-id: 3\r\n", "r3"),
+        record("response", None, http + "4444"), record("response", None, http + "55555", "q5"), record("request", "q5", "GET"),
+        record("metadata", None, "page-id: 6\r\n"), record("metadata", None, "page-id: 7\r\n"),
+    ]
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.warc.gz").write_bytes(b"".join(members))
+    told = lambda r: (
+        r["capture_id"], r["response"] and r["response"]["payload_bytes"], [x["record_id"] for x in r["requests"]], [x["fields"]["page-id"] for x in r["metadata"]])
+    want = [
+        ("<r1>", 1, ["<q1>"], ["1"]), ("<r2>", 2, ["<q2>"], ["2"]), ("<r3>", 3, [], ["3"]), (None, 4, [], []), (None, 5, ["<q5>"], []),
+        (None, None, [], ["6"]), (None, None, [], ["7"]),
+    ]
+    once = warc.assemble(warc.read_archives(spark, str(tmp_path / "a")))
+    assert sorted(map(told, once.collect()), key=str) == sorted(want, key=str)
+    twice = warc.assemble(warc.read_archives(spark, str(tmp_path / "*")))
+    assert sorted(map(told, twice.collect()), key=str) == sorted([x for x in want for _ in range(2 if x[1] else 1)], key=str)
+    pages = lambda c: sorted((r["page_id"] or 0, r["payload_bytes"]) for r in warc.page_report(c).collect())
+    assert pages(once) == [(0, 4), (0, 5), (1, 1), (2, 2), (3, 3)] and pages(twice) == sorted(pages(once) * 2)
+
+
 def test_mix_emits_whole_rows(spark):
     rows = [(i, "w " * (i % 7 + 1), "en", f"s{i % 4}" if i % 4 else None, i) for i in range(400)] + [(7, "w", "en", "tiny", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __row_ long").repartition(4).cache()
