@@ -327,3 +327,15 @@ def test_salted_lookup_keeps_every_row_once(spark, how, rows):
 def test_conform_reads_json_options(spark):
     df = spark.createDataFrame([("a", '[{"title": "L", "link": "x"}]')], "job_id string, apply_options string")
     assert conform_schema(df).first()["apply_options"][0]["title"] == "L"
+
+
+def test_small_batch_and_store_are_the_whole_table(spark):
+    from workload.ingest_queries import prepared, store_and_small_batch
+    from workload.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    first, batch = (df.count() for df in store_and_small_batch(spark, sf))
+    assert first + batch == spark.read.parquet(f"{sf}/documents.parquet").count() and 0 < batch < first
+    found = QUERIES["merge_small_batch"](spark, sf).collect()
+    assert sorted(r["job_id"] for r in found) == sorted(r["job_id"] for r in prepared(spark, sf).select("job_id").distinct().collect())
+    assert all(r["stored"] or r["arrived"] for r in found) and len(found[0]) == 28

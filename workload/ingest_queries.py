@@ -185,6 +185,30 @@ def _(spark, sf):
     )
 
 
+# The same with the whole table: what is not in the batch is stored, and every posting column is shown.
+_SMALL_LAST = "CAST(doc_id % 20 = 1 AS BIGINT) * 1000000000 + doc_id"
+
+
+def store_and_small_batch(spark, sf):
+    """The table in two parts, prepared: one document in twenty has just arrived, all others are to be stored."""
+    late = F.col("doc_id") % 20 == 1
+    return tuple(incoming(arrived(spark, sf).where(part), NOW, True, WORDS) for part in (~late, late))
+
+
+@query("merge_small_batch", merged_sql(prep_sql(), _SMALL_LAST) + """
+SELECT m.*, s.id IS NOT NULL AS stored, b.id IS NOT NULL AS arrived FROM merged m
+LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 <> 1) s ON s.id = m.job_id
+LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 = 1) b ON b.id = m.job_id""")
+def _(spark, sf):
+    first, batch = store_and_small_batch(spark, sf)
+    stored = materialize(merge_postings(_empty(spark), first), "stored")
+    side = lambda df, name: df.select("job_id").distinct().withColumn(name, F.lit(True))
+    merged = _merged_out(merge_postings(stored, batch)).join(side(stored, "stored"), "job_id", "left").join(side(batch, "arrived"), "job_id", "left")
+    return merged.select(
+        *_MERGED_COLUMNS, F.coalesce("stored", F.lit(False)).alias("stored"), F.coalesce("arrived", F.lit(False)).alias("arrived"),
+    )
+
+
 @query("touch_existing", prep_sql() + """
 SELECT id AS job_id FROM prep WHERE doc_id % 2 = 0 INTERSECT SELECT id FROM prep WHERE doc_id % 2 = 1""")
 def _(spark, sf):
