@@ -148,3 +148,16 @@ def test_role_summary(seven):
     assert summary == {
         "backend": 1, "data": 1, "ml_ai": 0, "devops_cloud": 1, "frontend_fullstack": 1, "any_role_unmatched": 2,
     }
+
+
+def test_fit_report_is_ranked_in_many_tasks(spark):
+    """No window of the plan has the postings in one partition: a single-partition exchange holds counts only."""
+    import workload.coverage_queries  # noqa: F401
+    from workload.registry import QUERIES
+
+    found = QUERIES["fit_report"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "Window [" in line and "row_number()" in line and "part" not in line]
+    assert not whole
+    places = [r["place"] for r in found.collect()]
+    assert sorted(places) == list(range(1, len(places) + 1)) and places

@@ -10,6 +10,7 @@ from skillgap.functions import postings as P
 from skillgap.functions.text import snippet
 from skillgap.operators import unlock as U
 from skillgap.operators.fit import job_fit
+from skillgap.operators.ranks import ranked
 from skillgap.catalog import ROLES
 from skillgap.plans.reports import as_rows, unlock_report
 from workload.registry import joined, query, sql_list, stamp
@@ -342,10 +343,9 @@ def _(spark, sf):
     n = F.size("skills_required")
     jobs = basket(spark, sf).withColumn("apply_options", F.slice(offers, 1, F.when(n % 4 == 0, 4).otherwise(n % 4)))
     fit = job_fit(jobs, HELD, T, K, roles=ITEM_ROLES, limit=None)
-    order = Window.orderBy(F.desc("match_pct"), F.asc("title"), F.asc("job_id"))
-    return fit.select(
-        F.row_number().over(order).alias("place"), "job_id", joined(F.transform("apply_options", lambda o: o["title"])).alias("portals")
-    )
+    portals = joined(F.transform("apply_options", lambda o: o["title"])).alias("portals")
+    rows = fit.select((-F.col("match_pct")).alias("least"), "title", "job_id", portals)
+    return ranked(rows, [], ["least", "title", "job_id"]).select(F.col("rank").cast("int").alias("place"), "job_id", "portals")
 
 
 _ROLE_WORDS = "['Engineer', 'ML Engineer Backend', 'Senior Cloud Data Engineer', 'DevOps Engineer', 'Full Stack Developer', 'Backend Developer', 'Rapid Prototyping', 'ReactJS Developer']"
