@@ -12,8 +12,8 @@ distinct words. The join is exact. Words are put in one order for the whole
 corpus, rarest first, by the number of documents that hold them. A matching
 block must hold one of the template's first ``size - ceil(threshold * size) + 1``
 words (prefix filter), must have enough distinct words (length filter), and
-when the first of them that it holds is the n-th, at most n-1 can be missing
-from the rest of the match (positional filter); what is left is counted in full.
+from the first of them that it holds on, must have enough template words in
+corpus order (positional filter); what is left is counted in full.
 Templates and phrases go to every task, so their text is held to ``MOST_TEMPLATES`` bytes.
 
 Null and empty texts have no words and no labels. Repeated rows and null keys
@@ -72,25 +72,35 @@ class Index:
     """Templates with their words in corpus order, found by the words of their prefixes."""
 
     def __init__(self, templates: Mapping[str, str], counts: Mapping[str, int], threshold: float):
+        vocabulary = {w for statement in templates.values() for w in find_words(lower(statement))}
+        self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         self.templates: list[tuple[str, list[str], int]] = []
         self.by_word: dict[str, list[tuple[int, int]]] = {}
         for label, statement in sorted(templates.items()):
-            words = sorted(set(find_words(lower(statement))), key=lambda w: (counts.get(w, 0), w))
+            words = sorted(set(find_words(lower(statement))), key=self.rank.__getitem__)
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             for at, word in enumerate(words[: len(words) - need + 1]):
                 self.by_word.setdefault(word, []).append((len(self.templates), at))
             self.templates.append((label, words, need))
 
-    def match(self, block: set[str], hits: set[str]) -> Iterator[tuple[str, float]]:
-        """Labels and containments; ``hits`` are the prefix words in the block."""
+    def candidates(self, block: set[str], hits: set[str]) -> Iterator[int]:
+        """Templates that no filter rejects; ``hits`` are the prefix words in the block."""
         first: dict[int, int] = {}
         for word in hits:
             for template, at in self.by_word[word]:
                 first[template] = min(at, first.get(template, at))
+        # The block's other words are in no template, so they may come first in the order.
+        own = sorted(self.rank.keys() & block, key=self.rank.__getitem__)
+        left = {word: len(own) - i for i, word in enumerate(own)}
         for template, at in first.items():
+            _, words, need = self.templates[template]
+            if len(block) >= need and left[words[at]] >= need:
+                yield template
+
+    def match(self, block: set[str], hits: set[str]) -> Iterator[tuple[str, float]]:
+        """Labels and containments."""
+        for template in self.candidates(block, hits):
             label, words, need = self.templates[template]
-            if len(block) < need or len(words) - at < need:
-                continue
             held = sum(w in block for w in words)
             if held >= need:
                 yield label, held / len(words)

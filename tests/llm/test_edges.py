@@ -212,6 +212,14 @@ def test_every_block_is_found(spark, threshold):
         assert got == brute_license(texts[r["doc_id"]], licenses.TEMPLATES, threshold, 30)
 
 
+def test_positional_filter_rejects():
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    named = lambda text: {index.templates[t][0] for t in index.candidates(set(text.split()), set(text.split()) & index.by_word.keys())}
+    # Both blocks hold a prefix word and are long enough; too few template words follow it.
+    assert "mit" not in named("mit the x1 x2 x3 x4") and "all-rights-reserved" not in named("all x1 x2 x3 rights")
+    assert "mit" in named("x1 under the mit x2 released") and "all-rights-reserved" in named("reserved x1 rights all")
+
+
 def test_wrapped_statements_are_found(spark):
     """Each statement wrapped at every word, and at all of them, behind texts that move it over the windows' ends."""
     cases = []
