@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillgap.llm import chat, langid, licenses, mixing, pieces, quality_net, rules, simhash, vectors, warc
+from skillgap.llm import align, chat, langid, lexical, licenses, mixing, ordermin, pieces, quality_net, rules, simhash, vectors, warc
 from skillgap.sources.scratch import materialize, scratch_path
 
 #: A vocabulary file by name, looked up in the public tokenizers.
 MODEL = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def model_path(name: str = MODEL) -> str:
@@ -70,11 +71,23 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.edited_report(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_report(table(spark, sf_dir, "documents"), model_path(BYTES), model_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_warc, op3_mixing, op4_licenses, op5_simhash, op6_langid, op7_quality_net, op8_quality_rules,
-        op9_chat, op10_embeddings,
+        op9_chat, op10_embeddings, op11_lexical, op12_order_minhash, op13_alignment,
     )
 }
 
@@ -149,3 +162,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(lines)) OR 2 * letters < word_chars OR 2 * uppers > letters) AS kept
 FROM g
 """
+
+ORACLES["op11_lexical"] = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+d AS (SELECT doc_id, r, words, len(words)::BIGINT AS n FROM w WHERE len(words) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+i AS (
+  SELECT item_id, row_number() OVER () AS q,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+iq AS (SELECT item_id, q, term, count(*)::BIGINT AS times FROM i GROUP BY ALL),
+tf AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, doc_id, n, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+v AS (
+  SELECT r, doc_id, term,
+    floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+      * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // total)))) AS part
+  FROM tf JOIN df USING (term), s),
+scored AS (SELECT item_id, q, r, doc_id, sum(times * part)::BIGINT AS score FROM iq JOIN v USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
