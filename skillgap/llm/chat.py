@@ -10,7 +10,8 @@ Conversations are gathered by a sort, not as lists: a task reads turns in order
 and writes each conversation as one row, or as several parts of whole turns when
 it has more than ``part_bytes``. For a batch of turns, lengths of all segments are added up to
 offsets, and one scatter per kind of segment copies headers, texts and ends
-into one preallocated buffer, which becomes the Arrow column.
+into one preallocated buffer, which becomes the Arrow column. Indices are made for
+``SLICE`` bytes at a time, so beside the texts and the buffer little is held.
 
 Turns go by (turn, role, text), nulls first. Null texts and roles count as
 empty; turns whose id is null are one conversation. Repeated rows are repeated turns.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 HEAD, BREAK, END = "### ", ":\n", "\n</turn>\n"
 PART_BYTES = 4_000_000
+#: Bytes that indices are made for at a time; a longer stretch is copied as it is.
+SLICE = 1_000_000
 _SHOWN = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c", "\n": "\\n"}
 _HIDDEN = {v[1]: k for k, v in _SHOWN.items()}
 _in_text = re.compile(r"\\|#(?=##)|<(?=/turn>)")
@@ -64,16 +67,31 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
     """Copy each stretch of ``data`` to its place in ``out``."""
-    if not length.sum():
-        return
     ends = np.cumsum(length)
-    step = np.arange(ends[-1])
-    out[step + np.repeat(to - (ends - length), length)] = data[step + np.repeat(start - (ends - length), length)]
-
-
-def _code_points(data: np.ndarray) -> np.ndarray:
-    """Code points before each byte, and in all."""
-    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    at = 0
+    while at < len(length):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+        if upto == at + 1:
+            out[to[at] : to[at] + length[at]] = data[start[at] : start[at] + length[at]]
+        else:
+            n = length[at:upto]
+            before = np.cumsum(n) - n
+            step = np.arange(n.sum())
+            out[step + np.repeat(to[at:upto] - before, n)] = data[step + np.repeat(start[at:upto] - before, n)]
+        at = upto
+
+
+def _points_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points before each of the places ``at``, which are in order."""
+    found = np.zeros(len(at), np.int64)
+    before = 0
+    for lo in range(0, len(data) + 1, SLICE):
+        begins = np.cumsum((data[lo : lo + SLICE] & 0xC0) != 0x80, dtype=np.int64)
+        some = slice(*np.searchsorted(at, [lo, lo + SLICE]))
+        found[some] = before + np.append(0, begins)[at[some] - lo]
+        before += int(begins[-1]) if len(begins) else 0
+    return found
 
 
 def assemble(roles: pa.Array, texts: pa.Array, groups: np.ndarray) -> tuple[pa.Array, list, np.ndarray]:
@@ -96,16 +114,21 @@ def assemble(roles: pa.Array, texts: pa.Array, groups: np.ndarray) -> tuple[pa.A
     _scatter(out, place[:, 1], text_data, text_cuts[:-1], lengths[:, 1])
     _scatter(out, place[:, 2], end, np.zeros(len(which), np.int64), lengths[:, 2])
     cuts = np.append(offsets[::3][groups], offsets[-1])
-    points = _code_points(out)
+    # Places whose code points count: where each text begins and ends, and each group begins.
+    marks = np.concatenate([place[:, 1], place[:, 1] + lengths[:, 1], cuts])
+    order = np.argsort(marks, kind="stable")
+    points = np.empty(len(marks), np.int64)
+    points[order] = _points_before(out, marks[order])
+    first, last, bounds = points[: len(which)], points[len(which) : 2 * len(which)], points[2 * len(which) :]
     column = pa.StringArray.from_buffers(len(groups), pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(out))
     assistant = np.array([r == "assistant" for r in names.dictionary.to_pylist()] + [False])[which]
     owner = np.searchsorted(groups, np.arange(len(which)), "right") - 1
-    base = points[cuts[:-1]][owner]
-    first, last = points[place[:, 1]] - base, points[place[:, 1] + lengths[:, 1]] - base
+    base = bounds[:-1][owner]
+    first, last = first - base, last - base
     spans: list[list[dict]] = [[] for _ in groups]
     for g, a, b in zip(owner[assistant].tolist(), first[assistant].tolist(), last[assistant].tolist()):
         spans[g].append({"start": a, "end": b})
-    return column, spans, points[cuts[1:]] - points[cuts[:-1]]
+    return column, spans, np.diff(bounds)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -60,9 +60,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if live.isEmpty():
             break
         ends = live.select(F.col("a").alias("node"), F.col("b").alias("next")).union(live.select("b", "a"))
-        up = ends.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("up"))
+        # Written, so that both sides are plain tables: all nodes of a star have the same ``up``, and Spark
+        # splits such a key only where no aggregate ends in the join.
+        up = materialize(ends.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("up")), "up")
         top = up.select(F.col("node").alias("up"), F.col("up").alias("root"))
         step = materialize(up.join(top, "up").select("node", "root"), "step")
+        drop_scratch(up)
         left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         after = live.join(left, "a").join(right, "b").filter("ra <> rb").select(

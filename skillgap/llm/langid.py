@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 ROUNDS = 25
 PENALTY = 4.0
 UNKNOWN = "und"
+#: Languages that a model may have: each has an array of ``BUCKETS`` numbers in every task.
+MOST_LANGUAGES = 512
 #: Bytes that count as spaces: everything ASCII but letters.
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[:128] = 32
@@ -111,8 +113,13 @@ def _em(p: np.ndarray, weight: np.ndarray, share: np.ndarray) -> tuple[np.ndarra
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model of every language in the rows; null texts and languages are left out."""
+    """A model of every language in the rows; null texts and languages are left out.
+
+    More than ``MOST_LANGUAGES`` languages are refused.
+    """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     counted = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most BUCKETS rows a language, whatever the number of texts.
     counts: dict[str, np.ndarray] = {}
@@ -154,6 +161,30 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     return df.mapInArrow(_predict(model.names, model.p, df.columns.index(text), (lang, score)), schema)
 
 
+def _mixtures(names: list[str], p: np.ndarray, at: int, added: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model({})
+        model.names, model.p = names, p
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+        for batch in batches:
+            found = []
+            for value in batch.column(at):
+                text = value.as_py()
+                share = model.proportions(text)[0] if names and text and has_letter(text) else np.zeros(0)
+                order = np.lexsort((np.arange(len(share)), -share)).tolist()
+                found.append([{"lang": names[i], "share": float(share[i])} for i in order if share[i] > 0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, added])
+
+    return run
+
+
+def mixtures(df: DataFrame, model: Model, text: str = "text", name: str = "languages") -> DataFrame:
+    """``df`` with each text's set of languages and their proportions, the largest first; empty where ``predict`` says ``und``."""
+    kind = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    return df.mapInArrow(_mixtures(model.names, model.p, df.columns.index(text), name), schema)
+
+
 def held_out(key: Column, parts: int, left: int) -> Column:
     """Rows kept from learning; a null id is never among them."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == left, F.lit(False))

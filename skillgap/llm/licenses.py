@@ -1,21 +1,27 @@
-"""License scans: every text block that holds a template's words, and fixed phrases with their places.
+"""License scans: every text block that holds a template's words in order, and fixed phrases with their places.
 
 Words are runs of letters and digits, A-Z lower-cased; everything beyond ASCII
-counts as a letter. A block is a line or a window. Windows have ``window`` words
-and each begins half a window after the one before, so that a passage of up to
-half a window lies whole in one of them. They go over each line of more than
-``window`` words, and over the words of the whole text with line ends ignored,
-so that a statement wrapped anywhere is found; a short text is one window.
+counts as a letter. A token is ``GRAM`` words in a row (a shorter template is one token), so
+that word order counts. A block is a line, or a window over the words of the whole
+text with line ends ignored. Windows have the smallest power of two that is at least
+twice a template's words (``LEAST_WINDOW`` at least), and each begins half a window after the
+one before, so a statement wrapped anywhere lies whole in one of them; a window that begins in the
+last half of the one before and ends with it is left out.
 
 A block matches a template if it holds at least ``threshold`` of the template's
-distinct words. The join is exact. Words are put in one order for the whole
+distinct tokens. The join is exact. Tokens are put in one order for the whole
 corpus, rarest first, by the number of documents that hold them. A matching
 block must hold one of the template's first ``size - ceil(threshold * size) + 1``
-words (prefix filter), must have enough distinct words (length filter), and
-from the first of them that it holds on, must have enough template words in
+tokens (prefix filter), must have enough places for tokens (length filter), and
+from the first of them that it holds on, must have enough template tokens in
 corpus order (positional filter); what is left is counted in full.
-Templates and phrases go to every task, so their text is held to ``MOST_TEMPLATES`` bytes.
 
+Templates of one family share most of their words. Tokens that no other label of the
+family has tell a template apart: it matches only where the threshold holds for these as well. Where
+blocks of several labels of a family still overlap, the largest containment stays,
+and of equal ones that with the most tokens.
+
+Templates and phrases go to every task, so their text is held to ``MOST_TEMPLATES`` bytes.
 Null and empty texts have no words and no labels. Repeated rows and null keys
 give a row each; other columns are left out.
 """
@@ -23,119 +29,203 @@ give a row each; other columns are left out.
 from __future__ import annotations
 
 import math
-import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-find_words = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
-#: Label to statement.
-TEMPLATES: dict[str, str] = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "mit": "released under the mit license",
-    "all-rights-reserved": "all rights reserved",
-}
-#: Phrase to label.
-PHRASES: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+from skillgap.llm.lexical import terms as words_of
+from skillgap.llm.license_texts import NOTICES, PHRASES, STATEMENTS, Template
+
+TEMPLATES: tuple[Template, ...] = NOTICES + STATEMENTS
+GRAM = 3
+LEAST_WINDOW = 16
 MOST_TEMPLATES = 4_000_000
-_LOWER = {c: c + 32 for c in range(65, 91)}
+Token = tuple[bytes, ...]
 
 
-def lower(text: str) -> str:
-    return text.translate(_LOWER) if not text.isascii() else text.lower()
+def tokens_of(words: Sequence[bytes]) -> list[Token]:
+    """The tokens of a template, in text order."""
+    n = min(GRAM, len(words))
+    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
 
 
-def _windows(words: list[str], window: int) -> Iterator[tuple[int, list[str]]]:
-    step = window // 2
-    for start in range(0, max(1, len(words) - window + step), step):
-        yield start, words[start : start + window]
+def window_of(words: int) -> int:
+    """Words of the windows for a template of so many words."""
+    return max(LEAST_WINDOW, 1 << (2 * words - 1).bit_length())
 
 
-def blocks_of(text: str, window: int) -> Iterator[tuple[int, list[str]]]:
-    """The place of the first word and the words of each block of a lower-cased text."""
-    lines = [words for words in map(find_words, text.split("\n")) if words]
-    place = 0
-    for line in lines:
-        for start, words in _windows(line, window):
-            yield place + start, words
-        place += len(line)
-    if len(lines) > 1:
-        yield from _windows([word for line in lines for word in line], window)
+class Finder:
+    """Places of known tokens in a list of words, found by each token's longest word."""
+
+    def __init__(self, known: Mapping[Token, int]):
+        self.known = known
+        #: Word to where in a token it stands, and how many words that has.
+        self.by_word: dict[bytes, set[tuple[int, int]]] = {}
+        for token in known:
+            at = max(range(len(token)), key=lambda i: (len(token[i]), token[i]))
+            self.by_word.setdefault(token[at], set()).add((at, len(token)))
+        self.words = frozenset(self.by_word)
+
+    def find(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(place, number) of each occurrence, in order."""
+        found = set()
+        for word in self.words.intersection(words):
+            at = -1
+            for _ in range(words.count(word)):
+                at = words.index(word, at + 1)
+                for before, n in self.by_word[word]:
+                    if at >= before:
+                        number = self.known.get(tuple(words[at - before : at - before + n]))
+                        if number is not None:
+                            found.add((at - before, number))
+        return sorted(found)
 
 
 class Index:
-    """Templates with their words in corpus order, found by the words of their prefixes."""
-
-    def __init__(self, templates: Mapping[str, str], counts: Mapping[str, int], threshold: float):
-        vocabulary = {w for statement in templates.values() for w in find_words(lower(statement))}
-        self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-        self.templates: list[tuple[str, list[str], int]] = []
-        self.by_word: dict[str, list[tuple[int, int]]] = {}
-        for label, statement in sorted(templates.items()):
-            words = sorted(set(find_words(lower(statement))), key=self.rank.__getitem__)
-            need = max(1, math.ceil(threshold * len(words) - 1e-9))
-            for at, word in enumerate(words[: len(words) - need + 1]):
-                self.by_word.setdefault(word, []).append((len(self.templates), at))
-            self.templates.append((label, words, need))
-
-    def candidates(self, block: set[str], hits: set[str]) -> Iterator[int]:
-        """Templates that no filter rejects; ``hits`` are the prefix words in the block."""
+    """Templates with their tokens in corpus order, found by the tokens of their prefixes."""
+
+    def __init__(self, templates: Sequence[Template], counts: Mapping[Token, int], threshold: float):
+        held = [(t, tokens_of(words_of(t.text)), len(words_of(t.text))) for t in templates]
+        held = [x for x in held if x[1]]
+        order = sorted({token for _, tokens, _ in held for token in tokens}, key=lambda k: (counts.get(k, 0), k))
+        self.number = {token: i for i, token in enumerate(order)}
+        self.size = [len(token) for token in order]
+        #: (label, family, tokens in order, how many are needed, tokens that tell apart, how many of these, window)
+        self.templates: list[tuple[str, str, list[int], int, frozenset[int], int, int]] = []
+        self.by_token: dict[int, list[tuple[int, int]]] = {}
+        for t, tokens, n_words in held:
+            own = sorted({self.number[k] for k in tokens})
+            rivals = {self.number[k] for o, others, _ in held for k in others if t.family and o.family == t.family and o.label != t.label}
+            telling = frozenset(own) - rivals
+            need = max(1, math.ceil(threshold * len(own) - 1e-9))
+            for at, token in enumerate(own[: len(own) - need + 1]):
+                self.by_token.setdefault(token, []).append((len(self.templates), at))
+            family = t.family or t.label
+            self.templates.append((t.label, family, own, need, telling, math.ceil(threshold * len(telling) - 1e-9), window_of(n_words)))
+
+    def candidates(self, block: Sequence[int], places: int) -> Iterator[int]:
+        """Templates that no filter rejects, for a block's tokens in corpus order and its places for tokens."""
         first: dict[int, int] = {}
-        for word in hits:
-            for template, at in self.by_word[word]:
+        left = {token: len(block) - i for i, token in enumerate(block)}
+        for token in block:
+            for template, at in self.by_token.get(token, ()):
                 first[template] = min(at, first.get(template, at))
-        # The block's other words are in no template, so they may come first in the order.
-        own = sorted(self.rank.keys() & block, key=self.rank.__getitem__)
-        left = {word: len(own) - i for i, word in enumerate(own)}
         for template, at in first.items():
-            _, words, need = self.templates[template]
-            if len(block) >= need and left[words[at]] >= need:
+            own, need = self.templates[template][2:4]
+            if places >= need and left[own[at]] >= need:
                 yield template
 
-    def match(self, block: set[str], hits: set[str]) -> Iterator[tuple[str, float]]:
-        """Labels and containments."""
-        for template in self.candidates(block, hits):
-            label, words, need = self.templates[template]
-            held = sum(w in block for w in words)
-            if held >= need:
-                yield label, held / len(words)
-
-
-def _counts(vocabulary: frozenset[str]):
-    """The function for ``mapInArrow``: how many documents hold each word, one row per word and task."""
+    def match(self, template: int, block: set[int]) -> float:
+        """The containment, 0 if it is no match."""
+        _, _, own, need, telling, need_telling, _ = self.templates[template]
+        held = sum(token in block for token in own)
+        if held < need or sum(token in block for token in telling) < need_telling:
+            return 0.0
+        return held / len(own)
+
+
+def _lines(text: str) -> list[int]:
+    """Where in the text's words each line begins, and where the last ends."""
+    out = [0]
+    for line in text.split("\n"):
+        out.append(out[-1] + len(words_of(line)))
+    return out
+
+
+#: Blocks of more words are held against all others; few are as long.
+_LONG = 2048
+
+
+def _best(found: dict[tuple[str, str, int, int], tuple[float, int]]) -> list[tuple[str, int, int, float]]:
+    """Of overlapping blocks of one family the best label: largest containment, then most tokens."""
+    out = []
+    families: dict[str, list[tuple]] = {}
+    for (label, family, first, end), held in found.items():
+        families.setdefault(family, []).append((first, end, label, held))
+    for blocks in families.values():
+        if len({label for _, _, label, _ in blocks}) > 1:
+            blocks.sort()
+            starts = [b[0] for b in blocks]
+            long = [b for b in blocks if b[1] - b[0] > _LONG]
+
+            def beaten(first: int, end: int, label: str, held: tuple[float, int]) -> bool:
+                near = blocks[bisect_left(starts, first - _LONG) : bisect_left(starts, end)]
+                return any(l != label and a < end and first < b and h > held for a, b, l, h in chain(near, long))
+
+            blocks = [b for b in blocks if not beaten(*b)]
+        out += [(label, first, end, held) for first, end, label, (held, _) in blocks]
+    return sorted(out)
+
+
+def matches(index: Index, finder: Finder, text: str, words: list[bytes]) -> list[tuple[str, int, int, float]]:
+    """(label, first word, end, containment) of each matching block."""
+    found_tokens = finder.find(words)
+    if not any(token in index.by_token for _, token in found_tokens):
+        return []
+    places = [p for p, _ in found_tokens]
+    line_of = _lines(text)
+    blocks: dict[tuple[int, int], set[int]] = {}
+
+    def tokens_in(first: int, end: int) -> set[int]:
+        held = blocks.get((first, end))
+        if held is None:
+            lo, hi = bisect_left(places, first), bisect_left(places, end)
+            held = blocks[first, end] = {k for p, k in found_tokens[lo:hi] if p + index.size[k] <= end}
+        return held
+
+    asked: dict[tuple[int, int], set[int]] = {}
+    for place, token in found_tokens:
+        for template, _ in index.by_token.get(token, ()):
+            window = index.templates[template][6]
+            step = window // 2
+            for k in range(max(0, place // step - 1), place // step + 1):
+                if k == 0 or k * step + step < len(words):
+                    asked.setdefault((k * step, min(k * step + window, len(words))), set()).add(template)
+            line = bisect_right(line_of, place) - 1
+            asked.setdefault((line_of[line], line_of[line + 1]), set()).add(template)
+    found: dict[tuple[str, str, int, int], tuple[float, int]] = {}
+    for (first, end), templates in asked.items():
+        block = tokens_in(first, end)
+        for template in templates.intersection(index.candidates(sorted(block), end - first)):
+            held = index.match(template, block)
+            if held:
+                label, family, own = index.templates[template][:3]
+                key = label, family, first, end
+                found[key] = max((held, len(own)), found.get(key, (0.0, 0)))
+    return _best(found)
+
+
+def _counts(finder: Finder):
+    """The function for ``mapInArrow``: how many documents hold each token, one row per token and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: Counter[int] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                counts.update(vocabulary.intersection(find_words(lower(text.as_py() or ""))))
-        yield pa.RecordBatch.from_pydict({"word": list(counts), "n": pa.array(counts.values(), pa.int64())})
+                counts.update({token for _, token in finder.find(words_of(text.as_py() or ""))})
+        yield pa.RecordBatch.from_pydict({"token": pa.array(list(counts), pa.int64()), "n": pa.array(counts.values(), pa.int64())})
 
     return run
 
 
-def _scan(index: Index, phrases: Mapping[str, str], window: int):
+def _scan(index: Index, phrases: Mapping[str, str]):
     """The function for ``mapInArrow``."""
-    starts: dict[str, list[tuple[list[str], str]]] = {}
+    finder = Finder(index.number)
+    starts: dict[bytes, list[tuple[list[bytes], str]]] = {}
     for phrase, label in phrases.items():
-        words = find_words(lower(phrase))
+        words = words_of(phrase)
         starts.setdefault(words[0], []).append((words, label))
-    telling = frozenset(index.by_word) | frozenset(starts)
-    prefix = frozenset(index.by_word)
+    begins = frozenset(starts)
 
     def one(text: str) -> tuple:
-        text = lower(text)
-        words = find_words(text)
-        hits = telling.intersection(words)
-        if not hits:
-            return len(words), 0, None, None, "", "", 0.0, []
+        words = words_of(text)
         places, base = [], set()
-        for word in hits & starts.keys():
+        for word in begins.intersection(words):
             at = -1
             for _ in range(words.count(word)):
                 at = words.index(word, at + 1)
@@ -143,16 +233,10 @@ def _scan(index: Index, phrases: Mapping[str, str], window: int):
                     if words[at : at + len(phrase)] == phrase:
                         places.append(at)
                         base.add(label)
-        found: dict[tuple[str, int, int], float] = {}
-        if hits & prefix:
-            for place, block in blocks_of(text, window):
-                block_hits = prefix.intersection(block)
-                if block_hits:
-                    for label, held in index.match(set(block), block_hits):
-                        found[label, place, place + len(block)] = held
-        labels = base | {label for label, _, _ in found}
-        score = max([1.0 if base else 0.0, *found.values()])
-        spans = [{"label": a, "first": b, "end": c, "containment": v} for (a, b, c), v in sorted(found.items())]
+        found = matches(index, finder, text, words)
+        labels = base | {label for label, _, _, _ in found}
+        score = max([1.0 if base else 0.0, *(held for _, _, _, held in found)])
+        spans = [{"label": a, "first": b, "end": c, "containment": v} for a, b, c, v in found]
         return (len(words), len(places), min(places, default=None), max(places, default=None),
                 ",".join(sorted(base)), ",".join(sorted(labels)), score, spans)
 
@@ -178,23 +262,21 @@ _DDL = (
 
 
 def scan_licenses(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES,
-    phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8, window: int = 128,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequence[Template] = TEMPLATES,
+    phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8,
 ) -> DataFrame:
     """Per row: words, phrase places, labels and the matching ``blocks`` with their word spans.
 
     ``score`` is the largest containment found, 1 where a phrase stands, else 0.
     """
-    size = sum(len(x.encode()) for x in [*templates.values(), *phrases])
+    size = sum(len(x.encode()) for x in [*(t.text for t in templates), *phrases])
     if size > MOST_TEMPLATES:
         raise ValueError(f"templates and phrases have {size} bytes; {MOST_TEMPLATES} at most")
-    longest = max((len(find_words(lower(t))) for t in templates.values()), default=0)
-    if window < 2 * longest:
-        raise ValueError(f"a window needs twice the words of the longest template, {2 * longest}")
-    vocabulary = frozenset(w for t in templates.values() for w in find_words(lower(t)))
-    counted = docs.select(text).mapInArrow(_counts(vocabulary), "word string, n long")
-    # At most one row per word of the templates.
-    counts = {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    known = sorted({token for t in templates for token in tokens_of(words_of(t.text))})
+    finder = Finder({token: i for i, token in enumerate(known)})
+    counted = docs.select(text).mapInArrow(_counts(finder), "token long, n long")
+    # At most one row per token of the templates.
+    counts = {known[r["token"]]: r["n"] for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()}
     found = docs.select(key, text)
     ddl = found.select(key).schema.simpleString()[7:-1] + ", " + _DDL
-    return found.mapInArrow(_scan(Index(templates, counts, threshold), phrases, window), ddl)
+    return found.mapInArrow(_scan(Index(templates, counts, threshold), phrases), ddl)

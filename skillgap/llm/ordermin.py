@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillgap.sources.scratch import materialize
+from skillgap.sources.scratch import drop_scratch, materialize
 
 K = 6
 PICKED = 2
@@ -172,6 +172,7 @@ def _ranges(df: DataFrame, key: str, text: str, parts: int | None) -> tuple[np.n
     low = F.min(F.struct(F.col("id").isNull().alias("none"), (-F.col("id")).alias("down"), "row")).alias("low")
     # A row per range comes to the driver.
     firsts = dealt.groupBy("part").agg(low).orderBy("low").collect()
+    drop_scratch(ids)
     none = np.iinfo(np.int64).max
     down = np.array([none if r["low"]["none"] else r["low"]["down"] for r in firsts], np.int64)
     return down, np.array([r["low"]["row"] for r in firsts], np.int64)

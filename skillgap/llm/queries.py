@@ -57,7 +57,7 @@ def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(table(spark, sf_dir, "documents")).drop("stopped_by")
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,14 +128,15 @@ l AS (SELECT max(level) AS level FROM v),
 t AS (
   SELECT source, n, w, CASE WHEN w * l.level > 3 * n THEN (3 * n)::DOUBLE ELSE w * l.level END AS target FROM s, l),
 r AS (
-  SELECT d.doc_id, d.size, t.n AS source_size, t.target,
-    CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0 END AS share,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) AS k,
-    ('0x' || substr(md5('mix|' || coalesce('s' || d.source, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT d.doc_id, d.source, d.size, t.n AS source_size, t.target,
+    CASE WHEN t.n > 0 THEN floor(t.target / t.n * 4294967296 + 0.5)::BIGINT ELSE 0 END AS units,
+    ('0x' || substr(md5('mix|' || coalesce('s' || d.source, 'null')), 1, 8))::BIGINT AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (
+  SELECT *, sum(units) OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM r)
 SELECT doc_id, size, source_size, target,
-  ((floor(k * share + u) - floor((k - 1) * share + u))::BIGINT * size)::BIGINT AS taken
-FROM r
+  (((upto + u) // 4294967296 - (upto - units + u) // 4294967296) * size)::BIGINT AS taken
+FROM k
 """
 
 ORACLES["op8_quality_rules"] = rf"""
@@ -156,11 +157,28 @@ f AS (
   SELECT m.*, coalesce(cover.n, 0) AS n_repeat_words,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines
   FROM m LEFT JOIN cover USING (r)),
-g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+j AS (
+  SELECT *, 10 * n_symbols > n_words AS symbols, word_chars > 15 * n_words OR word_chars < 2 * n_words AS word_length,
+    n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(lines) AS repeated_lines, 2 * letters < word_chars AS few_letters,
+    2 * uppers > letters AS shouting, length(body)::BIGINT AS chars
+  FROM g),
+sampled AS (SELECT * FROM j ORDER BY md5(concat(coalesce(doc_id::VARCHAR, ''), '|', body)) LIMIT {rules.SAMPLE_ROWS}),
+estimated AS (
+  SELECT 'symbols' AS rule, sum(symbols::BIGINT) AS rejected, 2 * count(*) AS read FROM sampled UNION ALL
+  SELECT 'word_length', sum(word_length::BIGINT), 2 * count(*) FROM sampled UNION ALL
+  SELECT 'repeated_lines', sum(repeated_lines::BIGINT), 2 * count(*) FROM sampled UNION ALL
+  SELECT 'few_letters', sum(few_letters::BIGINT), sum(chars + 1) FROM sampled UNION ALL
+  SELECT 'shouting', sum(shouting::BIGINT), sum(2 * chars) FROM sampled),
+placed AS (SELECT rule, row_number() OVER (ORDER BY rejected::DOUBLE / greatest(1, read)::DOUBLE DESC, rule) AS place FROM estimated),
+hits AS (
+  SELECT r, 'symbols' AS rule FROM j WHERE symbols UNION ALL SELECT r, 'word_length' FROM j WHERE word_length UNION ALL
+  SELECT r, 'repeated_lines' FROM j WHERE repeated_lines UNION ALL SELECT r, 'few_letters' FROM j WHERE few_letters UNION ALL
+  SELECT r, 'shouting' FROM j WHERE shouting),
+stops AS (SELECT r, arg_min(rule, place) AS rule FROM hits JOIN placed USING (rule) GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
-    OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(lines)) OR 2 * letters < word_chars OR 2 * uppers > letters) AS kept
-FROM g
+  NOT base_failed AND rule IS NULL AS kept, CASE WHEN base_failed THEN 'base' ELSE rule END AS stopped_by
+FROM j LEFT JOIN stops USING (r)
 """
 
 ORACLES["op11_lexical"] = r"""

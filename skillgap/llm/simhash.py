@@ -18,9 +18,10 @@ one set bit of the second cleared. Candidates then have to pass the rest of the
 chain, and then the full count of bits.
 
 Equal fingerprints are one row from the start. Rows of one key are compared in
-one task, and only a spanning forest of the links leaves it. A key that more
-than ``block`` fingerprints share is dealt out in pairs of blocks, so that no
-task holds more of it than two blocks.
+one task, and only a spanning forest of the links leaves it. Listings and
+look-ups of each key are counted; a key with more than ``block`` of either is dealt
+out in pairs of blocks, so that no task holds more of it than two blocks. Such keys are
+a table that the rows are joined with, of any size.
 
 Repeated rows link with each other. Null ids sort after all others and are never
 a component's id unless all of it is null.
@@ -44,8 +45,6 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 BLOCK = 8192
-#: Keys that are dealt out in blocks; bounds what each task has to know of them.
-MOST_DEALT = 100_000
 _SPACES = " \t\n\v\f\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -108,56 +107,8 @@ def _key(start: int, first: np.ndarray, second: np.ndarray, bits: int) -> np.nda
     return ((np.uint64(start) << np.uint64(56)) | (first << np.uint64(bits)) | second).view(np.int64)
 
 
-def listed_keys(prints: np.ndarray, distance: int) -> list[np.ndarray]:
-    """For each start, the key under which each fingerprint is listed."""
-    ring = segments(distance)
-    out = []
-    for s, place in enumerate(ring):
-        after = ring[(s + 1) % len(ring)]
-        out.append(_key(s, _segment(prints, place), _segment(prints, after), after[1]))
-    return out
-
-
-def _list_keys(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(listed_keys(prints, distance)))], names=["key"])
-
-    return run
-
-
-def _deal(distance: int, dealt_keys: np.ndarray, dealt_blocks: np.ndarray):
-    """The function for ``mapInArrow``: a row for each listing and look-up of a fingerprint.
-
-    ``part`` is 0, or numbers a pair of blocks of a key that is dealt out: above 0
-    of listings with each other, below 0 of listings with look-ups. ``kind`` is 0 for a listing, 1 for a listing in the second of two blocks,
-    2 for a look-up.
-    """
-
-    def dealt(key: np.ndarray, prints: np.ndarray, kind: int) -> Iterator[tuple]:
-        if not len(dealt_keys):
-            yield key, np.zeros(len(key), np.int64), prints, np.full(len(key), kind, np.int8)
-            return
-        at = np.minimum(np.searchsorted(dealt_keys, key), len(dealt_keys) - 1)
-        hot = dealt_keys[at] == key
-        cold = ~hot
-        yield key[cold], np.zeros(cold.sum(), np.int64), prints[cold], np.full(cold.sum(), kind, np.int8)
-        if not hot.any():
-            return
-        key, prints, n = key[hot], prints[hot], dealt_blocks[at[hot]]
-        block = (scatter(prints).view(np.uint64) >> np.uint64(20)).astype(np.int64) % n
-        copy = np.repeat(np.arange(len(key)), n)
-        other = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
-        key, prints, n, block = key[copy], prints[copy], n[copy], block[copy]
-        if kind == 2:
-            # Each look-up block meets each listing block.
-            yield key, -(1 + other * n + block), prints, np.full(len(key), 2, np.int8)
-        else:
-            low, high = np.minimum(block, other), np.maximum(block, other)
-            yield key, 1 + low * n + high, prints, (block > other).astype(np.int8)
-            yield key, -(1 + block * n + other), prints, np.zeros(len(key), np.int8)
-
+def _placed(distance: int):
+    """The function for ``mapInArrow``: a row for each listing (``kind`` 0) and look-up (2) of a fingerprint."""
     ring = segments(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,24 +116,57 @@ def _deal(distance: int, dealt_keys: np.ndarray, dealt_blocks: np.ndarray):
             all_prints = batch.column(0).to_numpy().view(np.uint64)
             for lo in range(0, len(all_prints), 20_000):
                 prints = all_prints[lo : lo + 20_000]
-                rows: list[tuple] = []
+                keys, found, kinds = [], [], []
                 for s, place in enumerate(ring):
                     after = ring[(s + 1) % len(ring)]
                     first, second = _segment(prints, place), _segment(prints, after)
-                    rows += dealt(_key(s, first, second, after[1]), prints, 0)
+                    keys.append(_key(s, first, second, after[1]))
+                    found.append(prints)
+                    kinds.append(np.zeros(len(prints), np.int8))
                     for bit in range(after[1]):
                         has = (second >> np.uint64(bit)) & np.uint64(1) == 1
-                        cleared = second[has] ^ np.uint64(1 << bit)
-                        rows += dealt(_key(s, first[has], cleared, after[1]), prints[has], 2)
-                for some in rows:
-                    if len(some[0]):
-                        key, part, found, kind = some
-                        arrays = [pa.array(key), pa.array(part), pa.array(found.view(np.int64)), pa.array(kind)]
-                        yield pa.RecordBatch.from_arrays(arrays, names=["key", "part", "print", "kind"])
+                        keys.append(_key(s, first[has], second[has] ^ np.uint64(1 << bit), after[1]))
+                        found.append(prints[has])
+                        kinds.append(np.full(int(has.sum()), 2, np.int8))
+                arrays = [pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(kinds))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "print", "kind"])
 
     return run
 
 
+def busy_keys(placed: DataFrame, block: int) -> DataFrame:
+    """Keys with more than ``block`` listings or look-ups, and how many blocks each of the two makes."""
+    listed = F.sum((F.col("kind") == 0).cast("long")).alias("listed")
+    asked = F.sum((F.col("kind") == 2).cast("long")).alias("asked")
+    counted = placed.groupBy("key").agg(listed, asked).filter((F.col("listed") > block) | (F.col("asked") > block))
+    return counted.select("key", F.ceil(F.col("listed") / block).alias("listed"), F.ceil(F.col("asked") / block).alias("asked"))
+
+
+def dealt(placed: DataFrame, busy: DataFrame) -> DataFrame:
+    """Rows with ``part``, so that no part of a key holds more than two blocks.
+
+    ``part`` is 0, or numbers a pair of blocks of a busy key: above 0 of listings with each other, below 0 of
+    listings with look-ups. ``kind`` is 1 for a listing in the second of two blocks. Look-ups of
+    a busy key that has no listing go.
+    """
+    listed, asked = F.col("listed"), F.col("asked")
+    none = F.array().cast("array<struct<part:bigint,kind:tinyint>>")
+    at = lambda part, kind: F.struct(part.cast("long").alias("part"), F.lit(kind).cast("byte").alias("kind"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    own_listed, own_asked = F.pmod(F.xxhash64("print"), F.greatest(listed, F.lit(1))), F.pmod(F.xxhash64("print"), F.greatest(asked, F.lit(1)))
+    low, high = lambda o: F.least(own_listed, o), lambda o: F.greatest(own_listed, o)
+    with_listings = F.transform(upto(listed), lambda o: F.when(own_listed > o, at(1 + low(o) * listed + high(o), 1)).otherwise(at(1 + low(o) * listed + high(o), 0)))
+    with_asked = F.transform(upto(asked), lambda m: at(-(1 + own_listed * asked + m), 0))
+    parts = (
+        F.when(listed.isNull(), F.array(F.struct(F.lit(0).cast("long").alias("part"), F.col("kind").alias("kind"))))
+        .when(F.col("kind") == 0, F.concat(with_listings, with_asked))
+        .when(listed > 0, F.transform(upto(listed), lambda o: at(-(1 + o * asked + own_asked), 2)))
+        .otherwise(none)
+    )
+    each = placed.join(busy, "key", "left").select("key", "print", F.explode(parts).alias("at"))
+    return each.select("key", "at.part", "print", "at.kind")
+
+
 def near(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int) -> np.ndarray:
     """Which pairs keep every budget of the chain from ``start`` on, and are linked."""
     ring = segments(distance)
@@ -236,18 +220,16 @@ def _links(distance: int):
                 yield spanning(scatter(a[ok]), scatter(b[ok]))
             row = stop
 
-    def whole(columns: list[np.ndarray], part: np.ndarray) -> Iterator[tuple]:
-        key, prints, kind = columns
+    def whole(key: np.ndarray, part: np.ndarray, prints: np.ndarray, kind: np.ndarray) -> Iterator[tuple]:
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         group = np.cumsum(new)
-        sizes = np.bincount(group)
-        busy = sizes[group] > 1
+        busy = np.bincount(group)[group] > 1
         if busy.any():
             yield from compare(key[busy], part[busy], group[busy], prints[busy].view(np.uint64), kind[busy])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
         links: list[tuple] = []
 
         def out() -> pa.RecordBatch:
@@ -257,18 +239,20 @@ def _links(distance: int):
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = [batch.column(i).to_numpy() for i in range(4)]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            # The last group may go on in the next batch.
-            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) if len(rows[0]) else np.zeros(0, bool)
-            cut = int(np.argmax(last)) if last.any() else 0
-            held = [x[cut:] for x in rows]
-            links += whole([rows[0][:cut], rows[2][:cut], rows[3][:cut]], rows[1][:cut])
+            # The last group may go on in the next batch; what is held is copied once, when its end is seen.
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            cut = int(np.argmax(same))
+            if cut or held and (held[-1][0][-1], held[-1][1][-1]) != (rows[0][0], rows[1][0]):
+                links += whole(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in rows])))
+                held = []
+            held.append([x[cut:] for x in rows])
             if sum(len(x[0]) for x in links) > 500_000:
                 yield out()
-        if held is not None:
-            links += whole([held[0], held[2], held[3]], held[1])
+        if held:
+            links += whole(*(np.concatenate(x) for x in zip(*held)))
         if links:
             yield out()
 
@@ -277,14 +261,9 @@ def _links(distance: int):
 
 def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Edges (``a``, ``b``, of nodes) with the components that links make of distinct ``print`` rows."""
-    n = prints.count()
-    # At most MOST_DEALT keys can be above this.
-    most = max(block, (distance + 1) * n // MOST_DEALT)
-    listed = prints.select("print").mapInArrow(_list_keys(distance), "key long")
-    hot = listed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).orderBy("key").collect()
-    keys = np.array([r["key"] for r in hot], np.int64)
-    blocks = np.array([-(-r["n"] // most) for r in hot], np.int64)
-    rows = prints.select("print").mapInArrow(_deal(distance, keys, blocks), "key long, part long, print long, kind byte")
+    placed = prints.select("print").mapInArrow(_placed(distance), "key long, print long, kind byte")
+    busy = materialize(busy_keys(placed, block), "busy")
+    rows = dealt(placed, busy)
     return (
         rows.repartition("key", "part").sortWithinPartitions("key", "part", "kind")
         .mapInArrow(_links(distance), "a long, b long")
@@ -306,9 +285,10 @@ def near_groups(
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     distinct = materialize(rows.groupBy("print", "node").agg(F.min(order).alias("low")), "distinct")
     roots = components(links(distinct, distance, block))
-    placed = distinct.join(roots, "node", "left").select("print", "low", F.coalesce("root", "node").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("lowest"))
-    named = placed.join(lowest, "root").select("print", "lowest")
+    # Written, so that both sides of the join by root are plain tables: Spark then splits a large component.
+    lowest = materialize(roots.join(distinct.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("lowest")), "lowest")
+    reached = roots.join(lowest, "root").select("node", "lowest")
+    named = distinct.join(reached, "node", "left").select("print", F.coalesce("lowest", "low").alias("lowest"))
     return rows.join(named, "print").select(
         "row", "doc_id", "print", F.col("lowest.doc_id").alias("component_id"),
         (F.col("row") == F.col("lowest.row")).alias("first"),
