@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skillgap.llm import langid, mixing, pieces, quality_net, simhash
 from skillgap.llm.names import fresh
 from skillgap.llm.queries import model_path, table
-from skillgap.sources.scratch import scratch_path
+from skillgap.sources.scratch import remove, scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage over ``documents``; every stage is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage over ``documents``; every stage is written to the shared folder.
+
+    What a stage has staged goes when it is written, and its input with it; the last stage's table stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, "stage-" + name.split()[0].lower())
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
