@@ -4,16 +4,23 @@ The merge is defined as a fold over the rows of an id, the stored row first and
 then the batch in arrival order. Here every column has a closed form over
 (first, last, earliest, union ...), so the fold becomes aggregates that combine
 in each task before the shuffle. No list of all rows of an id is ever built, and
-an id that holds a third of the batch is merged like any other.
+an id that holds a third of the batch is merged like any other. Ids that occur
+once pass by; one narrow count tells them.
 
-The rows that take part, and one row per id with all that a single pass can
-tell, are written once and read by what follows. Joins back to them have a plain
+Stored rows of a small batch are looked for by their ids, which reach the files: where the table
+is sorted by id, few pages of it are read. For a larger batch the store is read
+once and dealt into the rows that the batch touches and the others. The rows that take part are
+written once and read by what follows. Joins back to them have a plain
 table on both sides, so Spark splits an id with many rows by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgap.functions.postings import publisher
@@ -22,6 +29,8 @@ from skillgap.schema import POSTING, conform_schema
 from skillgap.sources.scratch import materialize
 
 ARRIVAL = "arrival"
+#: Ids of a batch that may be named one by one in a filter.
+FEW_IDS = 10_000
 
 # The last value that is not null wins; an empty string is a value.
 _LAST_KNOWN = [
@@ -149,70 +158,131 @@ def _late_values(rows: DataFrame, single: DataFrame) -> DataFrame:
     )
 
 
+def _lone(rows: DataFrame) -> DataFrame:
+    """Rows whose id occurs once, as the fold leaves them."""
+    settled = {
+        "is_snapshot": F.coalesce("is_snapshot", F.lit(False)),
+        "source_token": empty_to_null(F.col("source_token")),
+        "work_from_home": F.coalesce("work_from_home", F.lit(False)),
+    }
+    return rows.select(*[settled.get(f.name, F.col(f.name)).alias(f.name) for f in POSTING.fields])
+
+
 def _fold(rows: DataFrame) -> DataFrame:
-    """One merged row per id."""
-    rows = materialize(rows, "merge-rows")
+    """One merged row per id of a written table."""
+    counted = rows.groupBy("job_id").agg(F.count("*").alias("n"))
+    several = materialize(counted.where("n > 1").select(F.col("job_id").alias("again")), "merge-several")
+    same = F.col("job_id").eqNullSafe(F.col("again"))
+    return _lone(rows.join(several, same, "left_anti")).unionByName(_fold_several(rows.join(several, same, "left_semi")))
+
+
+def _fold_several(rows: DataFrame) -> DataFrame:
+    """One merged row per id for ids with more than one row."""
+    rows = materialize(rows, "merge-again")
     single = materialize(_single_values(rows), "merge-ids")
-    several = single.where("row_count > 1").select("job_id")
-    lists = _list_items(rows.join(several, "job_id", "left_semi"))
+    lists = _list_items(rows)
     late = _late_values(rows, single)
     x = single.join(lists, "job_id", "left").join(late, "job_id", "left")
 
     own = F.col("first_row")
-    lone = F.col("row_count") == 1
     options = F.coalesce("merged_options", F.array())
     phrases = F.coalesce("merged_phrases", F.array().cast("array<string>"))
     pay = F.coalesce("first_pay", "last_pay")
 
     def figure(name: str, late_name: str) -> Column:
         with_pay = F.coalesce(F.col(f"paid_lpa.{name}"), F.col(late_name))
-        return F.when(F.col("paid_ord").isNotNull() & ~lone, with_pay).otherwise(F.col(f"last_lpa.{name}"))
+        return F.when(F.col("paid_ord").isNotNull(), with_pay).otherwise(F.col(f"last_lpa.{name}"))
 
     merged = {
-        "salary": F.when(lone, own["salary"]).otherwise(pay),
-        "salary_raw": F.when(lone, own["salary_raw"]).otherwise(pay),
+        "salary": pay,
+        "salary_raw": pay,
         "salary_min_lpa": figure("salary_min_lpa", "late_min"),
         "salary_max_lpa": figure("salary_max_lpa", "late_max"),
-        "apply_options": F.when(lone, own["apply_options"]).otherwise(options),
-        "portal_count": F.when(lone, own["portal_count"]).otherwise(F.greatest(F.lit(1), F.size(options))),
-        "apply_link": F.when(lone | empty_to_null(own["apply_link"]).isNotNull() | (F.size(options) == 0), own["apply_link"])
+        "apply_options": options,
+        "portal_count": F.greatest(F.lit(1), F.size(options)),
+        "apply_link": F.when(empty_to_null(own["apply_link"]).isNotNull() | (F.size(options) == 0), own["apply_link"])
         .otherwise(F.try_element_at(options, F.lit(1))["link"]),
-        "source_queries": F.when(lone, own["source_queries"]).otherwise(phrases),
-        "source_query": F.when(lone, own["source_query"]).otherwise(
-            F.coalesce(empty_to_null(own["source_query"]), F.try_element_at(phrases, F.lit(1)))
-        ),
-        "skills_required": F.when(lone, own["skills_required"]).otherwise(
-            F.coalesce("merged_skills", F.array().cast("array<string>"))
-        ),
-        "location_type": F.when(lone, own["location_type"])
-        .when(F.col("any_remote"), "Remote")
-        .otherwise(
+        "source_queries": phrases,
+        "source_query": F.coalesce(empty_to_null(own["source_query"]), F.try_element_at(phrases, F.lit(1))),
+        "skills_required": F.coalesce("merged_skills", F.array().cast("array<string>")),
+        "location_type": F.when(F.col("any_remote"), "Remote").otherwise(
             F.coalesce(empty_to_null(own["location_type"]), empty_to_null(F.col("second_place")), F.lit("On-site"))
         ),
     }
     return x.select(*[merged.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in POSTING.fields])
 
 
-def _tagged(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows with ``touched``: whether their id occurs in the batch."""
-    ids = batch.select("job_id").distinct().withColumn("touched", F.lit(True))
-    return conform_schema(store).join(ids, "job_id", "left")
+@contextlib.contextmanager
+def _values_in_files(spark: SparkSession, n: int) -> Iterator[None]:
+    """Lists of up to ``n`` values reach the files as such, and not as their smallest and largest."""
+    name = "spark.sql.parquet.pushdown.inFilterThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(n, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@dataclass(frozen=True)
+class Sides:
+    """A store's rows that a batch leaves alone, those it touches, and the batch's ids in all."""
+
+    untouched: DataFrame
+    touched: DataFrame
+    ids: int
+
+
+def sides(store: DataFrame, batch: DataFrame, few: int = FEW_IDS) -> Sides:
+    """The store's rows dealt by whether their id occurs in the batch; the touched ones are staged."""
+    store, spark = conform_schema(store), store.sparkSession
+    ids = materialize(batch.select("job_id").distinct(), "batch-ids")
+    n = ids.count()
+    if n <= few:
+        touched, left = named_ids(store, [r["job_id"] for r in ids.collect()])
+        with _values_in_files(spark, n):
+            return Sides(left, materialize(touched, "touched"), n)
+    tagged = store.join(ids.withColumn("touched", F.lit(True)), "job_id", "left").withColumn("touched", F.col("touched").isNotNull())
+    both = materialize(tagged, "sides", by="touched")
+    shaped = [f.name for f in POSTING.fields]
+    return Sides(both.where(~F.col("touched")).select(*shaped), both.where("touched").select(*shaped), n)
+
+
+def named_ids(store: DataFrame, ids: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with one of the ids, and the others; rows without an id are others."""
+    listed = [i for i in ids if i is not None]
+    if not listed:
+        return store.where(F.lit(False)), store
+    named = F.col("job_id").isin(listed)
+    return store.where(named), store.where(~named | F.col("job_id").isNull())
 
 
 def touch_existing(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Stored rows whose id occurs in the batch."""
-    return _tagged(store, batch).where("touched").drop("touched")
+    return sides(store, batch).touched
+
+
+@dataclass(frozen=True)
+class Merged:
+    """What a merge does: rows left alone, touched rows as they were, and as they are with the new ones."""
+
+    untouched: DataFrame
+    before: DataFrame
+    after: DataFrame
+
+
+def merge_parts(store: DataFrame, batch: DataFrame) -> Merged:
+    """The merge of a prepared batch in its parts; ``before`` and ``after`` are staged (see ``scratch_scope``)."""
+    dealt = sides(store, batch)
+    rows = materialize(_ordered_rows(dealt.touched, batch), "merge-rows")
+    return Merged(dealt.untouched, dealt.touched, _fold(rows))
 
 
 def merge_postings(store: DataFrame, batch: DataFrame) -> DataFrame:
     """The store with a prepared batch merged in; one row per id.
 
     ``batch`` comes from ``prepare_batch`` and carries ``arrival``; it is read
-    twice. The store meets the ids of the batch in one join; stored rows that
-    the batch does not touch pass on from there. The touched rows are staged
-    (see ``scratch_scope``).
+    twice. Stored rows that the batch does not touch pass on as they are.
     """
-    tagged = _tagged(store, batch)
-    untouched = tagged.where("touched IS NULL").select(*[f.name for f in POSTING.fields])
-    touched = tagged.where("touched").select(*[f.name for f in POSTING.fields])
-    return untouched.unionByName(_fold(_ordered_rows(touched, batch)))
+    parts = merge_parts(store, batch)
+    return parts.untouched.unionByName(parts.after)

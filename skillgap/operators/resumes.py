@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skillgap import catalog
 from skillgap.catalog import SKILLS, SkillCatalog
 from skillgap.functions.coverage import string_array
 from skillgap.functions.numbers import any_of
 from skillgap.functions.text import extract_skills, fold_case, hinted, resolve_skill, strip
-from skillgap.operators.browse import recommended
+from skillgap.operators.browse import newest_first, recommended
+from skillgap.sources.scratch import materialize
 
 _MIN_RESUME_CHARS = 80
 _MIN_SECTIONS = 2
@@ -131,3 +133,50 @@ def match_resume(
     one = df.sparkSession.range(1).select(F.lit(text).alias("text"))
     summary = match_summary(one, skills).drop("text")
     return summary, recommended(df, summary.select("matched_skills").scalar(), limit)
+
+
+_SHOWN_POSTING = ["job_id", "title", "company_name", "location", "via", "apply_link", "salary", "schedule_type"]
+
+
+def newest_per_skill(df: DataFrame, skills: SkillCatalog = SKILLS, limit: int = 6) -> DataFrame:
+    """(skill, place, posting): the newest postings whose description mentions each skill, ``limit`` a skill at most.
+
+    Spark keeps the first ``limit`` rows of a skill in each task before the shuffle. ``place`` numbers all postings found, newest first.
+    """
+    lowered = F.lower("description")
+    named = F.transform(
+        F.array(lowered), lambda text: F.filter(string_array(skills.names), lambda s: text.contains(F.lower(s)))
+    )
+    found = df.select(*_SHOWN_POSTING, "scraped_at", F.explode(F.coalesce(F.element_at(named, 1), F.array().cast("array<string>"))).alias("skill"))
+    newest = Window.partitionBy("skill").orderBy(*newest_first())
+    kept = found.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= limit)
+    # At most the catalog's names times the limit are left.
+    place = F.dense_rank().over(Window.partitionBy().orderBy(*newest_first()))
+    return kept.withColumn("place", place).select("skill", "place", F.struct(*_SHOWN_POSTING).alias("posting"))
+
+
+def match_resumes(
+    df: DataFrame, resumes: DataFrame, skills: SkillCatalog = SKILLS, limit: int = 6, key: str = "candidate_id"
+) -> DataFrame:
+    """``resumes`` (``key``, ``text``) with their summary and ``recommended`` postings, newest first.
+
+    The newest postings that mention any of a candidate's skills are among the newest of each single skill. So the postings are
+    read once for any number of candidates, and what every task of the candidates gets is the newest few of each
+    skill: the catalog's names times ``limit`` at most. Candidates and postings are never joined.
+    """
+    best = materialize(newest_per_skill(df, skills, limit), "newest")
+    places = best.groupBy("skill").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    by_skill = places.agg(F.map_from_entries(F.collect_list(F.struct("skill", "places")))).scalar()
+    by_place = best.groupBy("place").agg(F.any_value("posting").alias("posting")).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "posting")))
+    ).scalar()
+    summary = match_summary(resumes.select(key, "text"), skills).drop("text")
+    none = F.array().cast("array<int>")
+    own = F.flatten(F.transform("matched_skills", lambda s: F.coalesce(F.try_element_at(F.col("_by_skill"), s), none)))
+    chosen = F.slice(F.array_sort(F.array_distinct(own)), 1, limit)
+    shown = F.transform(chosen, lambda p: F.try_element_at(F.col("_by_place"), p))
+    return (
+        summary.withColumns({"_by_skill": by_skill, "_by_place": by_place})
+        .withColumn("recommended", F.coalesce(shown, F.array()))
+        .drop("_by_skill", "_by_place")
+    )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillgap.sources.scratch import materialize
+
 #: A key with more than one in so many rows is dealt out in parts of at most that share.
 SHARE = 1000
 
@@ -24,10 +26,11 @@ def salted_lookup(
     ends in an aggregate, not in a bare shuffle.
     """
     keys = list(keys)
+    # One pass over the keys: the total is the sum of the counts. Only frequent keys are kept.
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = rows.agg(F.count("*")).scalar()
-    hot = counted.where(F.col("_n") * share > total).select(
-        *keys, F.ceil(F.col("_n") * share / total).cast("int").alias("_parts")
+    total = counted.agg(F.sum("_n")).scalar()
+    hot = materialize(
+        counted.where(F.col("_n") * share > total).select(*keys, F.ceil(F.col("_n") * share / total).cast("int").alias("_parts")), "hot"
     )
     part = F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", part).drop("_parts")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -30,33 +31,45 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Paths handed out inside the scopes that are open, innermost last.
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths handed out inside the scopes that are open in a thread, innermost last.
+
+    Streams call back in threads of their own: what another thread stages meanwhile is not theirs to delete.
+    """
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """What is staged inside is deleted at the end; results have to be written or collected before."""
-    _scopes.append([])
+    """What this thread stages inside is deleted at the end; results have to be written or collected before."""
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             remove(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """The same rows read back from a written table: computed once, and lost executors do not redo it."""
+def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """The same rows read back from a written table: computed once, and lost executors do not redo it.
+
+    A filter on the column ``by`` then reads the files of its value only.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back

@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgap.functions.postings import union_by_publisher
+from skillgap.operators import kept as K
 from skillgap.operators.fit import job_fit
 from skillgap.operators.merge import merge_postings, touch_existing
 from skillgap.operators.prepare import normalize_postings, prepare_batch
 from skillgap.plans.ingest import incoming, ingest, refresh_snapshots
+from skillgap.plans.reports import as_rows
 from skillgap.schema import POSTING, backfill, conform_schema
 from skillgap.sources.scratch import materialize, scratch_path
 from skillgap.sources.snapshots import read_snapshots
 from skillgap.sources.store import Store, read_store
 from skillgap.streaming.upsert import stream_upsert
-from workload.coverage_queries import K, T, eligible_sql
+from workload.coverage_queries import K as MIN_SKILLS
+from workload.coverage_queries import T, eligible_sql
+from workload.market_queries import PLATFORM, REMOTE
 from workload.registry import joined, query, stamp
 from workload.text_queries import (
     COMBINED_SQL, COMPANY_SQL, FALLBACK_SQL, LINK_SQL, NOW, PICK_SQL, PORTALS_SQL, POSTED_SQL, REMOTE_SQL, TITLE_SQL,
@@ -169,23 +173,7 @@ def _(spark, sf):
     return _merged_out(merge_postings(*_stored_and_batch(spark, sf)))
 
 
-# A small batch beside a stored table, most of which it leaves alone.
-@query("merge_sides", merged_sql(prep_sql(), _EVENS_FIRST, "(SELECT * FROM prep WHERE doc_id % 2 = 0 OR doc_id % 20 = 1)") + """
-SELECT m.job_id, title, source_queries, salary, s.id IS NOT NULL AS stored, b.id IS NOT NULL AS arrived FROM merged m
-LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 2 = 0) s ON s.id = m.job_id
-LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 = 1) b ON b.id = m.job_id""")
-def _(spark, sf):
-    stored, _ = _stored_and_batch(spark, sf)
-    batch = incoming(arrived(spark, sf).where("doc_id % 20 = 1"), NOW, True, WORDS)
-    side = lambda df, name: df.select("job_id").distinct().withColumn(name, F.lit(True))
-    merged = merge_postings(stored, batch).join(side(stored, "stored"), "job_id", "left").join(side(batch, "arrived"), "job_id", "left")
-    return merged.select(
-        "job_id", "title", joined("source_queries").alias("source_queries"), "salary",
-        F.coalesce("stored", F.lit(False)).alias("stored"), F.coalesce("arrived", F.lit(False)).alias("arrived"),
-    )
-
-
-# The same with the whole table: what is not in the batch is stored, and every posting column is shown.
+# A small batch beside a stored table: what is not in the batch is stored, and every posting column is shown.
 _SMALL_LAST = "CAST(doc_id % 20 = 1 AS BIGINT) * 1000000000 + doc_id"
 
 
@@ -195,7 +183,7 @@ def store_and_small_batch(spark, sf):
     return tuple(incoming(arrived(spark, sf).where(part), NOW, True, WORDS) for part in (~late, late))
 
 
-@query("merge_small_batch", merged_sql(prep_sql(), _SMALL_LAST) + """
+@query("merge_sides", merged_sql(prep_sql(), _SMALL_LAST) + """
 SELECT m.*, s.id IS NOT NULL AS stored, b.id IS NOT NULL AS arrived FROM merged m
 LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 <> 1) s ON s.id = m.job_id
 LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 = 1) b ON b.id = m.job_id""")
@@ -209,6 +197,47 @@ def _(spark, sf):
     )
 
 
+_THIRDS = "(doc_id % 3) * 1000000000 + doc_id"
+
+
+@query("kept_counters", merged_sql(prep_sql(), _THIRDS) + f"""
+, counters AS (SELECT count(*) AS total_jobs, count(*) FILTER (WHERE {REMOTE}) AS remote_jobs, count(*) - count(*) FILTER (WHERE {REMOTE}) AS on_site_jobs,
+  count(*) FILTER (WHERE salary IS NOT NULL AND salary <> '') AS salary_disclosed_jobs FROM merged),
+top_skills AS (SELECT skill, count(*) AS count FROM (SELECT unnest(string_split(skills, '|')) AS skill FROM merged WHERE skills <> '') GROUP BY 1 ORDER BY count DESC, skill LIMIT 12),
+top_companies AS (SELECT company_name, count(*) AS count FROM merged GROUP BY 1 ORDER BY count DESC, company_name LIMIT 8),
+top_platforms AS (SELECT {PLATFORM} AS platform, count(*) AS count FROM merged GROUP BY 1 ORDER BY count DESC, platform LIMIT 6),
+sites AS (SELECT coalesce(via_platform, 'Direct / Portal') AS platform, count(*) AS openings, count(salary_raw) AS stated FROM merged GROUP BY 1 ORDER BY openings DESC, platform LIMIT 10),
+places AS (SELECT location_type, count(*) AS total_jobs FROM merged GROUP BY 1),
+corpus AS (SELECT count(*) AS jobs, min(scraped_at) AS lo, max(scraped_at) AS hi, CAST(avg(CASE WHEN is_snapshot THEN 1.0 ELSE 0.0 END) * 10000 AS BIGINT) AS share FROM merged),
+said AS (SELECT count(DISTINCT q) AS n FROM (SELECT unnest(string_split(source_queries, '|')) AS q FROM merged WHERE source_queries IS NOT NULL))
+""" + " UNION ALL ".join(
+    [f"SELECT 'counters' AS part, '{c}' AS key, CAST({c} AS VARCHAR) AS value FROM counters" for c in ("total_jobs", "remote_jobs", "on_site_jobs", "salary_disclosed_jobs")]
+    + [f"SELECT '{p}', concat({c}, '/count'), CAST(count AS VARCHAR) FROM top_{p}" for p, c in (("skills", "skill"), ("companies", "company_name"), ("platforms", "platform"))]
+    + ["SELECT 'sites', concat(platform, '/openings'), CAST(openings AS VARCHAR) FROM sites",
+       "SELECT 'sites', concat(platform, '/tenths'), CAST(CAST(round(stated * 100.0 / openings, 1) * 10 AS BIGINT) AS VARCHAR) FROM sites",
+       "SELECT 'places', concat(location_type, '/jobs'), CAST(total_jobs AS VARCHAR) FROM places",
+       "SELECT 'corpus', 'jobs', CAST(jobs AS VARCHAR) FROM corpus", "SELECT 'corpus', 'lo', lo FROM corpus", "SELECT 'corpus', 'hi', hi FROM corpus",
+       "SELECT 'corpus', 'share', CAST(share AS VARCHAR) FROM corpus", "SELECT 'corpus', 'phrases', CAST(n AS VARCHAR) FROM said"]
+))
+def _(spark, sf):
+    # Three merges; the figures are read from the counts they kept, never from the table.
+    store = Store(spark, scratch_path(spark, "counted"), keep=True)
+    for third in (0, 1, 2):
+        store.merge(incoming(arrived(spark, sf).where(F.col("doc_id") % 3 == third), NOW, True, WORDS), "thirds", third)
+    kept = Store(spark, store.path).counts()
+    count, corpus = {"count": F.col("count")}, K.kept_corpus(kept)
+    counters = K.kept_counters(kept)
+    return as_rows({
+        "counters": (counters, None, {c: F.col(c) for c in counters.columns}), "skills": (K.kept_top_skills(kept), "skill", count),
+        "companies": (K.kept_top_companies(kept), "company_name", count), "platforms": (K.kept_top_platforms(kept), "platform", count),
+        "sites": (K.kept_platform_disclosure(kept), "platform", {"openings": F.col("openings"), "tenths": F.round(F.col("salary_disclosure_pct") * 10).cast("bigint")}),
+        "places": (K.kept_arrangements(kept), "location_type", {"jobs": F.col("total_jobs")}),
+        "corpus": (corpus, None, {
+            "jobs": F.col("jobs"), "lo": stamp("as_of_min"), "hi": stamp("as_of_max"), "share": F.round(F.col("snapshot_share") * 10000).cast("bigint"),
+            "phrases": F.col("distinct_queries")}),
+    })
+
+
 @query("touch_existing", prep_sql() + """
 SELECT id AS job_id FROM prep WHERE doc_id % 2 = 0 INTERSECT SELECT id FROM prep WHERE doc_id % 2 = 1""")
 def _(spark, sf):
@@ -319,6 +348,6 @@ def _(spark, sf):
             "portal_count": F.when(n == 6, F.lit(0)).when(n != 3, F.col("portal_count")),
         }
     ).drop("description")
-    fit = job_fit(holes, HELD, T, K, roles=ITEM_ROLES)
+    fit = job_fit(holes, HELD, T, MIN_SKILLS, roles=ITEM_ROLES)
     return fit.select("job_id", "location", "location_type", "portal_count", "description_snippet")
 

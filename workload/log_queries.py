@@ -59,6 +59,22 @@ def _(spark, sf):
     return found.select("request_id", "cache_key", "response_json", "status")
 
 
+# Every event puts its answer and asks for that of the next user, each at its own time.
+@query("cache_lookup_asof", f"""
+WITH puts AS (SELECT concat(user_id, '|', event_type) AS cache_key, ts AS fetched_at, arg_max(props, event_id) AS response_json FROM events GROUP BY ALL),
+asked AS (SELECT event_id AS request_id, concat(user_id + 1, '|', event_type) AS cache_key, ts AS requested_at FROM events)
+SELECT request_id, a.cache_key, p.response_json, strftime(p.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at,
+  CASE WHEN p.fetched_at IS NULL THEN 'miss' WHEN p.fetched_at >= requested_at - INTERVAL 6 HOUR THEN 'fresh' ELSE 'stale' END AS status
+FROM asked a ASOF LEFT JOIN puts p ON a.cache_key = p.cache_key AND a.requested_at >= p.fetched_at""")
+def _(spark, sf):
+    e = events(spark, sf)
+    key = lambda user: F.concat_ws("|", user.cast("string"), "event_type").alias("cache_key")
+    puts = e.select(key(F.col("user_id")), F.col("props").alias("response_json"), F.col("ts").alias("fetched_at"), "event_id")
+    asked = e.select(F.col("event_id").alias("request_id"), key(F.col("user_id") + 1), F.col("ts").alias("requested_at"))
+    found = C.cache_lookup_asof(asked, puts, dt.timedelta(hours=6), tie=["event_id"])
+    return found.drop("requested_at").withColumn("fetched_at", stamp("fetched_at"))
+
+
 @query("cache_put", _CACHE_SQL + """
 , fresh AS (SELECT concat(user_id, '|', event_type) AS cache_key, min(props) AS response_json FROM events WHERE value > 50 GROUP BY ALL)
 SELECT cache_key, coalesce(f.response_json, c.response_json) AS response_json,

@@ -158,6 +158,18 @@ def _(spark, sf):
     return _page(B.browse(basket(spark, sf), limit=50, offset=100))
 
 
+@query("browse_after", JOBS + _PAGE + " ORDER BY jobs.scraped_at DESC NULLS LAST, job_id LIMIT 50 OFFSET 100")
+def _(spark, sf):
+    # The third page, each asked for by the last row of the one before it.
+    pages = B.Pages(spark, scratch_path(spark, "pages"), "month")
+    pages.write(basket(spark, sf))
+    last = None
+    for _ in range(2):
+        row = pages.page(50, last).collect()[-1]
+        last = row["scraped_at"], row["job_id"]
+    return _page(pages.page(50, last))
+
+
 @query("browse_by_company", JOBS + _PAGE + " ORDER BY company_name, jobs.scraped_at DESC, job_id LIMIT 100")
 def _(spark, sf):
     return _page(B.browse(basket(spark, sf), sort_by="company", limit=100))

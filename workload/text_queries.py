@@ -21,7 +21,7 @@ from skillgap.sources.scratch import scratch_path
 from skillgap.sources.texts import read_resumes
 from workload.registry import joined, query, stamp
 from workload.views import (
-    DOCUMENTS_SQL, RAW_SQL, WORDS, WS, document_postings, documents, norm_sql, raw_documents, skill_hit_sql, skills_sql,
+    BASKET_SQL, DOCUMENTS_SQL, RAW_SQL, WORDS, WS, basket, document_postings, documents, norm_sql, raw_documents, skill_hit_sql, skills_sql,
     strip_sql, table,
 )
 
@@ -453,6 +453,32 @@ def _(spark, sf):
     })
 
 
+# Every document is a resume, and every document a posting.
+@query("match_resumes", DOCS + f"""
+, dated AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 100) AS scraped_at FROM docs)
+, m AS (SELECT doc_id, {skills_sql('text')} AS held FROM documents)
+, said AS (SELECT job_id, scraped_at, list(skill) AS said FROM (SELECT job_id, scraped_at, description, unnest({_ALL_NAMES}) AS skill FROM dated)
+  WHERE contains(lower(description), lower(skill)) GROUP BY ALL)
+, ranked AS (SELECT held, job_id, row_number() OVER (PARTITION BY held ORDER BY scraped_at DESC, job_id) AS place
+  FROM (SELECT DISTINCT held FROM m) JOIN said ON list_has_any(held, said))
+, rec AS (SELECT held, string_agg(job_id, '|' ORDER BY place) AS ids FROM ranked WHERE place <= 6 GROUP BY held)
+SELECT doc_id, array_to_string(held, '|') AS matched, CAST(least(2 * floor(len(held) / {len(WORDS.names)} * 100), 100) AS INTEGER) AS score,
+  coalesce(ids, '') AS recommended
+FROM m LEFT JOIN rec USING (held)""")
+def _(spark, sf):
+    jobs = document_postings(spark, sf).withColumns(
+        {
+            "scraped_at": F.timestamp_add("HOUR", (F.col("job_id").cast("int") % 100), F.lit("2024-01-01").cast("timestamp_ntz")),
+            **{c: F.lit(None).cast("string") for c in ("via", "apply_link", "salary", "schedule_type")},
+        }
+    )
+    found = Q.match_resumes(jobs, documents(spark, sf).select(F.col("doc_id").alias("candidate_id"), "text"), WORDS)
+    return found.select(
+        F.col("candidate_id").alias("doc_id"), joined("matched_skills").alias("matched"), F.col("match_score_percentage").alias("score"),
+        joined(F.transform("recommended", lambda p: p["job_id"])).alias("recommended"),
+    )
+
+
 def _mentions_sql(names: SkillCatalog = WORDS) -> str:
     """Each boundary character is doubled, so that two neighbouring mentions do not share one.
 
@@ -528,6 +554,23 @@ def _(spark, sf):
     return D.near_duplicates(jobs.unionByName(again))
 
 
+# Titles of the items: one word or a mark apart within a company and a place.
+@query("near_titles", f"""
+WITH RECURSIVE {BASKET_SQL},
+t AS (SELECT {norm_sql('company_name')} AS company_key, {norm_sql('location')} AS location_key, {norm_sql('title')} AS title_key, count(*) AS postings FROM jobs GROUP BY ALL),
+l AS (SELECT a.company_key, a.location_key, a.title_key, b.title_key AS other FROM t a JOIN t b
+  ON a.company_key = b.company_key AND a.location_key = b.location_key AND a.title_key <> b.title_key AND abs(length(a.title_key) - length(b.title_key)) <= 2
+  WHERE levenshtein(a.title_key, b.title_key) <= 2),
+reached AS (SELECT company_key, location_key, title_key, title_key AS first_title FROM t
+  UNION SELECT l.company_key, l.location_key, l.title_key, r.first_title FROM l JOIN reached r ON l.company_key = r.company_key AND l.location_key = r.location_key AND l.other = r.title_key),
+firsts AS (SELECT company_key, location_key, title_key, min(first_title) AS first_title FROM reached GROUP BY ALL),
+counted AS (SELECT company_key, location_key, title_key, count(*) AS titles FROM l GROUP BY ALL)
+SELECT company_key, location_key, title_key, first_title, postings, coalesce(titles, 0) AS titles
+FROM t JOIN firsts USING (company_key, location_key, title_key) LEFT JOIN counted USING (company_key, location_key, title_key)""")
+def _(spark, sf):
+    return D.near_titles(basket(spark, sf), most=2)
+
+
 _ZERO = "[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]"
 
 
