@@ -13,6 +13,7 @@ from skillgap.functions import postings as P
 from skillgap.functions import recency as R
 from skillgap.functions import salary as S
 from skillgap.functions import text as X
+from skillgap.functions.names import extract_names, mention_totals
 from skillgap.operators import diagnostics as D
 from skillgap.operators import resumes as Q
 from skillgap.operators.market import mention_counts
@@ -535,6 +536,22 @@ def _(spark, sf):
     return mention_counts(docs, SKILLS)
 
 
+# The same by one automaton over all names.
+@query("extract_names_full", _NAMED_SQL + f" SELECT doc_id, array_to_string({skills_sql('text', SKILLS)}, '|') AS skills FROM named")
+def _(spark, sf):
+    docs = documents(spark, sf).select("doc_id", _with_names(F.col("text"), F.col("doc_id")).alias("text"))
+    return docs.select("doc_id", joined(extract_names(F.col("text"), SKILLS)).alias("skills"))
+
+
+@query("mention_totals_full", _NAMED_SQL + r"""
+, t AS (SELECT concat(' ', text, '  ') AS text FROM named),
+w AS (SELECT text, regexp_replace(text, '([^a-zA-Z0-9_#+])', '\1\1', 'g') AS wide FROM t),
+c AS (""" + _mentions_sql(SKILLS) + ") SELECT skill, count FROM c WHERE count > 0")
+def _(spark, sf):
+    docs = documents(spark, sf).select(F.lit("").alias("title"), _with_names(F.col("text"), F.col("doc_id")).alias("description"))
+    return mention_totals(docs, SKILLS)
+
+
 _PREFIX = f"substring({norm_sql('description')}, 1, 300)"
 # Every document a second time under another id, with a word more in its text, so that groups arise.
 _NEAR_SQL = DOCS + f"""
