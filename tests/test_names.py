@@ -17,7 +17,8 @@ def test_names_equal_the_expressions(spark):
         ["a a", "Spring Data", "C", "dot.net", "x y z", "Zz", *SKILLS.names], SKILLS.aliases, SKILLS.long_forms, SKILLS.hints
     )
     parts = [*catalog.names, "a", " ", "  ", "\n", "\u00a0", "\x1c", "\u2003", "+", "#", "_", ".", "(", "é", "\u017f", "\u212a", "1", "x y", "Java", "rag", "RAG"]
-    texts = ["".join(rnd.choice(parts) if rnd.random() < 0.6 else rnd.choice(parts).upper() for _ in range(rnd.randint(0, 25))) for _ in range(500)]
+    said = lambda: rnd.choice(parts) if rnd.random() < 0.6 else rnd.choice(parts).upper()
+    texts = ["".join(said() + rnd.choice(["", " ", ", "]) for _ in range(rnd.randint(0, 25))) for _ in range(500)]
     rows = [(i, t) for i, t in enumerate([*texts, None, "", "a a a a", "a  a\ta a"])]
     df = spark.createDataFrame(rows, "id int, text string")
     both = df.select("id", extract_names(F.col("text"), catalog).alias("one"), extract_skills(F.col("text"), catalog).alias("other")).collect()
