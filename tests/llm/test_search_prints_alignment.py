@@ -84,11 +84,14 @@ def test_search_over_odd_rows_and_small_trees(spark, odd, none):
 def test_bounds_hold_and_prune():
     rnd = np.random.default_rng(5)
     centres = [np.sort(rnd.choice(400, 12, replace=False)) for _ in range(30)]
+    profiles = [rnd.integers(10**5, 10**6, 12) for _ in centres]
     first, term, value = [0], [], []
     for i in range(1500):
-        own = np.unique(np.concatenate([rnd.choice(centres[i % 30], 9, replace=False), rnd.choice(400, 2)]))
+        # Documents of thirty kinds, and some of none.
+        kind = i % 31
+        own = centres[kind] if kind < 30 else np.sort(rnd.choice(400, 12, replace=False))
         term.append(own)
-        value.append(rnd.integers(1, 10**6, len(own)))
+        value.append((profiles[kind % 30] * rnd.uniform(0.9, 1.1, 12)).astype(np.int64))
         first.append(first[-1] + len(own))
     first, term, value = np.array(first), np.concatenate(term), np.concatenate(value).astype(np.int64)
     ball = lexical.BallTree(first, term, value, leaf=16)
