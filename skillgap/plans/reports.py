@@ -48,13 +48,15 @@ def unlock_report(
     pay = [column_or_null(df, c).alias(c) for c in ("salary_min_lpa", "salary_max_lpa")]
     elig = materialize(found.select("job_id", "title", "company_name", "skills", "n", "m", *pay), "eligible")
     base = unlock.baseline(elig, threshold)
-    top = unlock.unlocks(elig, held, threshold, top_n)
+    # One row per skill; the list, its examples and the count of all read it.
+    ranking = materialize(unlock.unlocks(elig, held, threshold), "unlocks")
+    top = ranking.orderBy(*unlock.ranking()).limit(top_n)
     path = materialize(unlock.unlock_path(elig, held, threshold), "path")
     return UnlockReport(
         baseline=base,
         salary_benchmark=unlock.salary_benchmark(elig, threshold),
         unlocks=unlock.attach_examples(top, unlock.unlock_examples(elig, top, threshold)).orderBy(*unlock.ranking()),
-        all_unlocks_count=unlock.unlocks(elig, held, threshold).agg(F.count("*").alias("all_unlocks_count")),
+        all_unlocks_count=ranking.agg(F.count("*").alias("all_unlocks_count")),
         path=path,
         projected=unlock.projected_matches(base, path),
         corpus=market.corpus_stats(df),

@@ -9,12 +9,14 @@ from skillgap.functions import coverage as C
 from skillgap.functions import postings as P
 from skillgap.functions.text import snippet
 from skillgap.operators import unlock as U
+from skillgap.operators.candidates import matched_for, unlocks_for
 from skillgap.operators.fit import job_fit
 from skillgap.operators.ranks import ranked
 from skillgap.catalog import ROLES
 from skillgap.plans.reports import as_rows, unlock_report
+from skillgap.sources.scratch import materialize
 from workload.registry import joined, query, sql_list, stamp
-from workload.views import BASKET_SQL, HELD, ITEM_ROLES, basket
+from workload.views import BASKET_SQL, BRANDS, HELD, ITEM_ROLES, basket, table
 
 T, K = 60, 3
 R_SQL = sql_list(HELD)
@@ -192,9 +194,14 @@ examples AS (
 )"""
 
 
+def staged_elig(spark, sf):
+    """The eligible postings as the report stages them: read once, whatever follows."""
+    return materialize(elig(spark, sf).select("job_id", "title", "company_name", "skills", "n", "m"), "eligible")
+
+
 @query("unlock_examples", ALL_UNLOCKS + "," + EXAMPLES_SQL + " SELECT * FROM examples")
 def _(spark, sf):
-    e = elig(spark, sf)
+    e = staged_elig(spark, sf)
     return U.unlock_examples(e, U.unlocks(e, HELD, T, 10), T)
 
 
@@ -203,7 +210,7 @@ SELECT CAST(row_number() OVER (ORDER BY t.unlocks DESC, t.demand DESC, t.skill,
 FROM top t JOIN examples e USING (skill)""")
 def _(spark, sf):
     # The order in which the report shows them, as a number.
-    e = elig(spark, sf)
+    e = staged_elig(spark, sf)
     top = U.unlocks(e, HELD, T, 10)
     shown = U.attach_examples(top, U.unlock_examples(e, top, T)).select(
         "skill", "unlocks", "demand", F.posexplode(F.transform("example_jobs", lambda x: x["job_id"])).alias("rn", "job_id")
@@ -218,7 +225,7 @@ FROM top t JOIN examples e USING (skill) GROUP BY ALL"""
 
 @query("attach_examples", ATTACHED_SQL)
 def _(spark, sf):
-    e = elig(spark, sf)
+    e = staged_elig(spark, sf)
     top = U.unlocks(e, HELD, T, 10)
     return _example_ids(U.attach_examples(top, U.unlock_examples(e, top, T)))
 
@@ -262,6 +269,36 @@ def _(spark, sf):
     return U.projected_matches(U.baseline(e, T), U.unlock_path(e, HELD, T))
 
 
+# Every conversation is a candidate who holds six of the brands, by its number.
+_CANDIDATES_SQL = f"""WITH {BASKET_SQL},
+c AS (SELECT DISTINCT conv_id AS candidate_id FROM conversations),
+h AS (SELECT candidate_id, list_sort(list_filter({sql_list(BRANDS.names)}, lambda x: (candidate_id * 7 + CAST(replace(x, 'Brand#', '') AS BIGINT) * 11) % 25 < 6)) AS held FROM c),
+s AS (SELECT held, len(skills_required) AS n, len(list_intersect(skills_required, held)) AS m, skills_required AS skills
+  FROM (SELECT DISTINCT held FROM h), jobs WHERE len(skills_required) >= {K})"""
+
+
+def _candidates(spark, sf):
+    conv = table(spark, sf, "conversations").select(F.col("conv_id").alias("candidate_id")).distinct()
+    number = lambda x: F.replace(x, F.lit("Brand#"), F.lit("")).cast("bigint")
+    held = F.filter(C.string_array(BRANDS.names), lambda x: (F.col("candidate_id") * 7 + number(x) * 11) % 25 < 6)
+    return conv.withColumn("skills", held)
+
+
+@query("matched_for_candidates", _CANDIDATES_SQL + f"""
+, x AS (SELECT held, count(*) FILTER (WHERE m * 100 >= {T} * n) AS matched_jobs FROM s GROUP BY held)
+SELECT candidate_id, coalesce(matched_jobs, 0) AS matched_jobs FROM h LEFT JOIN x USING (held)""")
+def _(spark, sf):
+    return matched_for(basket(spark, sf), _candidates(spark, sf), T, K)
+
+
+@query("unlocks_for_candidates", _CANDIDATES_SQL + f"""
+, x AS (SELECT held, skill, count(*) AS unlocks FROM (SELECT held, unnest(skills) AS skill FROM s WHERE {ONE_AWAY})
+  WHERE NOT list_contains(held, skill) GROUP BY ALL)
+SELECT candidate_id, skill, unlocks FROM h JOIN x USING (held)""")
+def _(spark, sf):
+    return unlocks_for(basket(spark, sf), _candidates(spark, sf), T, K)
+
+
 ROLE_CASE = "CASE " + " ".join(f"WHEN {role_sql('title', r)} THEN '{r}'" for r in ITEM_ROLES.priority) + " ELSE 'other' END"
 
 def _part(part: str, source: str, values: dict[str, str], row: str = "") -> str:
