@@ -218,9 +218,9 @@ def test_merge_plan_stays_small(spark):
     plans = []
     real = M.materialize
 
-    def noted(df, name="stage"):
+    def noted(df, name="stage", **more):
         plans.append(df)
-        return real(df, name)
+        return real(df, name, **more)
 
     rnd = random.Random(5)
     stored = to_df(spark, [random_row(rnd, f"i{n}") for n in range(40)])
