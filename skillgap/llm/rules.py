@@ -107,9 +107,13 @@ def standard_rules() -> list[Rule]:
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows with the smallest digests of key and text; each task keeps as many of its own."""
+    """The rows with the smallest digests of key and text; rows that equal the last of them are taken too.
+
+    Only digests are ranked; the texts stay where they are.
+    """
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
-    return docs.select(key, text, digest.alias("__digest")).orderBy("__digest").limit(rows).select(key, text)
+    last = docs.select(digest.alias("digest")).orderBy("digest").limit(rows).agg(F.max("digest")).first()[0]
+    return docs.select(key, text).filter(digest <= F.lit(last or ""))
 
 
 def ordered(rows: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
