@@ -31,6 +31,8 @@ from skillgap.sources.scratch import materialize
 ARRIVAL = "arrival"
 #: Ids of a batch that may be named one by one in a filter.
 FEW_IDS = 10_000
+#: Ids of one list in such a filter: the files' reader takes a list apart into a chain and goes down it by recursion.
+LISTED_IDS = 256
 
 # The last value that is not null wins; an empty string is a value.
 _LAST_KNOWN = [
@@ -214,10 +216,10 @@ def _fold_several(rows: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def _values_in_files(spark: SparkSession, n: int) -> Iterator[None]:
-    """Lists of up to ``n`` values reach the files as such, and not as their smallest and largest."""
+    """Lists of up to ``n`` values, LISTED_IDS at most, reach the files as such, and not as their smallest and largest."""
     name = "spark.sql.parquet.pushdown.inFilterThreshold"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(max(n, int(before))))
+    spark.conf.set(name, str(max(min(n, LISTED_IDS), int(before))))
     try:
         yield
     finally:
@@ -250,11 +252,20 @@ def sides(store: DataFrame, batch: DataFrame, few: int = FEW_IDS) -> Sides:
 
 def named_ids(store: DataFrame, ids: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with one of the ids, and the others; rows without an id are others."""
-    listed = [i for i in ids if i is not None]
+    listed = sorted({i for i in ids if i is not None})
     if not listed:
         return store.where(F.lit(False)), store
     named = F.col("job_id").isin(listed)
-    return store.where(named), store.where(~named | F.col("job_id").isNull())
+    # One look-up settles a row; the short lists are for the files.
+    return store.where(named & _in_lists(listed)), store.where(~named | F.col("job_id").isNull())
+
+
+def _in_lists(ids: Sequence[str]) -> Column:
+    """Whether the id is one of ``ids``, as a tree of equal depth over lists of at most LISTED_IDS."""
+    if len(ids) <= LISTED_IDS:
+        return F.col("job_id").isin(list(ids))
+    middle = len(ids) // 2
+    return _in_lists(ids[:middle]) | _in_lists(ids[middle:])
 
 
 def touch_existing(store: DataFrame, batch: DataFrame) -> DataFrame:

@@ -122,6 +122,15 @@ def test_touched_rows_are_found_by_pages(spark, tmp_path):
     assert {r["job_id"] for r in touch_existing(store.read(), batch).collect()} == set(ids)
 
 
+def test_thousands_of_ids_are_named_in_a_filter(spark, tmp_path):
+    """As many as may be named; one chain of them went deeper than a task's stack."""
+    store = write_store(postings(spark, range(12_000)), str(tmp_path / "store"), buckets=2)
+    batch = arriving(postings(spark, range(1, 20_000, 2), seed=2))
+    dealt = sides(store.read(), batch)
+    assert dealt.ids == 10_000 and {r["job_id"] for r in dealt.touched.select("job_id").collect()} == {f"id{i:07d}" for i in range(1, 12_000, 2)}
+    assert {r["job_id"] for r in dealt.untouched.select("job_id").collect()} == {f"id{i:07d}" for i in range(0, 12_000, 2)}
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_sides_are_the_same_either_way(spark, few):
     store = postings(spark, range(300)).unionByName(postings(spark, [1]).withColumn("job_id", F.lit(None).cast("string")))

@@ -183,10 +183,14 @@ def store_and_small_batch(spark, sf):
     return tuple(incoming(arrived(spark, sf).where(part), NOW, True, WORDS) for part in (~late, late))
 
 
-@query("merge_sides", merged_sql(prep_sql(), _SMALL_LAST) + """
+_SIDES_SQL = merged_sql(prep_sql(), _SMALL_LAST) + """
 SELECT m.*, s.id IS NOT NULL AS stored, b.id IS NOT NULL AS arrived FROM merged m
 LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 <> 1) s ON s.id = m.job_id
-LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 = 1) b ON b.id = m.job_id""")
+LEFT JOIN (SELECT DISTINCT id FROM prep WHERE doc_id % 20 = 1) b ON b.id = m.job_id"""
+
+
+@query("merge_small_batch", _SIDES_SQL)
+@query("merge_sides", _SIDES_SQL)
 def _(spark, sf):
     first, batch = store_and_small_batch(spark, sf)
     stored = materialize(merge_postings(_empty(spark), first), "stored")
