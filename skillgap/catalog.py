@@ -190,19 +190,22 @@ class Form:
 
     ``body`` is a regular expression without look-around; an any-case form is
     matched against case-folded text. ``hints`` are substrings of the folded
-    text, one of which every match contains (none: no quick test).
+    text, one of which every match contains (none: no quick test). ``first`` is the
+    character that every match begins with, where there is one: looked for before the edge is, which costs more.
     """
 
     body: str
     bounded: bool = True
     any_case: bool = True
     hints: tuple[str, ...] = ()
+    first: str = ""
 
     @property
     def pattern(self) -> str:
         body = f"(?:{_lowered(self.body) if self.any_case else self.body})"
         if self.bounded:
-            body = f"(?<![{SKILL_BOUNDARY_SET}]){body}(?![{SKILL_BOUNDARY_SET}])"
+            lead = f"(?={_lowered(re.escape(self.first)) if self.any_case else re.escape(self.first)})" if self.first else ""
+            body = f"{lead}(?<![{SKILL_BOUNDARY_SET}]){body}(?![{SKILL_BOUNDARY_SET}])"
         return "(?U)" + body
 
 
@@ -223,15 +226,15 @@ class SkillCatalog:
         return name in self.long_forms
 
     def forms(self, name: str) -> list[Form]:
-        own = (max(name.lower().split(" "), key=len),)
+        own, first = (max(name.lower().split(" "), key=len),), name[:1].strip()
         if self.is_acronym(name):
             return [
-                Form(_quoted(name), any_case=False, hints=own),
+                Form(_quoted(name), any_case=False, hints=own, first=first),
                 Form(self.long_forms[name], bounded=False, hints=tuple(self.hints.get(name, ()))),
             ]
         if name in self.aliases:
             return [Form(self.aliases[name], hints=tuple(self.hints.get(name, ())))]
-        return [Form(_quoted(name), hints=own)]
+        return [Form(_quoted(name), hints=own, first=first)]
 
     def resolution_order(self) -> list[str]:
         """Names with a special pattern first (acronyms, then aliases), then the rest."""

@@ -28,9 +28,21 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"(?U){_SPACE}+", " "))
 
 
+_IDENTITY = 300
+#: Characters of a description that its prefix is taken from first.
+_LEADING = 1000
+
+
 def identity_prefix(description: Column) -> Column:
-    """The part of a description that takes part in a posting's identity."""
-    return F.substring(normalize_text(description), 1, 300)
+    """The part of a description that takes part in a posting's identity.
+
+    Mostly the first characters give it; where they are white space for the most part, the whole text is gone through.
+    A capital sigma in them too asks for the whole text: its lower case depends on what follows.
+    """
+    lead = F.substring(description, 1, _LEADING)
+    short = F.substring(normalize_text(lead), 1, _IDENTITY + 1)
+    enough = (F.length(short) > _IDENTITY) & ~lead.contains("\u03a3")
+    return F.substring(F.when(enough, short).otherwise(normalize_text(description)), 1, _IDENTITY)
 
 
 def canonical_id(title: Column, company: Column, location: Column, description: Column) -> Column:

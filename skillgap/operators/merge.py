@@ -170,17 +170,8 @@ def _lone(rows: DataFrame) -> DataFrame:
     return rows.select(*[settled.get(f.name, F.col(f.name)).alias(f.name) for f in POSTING.fields])
 
 
-def _fold(rows: DataFrame) -> DataFrame:
-    """One merged row per id of a written table."""
-    counted = rows.groupBy("job_id").agg(F.count("*").alias("n"))
-    several = materialize(counted.where("n > 1").select(F.col("job_id").alias("again")), "merge-several")
-    same = F.col("job_id").eqNullSafe(F.col("again"))
-    return _lone(rows.join(several, same, "left_anti")).unionByName(_fold_several(rows.join(several, same, "left_semi")))
-
-
 def _fold_several(rows: DataFrame) -> DataFrame:
-    """One merged row per id for ids with more than one row."""
-    rows = materialize(rows, "merge-again")
+    """One merged row per id for ids with more than one row; ``rows`` are read several times."""
     single = materialize(_single_values(rows), "merge-ids")
     lists = _list_items(rows)
     late = _late_values(rows, single)
@@ -275,18 +266,31 @@ def touch_existing(store: DataFrame, batch: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Merged:
-    """What a merge does: rows left alone, touched rows as they were, and as they are with the new ones."""
+    """What a merge does: rows left alone, touched rows as they were, incoming rows alone under their id, and merged rows."""
 
     untouched: DataFrame
     before: DataFrame
-    after: DataFrame
+    lone: DataFrame
+    folded: DataFrame
+
+    @property
+    def after(self) -> DataFrame:
+        """The rows of the touched and the new ids, as the merge leaves them."""
+        return self.lone.unionByName(self.folded)
 
 
 def merge_parts(store: DataFrame, batch: DataFrame) -> Merged:
-    """The merge of a prepared batch in its parts; ``before`` and ``after`` are staged (see ``scratch_scope``)."""
+    """The merge of a prepared batch in its parts; what the parts are made of is staged (see ``scratch_scope``)."""
     dealt = sides(store, batch)
-    rows = materialize(_ordered_rows(dealt.touched, batch), "merge-rows")
-    return Merged(dealt.untouched, dealt.touched, _fold(rows))
+    counted = batch.select("job_id").unionByName(dealt.touched.select("job_id")).groupBy("job_id").agg(F.count("*").alias("n"))
+    several = materialize(counted.where("n > 1").select(F.col("job_id").alias("several")), "merge-several")
+    # Each side's texts move once: the store's to find the touched rows, the batch's here.
+    same = F.col("job_id").eqNullSafe(F.col("several"))
+    tagged = batch.join(several.withColumn("again", F.lit(True)), same, "left").withColumn("again", F.col("again").isNotNull()).drop("several")
+    arrived = materialize(tagged, "merge-batch", by="again")
+    rows = _ordered_rows(dealt.touched, arrived.where("again").drop("again"))
+    lone = arrived.where(~F.col("again")).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in POSTING.fields])
+    return Merged(dealt.untouched, dealt.touched, _lone(lone), _fold_several(rows))
 
 
 def merge_postings(store: DataFrame, batch: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ class Store:
                 parts = merge_parts(self.read(buckets), batch)
                 after, counts = parts.after, None
                 if self.keep:
-                    after = materialize(after, "merged")
+                    after = parts.lone.unionByName(materialize(parts.folded, "merged"))
                     changed = contributions(after, 1).unionByName(contributions(parts.before, -1))
                     counts = updated(self.counts(), changed)
                 self._commit(parts.untouched.unionByName(after), streams, buckets, counts)

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skillgap.operators.merge import ARRIVAL, merge_postings, touch_existing
 from skillgap.operators.prepare import prepare_batch
@@ -235,3 +236,30 @@ def test_merge_plan_stays_small(spark):
         M.materialize = real
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert count <= 12
+
+
+def test_identity_prefix_of_long_texts_is_that_of_the_whole(spark):
+    import skillgap.functions.text as X
+
+    blank, odd = " \t\u3000\n" * 600, "ΑΣ" * 900
+    texts = [None, "", "short ", blank + "A b" * 400, "A\u00a0 b " * 900, odd, "x " * 150 + blank + "y" * 400, "ab" * 499 + "Σ" + " tail" * 9, "İ" * 1200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.substring(X.normalize_text(F.col("t")), 1, 300)
+    assert all(a == b for a, b in df.select(X.identity_prefix(F.col("t")), whole).collect())
+    plan = df.select(X.identity_prefix(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{X._LEADING}" in plan
+
+
+def test_a_merge_stages_a_batch_once(spark, tmp_path):
+    """Texts of the batch are written once, and rows that are merged are not written again before they are."""
+    import skillgap.operators.merge as M
+
+    staged, real = [], M.materialize
+    M.materialize = lambda df, name="stage", **how: staged.append((name, "description" in df.columns)) or real(df, name, **how)
+    try:
+        store = merge_postings(empty(spark), incoming(spark, BASE)).localCheckpoint()
+        staged.clear()
+        merge_postings(store, incoming(spark, BASE, {**BASE, "description": "another"})).collect()
+    finally:
+        M.materialize = real
+    assert sorted(n for n, wide in staged if wide) == ["merge-batch", "merge-ids", "touched"]
