@@ -90,6 +90,23 @@ def test_texts_of_one_word_are_not_remembered():
     assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 500
 
 
+def test_plain_words_are_learned_together():
+    """Ids, decoded forms and the library's answers of plain words are handled for all at once; others one by one."""
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec, single = pieces.Codec(pieces.read_model(model_path()), library=library), []
+    entry = codec._entry
+    codec._entry = lambda *args: single.append(args) or entry(*args)
+    text = " ".join(f"word{i}s" for i in range(500)) + "\nlines begin\n\nhere \x00 and \x01"[:-2] + " 😀\u0378 ends "
+    assert codec.encode_all([text]) == [(",".join(map(str, library.encode(text))), library.decode(library.encode(text)))]
+    assert not codec.wrong and 0 < len(single) < 10
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[i + (t == "word7s") for i in ids] for t, ids in zip(texts, library.encode(texts))]
+    other = pieces.Codec(pieces.read_model(model_path()), library=Other())
+    other.encode_all([text])
+    assert other.wrong == ["word7s"]
+
+
 PAGES = [
     (1, "http://a.example/x?q=1#f", "<p>one</p>"), (2, "http://a.example/y", "<p>one</p>"), (3, None, None), (4, "u\r\nX: y", ""),
     (5, "http://b.example", "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"), (6, "", "\r\n\r\n"), (7, "", "ends\r\n"), (8, "", "ends\r"),
