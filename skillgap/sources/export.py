@@ -37,5 +37,6 @@ def export_csv(df: DataFrame, path: str) -> None:
         message.write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    df.write.option("ignoreNullFields", False).json(path)
+def export_json(df: DataFrame, path: str, compression: str = "none") -> None:
+    """A JSON object a line; a whole table is best written with ``gzip``, its field names repeat in every line."""
+    df.write.option("ignoreNullFields", False).json(path, compression=compression)

@@ -339,3 +339,12 @@ def test_small_batch_and_store_are_the_whole_table(spark):
     found = QUERIES["merge_small_batch"](spark, sf).collect()
     assert sorted(r["job_id"] for r in found) == sorted(r["job_id"] for r in prepared(spark, sf).select("job_id").distinct().collect())
     assert all(r["stored"] or r["arrived"] for r in found) and len(found[0]) == 28
+
+
+def test_a_compressed_export_holds_the_same_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\n\u00e9", None), (2, None, ["x", "y"])], "id int, text string, tags array<string>")
+    export_json(rows, str(tmp_path / "json"), compression="gzip")
+    names = [f.name for f in (tmp_path / "json").iterdir() if f.name.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    back = spark.read.schema(rows.schema).json(str(tmp_path / "json"))
+    assert sorted(back.collect()) == sorted(rows.collect())

@@ -307,7 +307,7 @@ def _(spark, sf):
 def _(spark, sf):
     # The whole table, without a limit.
     path = scratch_path(spark, "export-all")
-    export_json(export_rows(basket(spark, sf), limit=None), path)
+    export_json(export_rows(basket(spark, sf), limit=None), path, compression="gzip")
     return _from_json(spark, path)
 
 
