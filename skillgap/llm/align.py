@@ -12,12 +12,14 @@ document. Documents are packed into chunks of bounded text; a chunk holds its
 distinct pairs once and each document's links as places in them. So what is
 shuffled is a row per chunk and distinct pair, however often a pair occurs, and
 a pair found in every document is no larger a key than the number of chunks.
+A chunk is many short rows, a block of documents each, and one of its pairs, so
+that neither a worker nor the JVM has to hold one in a piece.
 
 Texts that are null, empty, or whose tokens do not add up to the space and the
 text in either vocabulary have no tokens: empty lists, zeros and an empty digest.
 Strings of special tokens inside a text are plain text. Repeated rows and null
 keys give a row each; other columns are left out; an empty table gives no rows.
-A text of any length is taken whole; it is then a chunk of its own.
+A text of any length is taken whole; it is then a block of its own.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from skillgap.sources.scratch import materialize
 #: Splits text before the merges of the byte-level vocabulary (fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts worked on together, and texts of one chunk, in characters.
-SLICE, CHUNK = 1_000_000, 4_000_000
+SLICE, CHUNK = 200_000, 4_000_000
 #: Runs of white space of this length go to the slower of the two libraries, whose pattern does not recurse.
 _WIDE = re.compile(r"\s{500}")
 
@@ -268,81 +270,99 @@ _CHUNK = (
 )
 
 
-def _lists(rows: list[np.ndarray | list], kind: pa.DataType) -> pa.Array:
-    return pa.array(rows, pa.list_(kind))
+class _Pairs:
+    """Distinct id pairs of a chunk, in places by first occurrence, and how often each is linked."""
+
+    def __init__(self):
+        self.n = np.zeros(0, np.int64)
+        self._sorted, self._place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Places of sorted distinct pairs that occur ``n`` times more."""
+        at = np.searchsorted(self._sorted, pairs)
+        known = np.zeros(len(pairs), bool)
+        inside = at < len(self._sorted)
+        known[inside] = self._sorted[at[inside]] == pairs[inside]
+        place = np.empty(len(pairs), np.int64)
+        place[known] = self._place[at[known]]
+        place[~known] = np.arange(len(self.n), len(self.n) + len(pairs) - known.sum())
+        self._sorted, self._place = np.insert(self._sorted, at[~known], pairs[~known]), np.insert(self._place, at[~known], place[~known])
+        self.n = np.append(self.n, np.zeros(len(self._sorted) - len(self.n), np.int64))
+        self.n[place] += n
+        return place
+
+    def listed(self) -> np.ndarray:
+        out = np.empty_like(self._sorted)
+        out[self._place] = self._sorted
+        return out
 
 
 def _chunks(byte_file: bytes, piece_file: bytes, most: int):
-    """The function for ``mapInArrow`` over (doc_id, text): a row per chunk of documents."""
+    """The function for ``mapInArrow`` over (doc_id, text): rows of a chunk's blocks of documents, then one of its pairs."""
+    names, kinds = zip(*(c.split() for c in _CHUNK.split(", ")))
+    to_arrow = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+
+    def row(**own) -> pa.RecordBatch:
+        arrays = [pa.array([own.get(name)], to_arrow[kind]) for name, kind in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(byte_file, piece_file)
         context = TaskContext.get()
         number = context.partitionId() << 32 if context else 0
-        held: list[tuple] = []
-        size = 0
-
-        def row() -> pa.RecordBatch:
-            nonlocal number, size
-            ids, n_a, n_b, n_groups, n_links, shas, doc, pair = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in zip(*held))
-            pairs, place, n = np.unique(pair, return_inverse=True, return_counts=True)
-            # A document's links with the same pair are one entry.
-            entry, times = np.unique(doc * max(1, len(pairs)) + place.ravel(), return_counts=True)
-            first = np.searchsorted(entry, np.arange(len(ids) + 1) * max(1, len(pairs)))
-            longs = pa.int64()
-            arrays = [
-                pa.array([number], longs), _lists([ids.tolist()], longs), _lists([n_a], longs), _lists([n_b], longs),
-                _lists([n_groups], longs), _lists([n_links], longs), _lists([shas.tolist()], pa.string()), _lists([first], pa.int32()),
-                _lists([entry % max(1, len(pairs))], pa.int32()), _lists([times], pa.int32()), _lists([pairs], longs), _lists([n], longs),
-            ]
-            number, size = number + 1, 0
-            held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _CHUNK.split(", ")])
-
-        docs_held = 0
+        pairs, size, docs_held = _Pairs(), 0, 0
         for batch in batches:
             for start, texts in _slices(batch, 1, min(SLICE, most)):
                 x = aligner.align(texts)
                 n_a, n_b = np.diff(x.a_first), np.diff(x.b_first)
                 n_links = x.per_text(x.link_a, x.a_first)
                 groups = np.where(n_a > 0, n_a + n_b - n_links, 0)
-                doc = np.repeat(np.arange(len(texts)), n_links) + docs_held
-                pair = x.a_ids[x.link_a] << 32 | x.b_ids[x.link_b] if len(x.link_a) else np.zeros(0, np.int64)
-                ids = np.array(batch.column(0).slice(start, len(texts)).to_pylist(), object)
-                shas = np.array(aligner.digests(x), object)
-                held.append((ids, n_a, n_b, groups, n_links, shas, doc, pair))
+                distinct, place, n = np.unique(x.a_ids[x.link_a] << 32 | x.b_ids[x.link_b], return_inverse=True, return_counts=True)
+                # A document's links with the same pair are one entry.
+                width = max(1, len(distinct))
+                entry, times = np.unique(np.repeat(np.arange(len(texts)), n_links) * width + place.ravel(), return_counts=True)
+                first = np.searchsorted(entry, np.arange(len(texts) + 1) * width)
+                at = pairs.add(distinct, n)[entry % width]
+                yield row(
+                    chunk=number, doc_id=batch.column(0).slice(start, len(texts)).to_pylist(), n_a=n_a, n_b=n_b, n_groups=groups,
+                    n_links=n_links, groups_sha256=aligner.digests(x), first=first, at=at, times=times,
+                )
                 docs_held += len(texts)
                 size += sum(len(t or "") for t in texts)
                 # Empty texts are rows as well.
                 if size >= most or docs_held >= most // 100:
-                    yield row()
-                    docs_held = 0
-        if held:
-            yield row()
+                    yield row(chunk=number, pairs=pairs.listed(), n=pairs.n)
+                    pairs, size, docs_held, number = _Pairs(), 0, 0, number + 1
+        if docs_held:
+            yield row(chunk=number, pairs=pairs.listed(), n=pairs.n)
 
     return run
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each chunk, with the corpus counts of their pairs added up."""
+    """Documents of each block, with the corpus counts of their pairs added up; a chunk's counts come before its blocks."""
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    total = best = np.zeros(0, np.int64)
     for batch in batches:
         for row in range(batch.num_rows):
-            own = {name: batch.column(i)[row].values for i, name in enumerate(batch.schema.names)}
+            own = {name: batch.column(i)[row].values for i, name in enumerate(batch.schema.names) if name != "chunk"}
+            if own["total"] is not None:
+                total, best = own["total"].to_numpy().copy(), own["best"].to_numpy(zero_copy_only=False)
+                continue
             first, at, times = (own[k].to_numpy() for k in ("first", "at", "times"))
-            if len(at):
-                total, best = own["total"].to_numpy(), own["best"].to_numpy(zero_copy_only=False)
-                count = np.concatenate([[0], np.cumsum(total[at] * times)])
-                chosen = np.concatenate([[0], np.cumsum(best[at] * times.astype(np.int64))])
-            else:
-                count = chosen = np.zeros(1, np.int64)
+            # Blocks of a chunk without pairs have no links.
+            count = np.concatenate([[0], np.cumsum(total[at] * times)])
+            chosen = np.concatenate([[0], np.cumsum(best[at] * times.astype(np.int64))])
             own["count_sum"] = pa.array(count[first[1:]] - count[first[:-1]], pa.int64())
             own["n_best"] = pa.array(chosen[first[1:]] - chosen[first[:-1]], pa.int64())
             yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names)
 
 
 def alignment_chunks(df: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Aligned documents in chunks, written once; see ``pair_counts`` and ``alignment_report``."""
+    """Aligned documents in chunks, written once; see ``pair_counts`` and ``alignment_report``.
+
+    A row is a block of documents, with no ``pairs`` and ``n``, or a chunk's pairs, with nothing else.
+    """
     run = _chunks(read_file(byte_path), read_file(piece_path), chunk)
     return materialize(df.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, _CHUNK), "aligned")
 
@@ -367,10 +387,12 @@ def alignment_report(df: DataFrame, byte_path: str, piece_path: str, key: str =
     told = each.join(pair_counts(chunks), "pair").groupBy("chunk").agg(
         F.array_sort(F.collect_list(F.struct("place", "total", "best"))).alias("told")
     )
-    joined = chunks.drop("pairs", "n").join(told, "chunk", "left").select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "first", "at", "times",
-        F.col("told.total").alias("total"), F.col("told.best").alias("best"),
+    blocks = chunks.filter(F.col("doc_id").isNotNull()).drop("pairs", "n")
+    # What is told to a chunk comes once, in front of its blocks.
+    both = told.select("chunk", F.col("told.total").alias("total"), F.col("told.best").alias("best")).unionByName(
+        blocks, allowMissingColumns=True
     )
-    return joined.mapInArrow(
+    laid = both.repartition("chunk").sortWithinPartitions("chunk", F.col("total").isNull())
+    return laid.mapInArrow(
         _sums, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     )

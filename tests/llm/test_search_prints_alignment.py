@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -320,6 +321,40 @@ def test_alignment_of_odd_rows(spark, odd, none, libraries):
     assert align.align_tokens(odd, model_path(BYTES), model_path()).count() == odd.count()
 
 
+def test_alignment_chunks_are_many_short_rows():
+    """Documents of one chunk leave a worker a block at a time, however many they are; the blocks share the chunk's pairs."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdehilnorst", k=rnd.randint(1, 9))) for _ in range(400)]
+    texts = [" ".join(rnd.choices(words, k=2500)) for _ in range(60)] + [None, ""]
+    files = align.read_file(model_path(BYTES)), align.read_file(model_path())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert 3 * align.SLICE < sum(len(t or "") for t in texts) < align.CHUNK
+    found = [r for out in align._chunks(*files, align.CHUNK)(iter([batch])) for r in out.to_pylist()]
+    blocks, (last,) = [r for r in found if r["doc_id"] is not None], [r for r in found if r["pairs"] is not None]
+    assert {r["chunk"] for r in found} == {0} and found[-1] is last and last["doc_id"] is None
+    assert [k for r in blocks for k in r["doc_id"]] == list(range(len(texts)))
+    assert all(r["pairs"] is None and sum(len(texts[k] or "") for k in r["doc_id"]) <= align.SLICE for r in blocks)
+    aligner, links, told = align._aligner(*files), Counter(), Counter()
+    for r in blocks:
+        for d, k in enumerate(r["doc_id"]):
+            x = aligner.align([texts[k]])
+            want = Counter((x.a_ids[x.link_a] << 32 | x.b_ids[x.link_b]).tolist())
+            own = slice(r["first"][d], r["first"][d + 1])
+            assert dict(zip([last["pairs"][p] for p in r["at"][own]], r["times"][own])) == want
+            links += want
+            told[k] = r["n_links"][d]
+    assert dict(zip(last["pairs"], last["n"])) == links and sum(told.values()) == sum(links.values())
+
+
+def test_alignment_of_chunks_of_many_blocks(spark, libraries):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdehilnorst", k=rnd.randint(1, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.choice([3, 9000])))) for i in range(24)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = align.alignment_report(docs, model_path(BYTES), model_path()).select(*COLUMNS).collect()
+    same_alignment(found, brute_alignment(rows, libraries))
+
+
 def test_pointers_reach_the_end_of_long_chains():
     """Tokens of two bytes, set off by one: one component of any length."""
     n = 50_000
