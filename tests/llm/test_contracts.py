@@ -78,6 +78,36 @@ def test_op1_compares_whole_texts(spark, monkeypatch):
     pieces._codecs.clear()
 
 
+@pytest.mark.parametrize("place", [1, 6, 11, 299])
+@pytest.mark.parametrize("spoilt", ["ids", "decoded"])
+def test_op1_compares_each_whole_text(monkeypatch, place, spoilt):
+    """Ids or a decoded text that are wrong in any one row are found out."""
+    import pyarrow as pa
+
+    from skillgap.llm import pieces
+    from skillgap.llm.queries import model_path
+
+    model = pieces.read_model(model_path())
+    codec = pieces._codec(model)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": [f"some words in row {i}" for i in range(300)]})
+    run = pieces.encode_batches(model, "text", False, False)
+    assert sum(b.num_rows for b in run(iter([batch]))) == 300
+    encode_all = codec.encode_all
+
+    def wrong(texts):
+        found = encode_all(texts)
+        for i, t in enumerate(texts):
+            if t == f"some words in row {place}":
+                ids, decoded = found[i]
+                found[i] = (ids + ",7", decoded) if spoilt == "ids" else (ids, decoded + "!")
+        return found
+
+    monkeypatch.setattr(codec, "encode_all", wrong)
+    with pytest.raises(ValueError):
+        list(run(iter([batch])))
+    pieces._codecs.clear()
+
+
 def test_op4_base_by_search(spark, documents):
     find = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
